@@ -39,9 +39,35 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import transcode
+
+    return transcode(table(spark, sf_dir, "documents"), outputs=("n_chars", "n_tokens", "n_byte_fallback", "ids_sha256", "decoded_sha256", "round_trip", "parity"))
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_spans import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op6_quality_rules, op7_secret_scan, op9_license_scan, op10_language_id)}
+    return {f.__name__: f for f in (op2_personal_data, op3_sentencepiece, op4_sentence_spans, op5_simhash, op6_quality_rules, op7_secret_scan, op8_decontamination, op9_license_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontaminate import ORACLE_SQL as leaks
+
+    return {"op8_decontamination": leaks}
