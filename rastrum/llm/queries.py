@@ -39,6 +39,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import transcode
 
@@ -64,7 +70,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_sentencepiece, op4_sentence_spans, op5_simhash, op6_quality_rules, op7_secret_scan, op8_decontamination, op9_license_scan, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_personal_data, op3_sentencepiece, op4_sentence_spans, op5_simhash, op6_quality_rules, op7_secret_scan, op8_decontamination, op9_license_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
