@@ -149,6 +149,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """docs without the rows that are predicted ``und``; all columns as they were."""
+    bound_batches(docs.sparkSession)
+    langs, sent, at = model[0], docs.sparkSession.sparkContext.broadcast(model[1]), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, _ = score_texts([t or "" for t in batch.column(at).to_pylist()], langs, sent.value)
+            yield batch.filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
