@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import bound_batches
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads of the library in one Python worker, and parts that a worker keeps before it starts anew.
-THREADS, CACHE_PARTS = 2, 150_000
+THREADS, CACHE_PARTS = 2, 300_000
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -110,7 +111,8 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.is_byte = np.array([t == BYTE for _, _, t in self.pieces])
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}  # ids of parts
+        self.odd: set[str] = set()  # those whose ids aren't the library's
 
     def parts(self, text: str) -> list[str]:
         """The normalised text's parts; together they are the normalised text."""
@@ -128,33 +130,40 @@ class Codec:
 
     def _expected(self, parts: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids of parts, by whole texts that contain them."""
-        blank = [not p.strip(MARK) for p in parts]
-        head = self.reference.encode("a")
-        # a part of markers only would be an empty text, or end in blanks that stand alone: it is put after a word
-        got = self.reference.encode([("a" + p if b else p[1:] if self.prefix and p.startswith(MARK) else p).replace(MARK, " ") for p, b in zip(parts, blank, strict=True)], num_threads=1)
-        return [g[len(head) :] if b else g for g, b in zip(got, blank, strict=True)]
-
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if not new:
-            return
+        if not self.prefix:
+            return self.reference.encode([p.replace(MARK, " ") for p in parts], num_threads=1)
+        # the library puts the first marker itself; a part of markers only would be an empty text or blanks: it is put after a word
+        texts = [p[1:] if MARK not in p[1:] else p[1:].replace(MARK, " ") for p in parts]
+        blank = [i for i, p in enumerate(parts) if p[-1] == MARK]
+        for i in blank:
+            texts[i] = "a" + " " * len(parts[i])
+        got = self.reference.encode(texts, num_threads=1)
+        if blank:
+            head = len(self.reference.encode("a"))
+            for i in blank:
+                got[i] = got[i][head:]
+        return got
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes parts that aren't known yet, as one batch, and compares them with the library's ids."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        for p, ids, want in zip(new, got, self._expected(new), strict=True):
-            self.known[p] = (np.array(ids, np.int32).tobytes(), ids == want)
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) * 4
+        raw = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]) // 4).tobytes()
+        self.known.update(zip(new, map(raw.__getitem__, map(slice, (ends - 4 * np.fromiter(map(len, got), np.int64, len(got))).tolist(), ends.tolist())), strict=True))
+        want = self._expected(new)
+        if got != want:
+            self.odd.update(p for p, a, b in zip(new, got, want, strict=True) if a != b)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text and whether it is in parity with sentencepiece."""
         split = [self.parts(t) for t in texts]
         if len(self.known) > CACHE_PARTS:
-            self.known = {}
-        self.learn(set().union(*split) if split else set())
-        known = self.known
-        out, parity = [], []
-        for parts in split:
-            got = [known[p] for p in parts]
-            out.append(np.frombuffer(b"".join([x for x, _ in got]), np.int32))
-            parity.append(all([y for _, y in got]))
-        return out, parity
+            self.known, self.odd = {}, set()
+        known, odd = self.known, self.odd
+        if new := list({p for parts in split for p in parts if p not in known}):
+            self.learn(new)
+        ids = [np.frombuffer(b"".join([known[p] for p in parts]), np.int32) for parts in split]
+        return ids, [not odd or odd.isdisjoint(parts) for parts in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes of byte pieces, blanks for markers, the prefix blank taken off."""
