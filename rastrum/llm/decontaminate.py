@@ -76,10 +76,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 #: The same pairs by plain counting of all shingles.
 ORACLE_SQL = """
-with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), w -> w <> '') as w from documents where doc_id is not null and text is not null),
-i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), w -> w <> '') as w from benchmark where item_id is not null and text is not null),
-ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), k -> array_to_string(w[k:k + 4], ' '))) as shingle from d where len(w) > 0),
-si as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), k -> array_to_string(w[k:k + 4], ' '))) as shingle from i where len(w) > 0),
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents where doc_id is not null and text is not null),
+i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from benchmark where item_id is not null and text is not null),
+ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) as shingle from d where len(w) > 0),
+si as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) as shingle from i where len(w) > 0),
 n as (select item_id, count(*) as n_shingles from si group by item_id),
 f as (select doc_id, item_id, count(*) as n_found from ds join si using (shingle) group by doc_id, item_id)
 select doc_id, item_id, n_shingles, n_found, n_found / n_shingles as containment from f join n using (item_id) where n_found >= 0.8 * n_shingles - 1e-9
