@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts_of
+from .common import bound_batches, texts_of, tidy
 
 BITS = 16  # buckets: 2 ** BITS
 ORDERS = (1, 2, 3)
@@ -108,7 +108,7 @@ def train(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> tuple[list[str
     if not sizes:
         return [], np.zeros((0, 1 << BITS), np.float32)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1 << 30, int((1 << 30) * per_lang / n) + 1)))]), F.col("lang"))
-    got = rows.where(draw).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where(draw).mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(sizes)
     counts = np.zeros((len(langs), 1 << BITS))
     place = {x: i for i, x in enumerate(langs)}
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -159,7 +159,7 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             pred, _ = score_texts([t or "" for t in batch.column(at).to_pylist()], langs, sent.value)
             yield batch.filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts_of
+from .common import bound_batches, texts_of, tidy
 
 #: The field is fitted on about so many labelled documents of each class at most, and so many lines of each.
 MAX_TRAIN_PER_CLASS, MAX_TRAIN_LINES = 1000, 60
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([c.astype(np.int16).tobytes() for c in cut], pa.binary())], names=["doc_id", "quality", "f"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    got = rows.mapInArrow(run, f"doc_id {types['doc_id']}, quality {types['quality']}, f binary").collect()
+    got = rows.mapInArrow(tidy(run), f"doc_id {types['doc_id']}, quality {types['quality']}, f binary").collect()
     got = {r["doc_id"]: (np.frombuffer(r["f"], np.int16).reshape(-1, len(BOUNDS)), int(r["quality"])) for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["f"])))}
     return fit_field(list(got.values()))
 
@@ -225,4 +225,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             failed = (figures[:, 0] < MIN_WORDS) | (100 * figures[:, 4] > REPEAT_PERCENT * figures[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(figures[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & (share >= KEEP_SHARE)), pa.array(share)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")

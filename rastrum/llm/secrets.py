@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, per_batch, sha, texts_of
+from .common import bound_batches, per_batch, sha, texts_of, tidy
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
 BASE_KINDS = KINDS[:3]
@@ -192,4 +192,4 @@ def redacted(docs: DataFrame) -> DataFrame:
         cols[at] = pa.array(out, pa.string())
         return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)
+    return docs.mapInArrow(tidy(lambda batches: map(run, batches)), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts_of
+from .common import bound_batches, cut, texts_of, tidy
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
 _SPLIT = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|\n")
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     # read twice, for the minimum and for the join: cut, so that texts are split once
-    hashes = cut(rows.where("doc_id is not null").mapInArrow(_emit, f"h1 long, h2 long, doc_id {kind}"), "spans")
+    hashes = cut(rows.where("doc_id is not null").mapInArrow(tidy(_emit), f"h1 long, h2 long, doc_id {kind}"), "spans")
     first = hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     marks = hashes.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated"))  # a document's own spans
 
@@ -107,7 +107,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             text, *counts = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "text", "n_sentences", "n_removed", "n_removed_words"])
 
-    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "repeated").mapInArrow(run, f"doc_id {kind}, text string, n_sentences long, n_removed long, n_removed_words long")
+    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "repeated").mapInArrow(tidy(run), f"doc_id {kind}, text string, n_sentences long, n_removed long, n_removed_words long")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -21,18 +21,21 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads of the library in one Python worker, and parts that a worker keeps before it starts anew.
-THREADS, CACHE_PARTS = 2, 300_000
+THREADS, CACHE_PARTS = 2, 200_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -165,12 +168,24 @@ class Codec:
         ids = [np.frombuffer(b"".join([known[p] for p in parts]), np.int32) for parts in split]
         return ids, [not odd or odd.isdisjoint(parts) for parts in split]
 
+    def forget(self) -> None:
+        """Drops known parts."""
+        self.known, self.odd = {}, set()
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes of byte pieces, blanks for markers, the prefix blank taken off."""
         raw = b"".join([self.bytes[i] for i in ids.tolist()])
         return raw[1 if self.prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some SLICE bytes of text, whole rows each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+    bounds = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True])
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield batch.slice(s, e - s)
+
+
 @cache
 def _codec(data: bytes) -> Codec:
     return Codec(data)
@@ -192,19 +207,25 @@ def transcode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, parity = codec.encode(texts)
-            decoded = [codec.decode(x) for x in ids]
-            got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: parity, "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
-            arrays = []
-            for c in outputs:
-                if c == "ids":
-                    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))))
-                else:
-                    arrays.append(pa.array(list(got[c]()), kinds[c][1]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *outputs])
+        try:
+            for batch in batches:
+                yield from map(one, slices(batch), repeat(codec))
+        finally:
+            codec.forget()
+
+    def one(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        ids, parity = codec.encode(texts)
+        decoded = [codec.decode(x) for x in ids]
+        got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: parity, "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
+        arrays = []
+        for c in outputs:
+            if c == "ids":
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))))
+            else:
+                arrays.append(pa.array(list(got[c]()), kinds[c][1]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *outputs])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} {kinds[c][0]}" for c in outputs)]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} {kinds[c][0]}" for c in outputs)]))

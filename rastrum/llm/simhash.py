@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, tidy
 from .components import components
 
 BITS, SEED = 64, 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
             fps = np.array([fingerprint(t or "", size) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
     ready = many.where(f"n <= {DIVIDE}").select("sig", "bucket", "fp").union(divided.select("c.*"))
     bound_batches(fps.sparkSession)
     fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    return ready.repartition("sig", "bucket").sortWithinPartitions("sig", "bucket").mapInArrow(_links(limit), "a long, b long")
+    return ready.repartition("sig", "bucket").sortWithinPartitions("sig", "bucket").mapInArrow(tidy(_links(limit)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
