@@ -18,27 +18,25 @@ other, whatever their texts; rows with a null id neither lose bytes nor count as
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts_of
+from .common import bound_batches, cut, texts_of, tidy
 
 LENGTH, GRAM = 50, 12
 WINDOW = LENGTH - GRAM + 1  # minimiser places in a string
 SIDE = (LENGTH - GRAM) // 2  # bytes that a string has on one side of its minimiser at least
 #: Text of segments in a bin and in the part of a bin that becomes one collection; file bytes kept in memory; entries read at once.
-BIN_BYTES, PART_BYTES, SPOOL, BLOCK = 48 << 20, 3 << 20, 32 << 20, 1 << 19
+BIN_BYTES, PART_BYTES, SPOOL, BLOCK = 48 << 20, 2 << 20, 32 << 20, 1 << 20
 MAX_BINS = 4096
 #: Segment text is so many times the documents' text, about.
 BLOW_UP = 3.4
@@ -68,25 +66,41 @@ def cut_segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return buf, none, none, none, none.astype(np.uint64)
     u = _words(buf)
-    h = _mix(u[:n] ^ (u[GRAM - 8 : GRAM - 8 + n] * _B))
-    low = np.uint64(63)
-    h = (h & ~low) | (np.arange(n, dtype=np.uint64) & low)  # the place, so that the least hash tells where it stands
-    m, k = h[: n - GRAM + 1], 1
+    valid = np.zeros(n, bool)  # where a string starts
+    at = 0
+    for x in lengths.tolist():
+        if x >= LENGTH:
+            valid[at : at + x - LENGTH + 1] = True
+        at += x
+    got = [_runs(u, valid, lo, min(lo + STRETCH, n - LENGTH + 1)) for lo in range(0, n - LENGTH + 1, STRETCH)]
+    return buf, *(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+#: Strings whose minimisers are found at once; their places must fit into the bits below.
+STRETCH, PLACE_BITS = 1 << 23, 24
+
+
+def _runs(u: np.ndarray, valid: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, numbers of strings, minimisers' places, hashes) of runs of strings lo..hi that share a minimiser. Among equal hashes the
+    first in the string is taken, so that the choice depends on the string's bytes alone."""
+    n = hi - lo + LENGTH - GRAM
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    h = _mix(u[lo : lo + n] ^ (u[lo + GRAM - 8 : lo + GRAM - 8 + n] * _B))
+    h &= ~low
+    h |= np.arange(n, dtype=np.uint64)
+    m, k = h, 1
     while 2 * k <= WINDOW:
         m = np.minimum(m[:-k], m[k:])
         k *= 2
     m = np.minimum(m[: len(m) - (WINDOW - k)], m[WINDOW - k :])
-    valid = np.zeros(len(m) + 2, bool)
-    at = 0
-    for x in lengths.tolist():
-        valid[at + 1 : at + x - LENGTH + 2] = x >= LENGTH
-        at += x
-    same = np.zeros(len(m) + 1, bool)
+    ok = np.zeros(hi - lo + 2, bool)
+    ok[1:-1] = valid[lo:hi]
+    same = np.zeros(hi - lo + 1, bool)
     same[1:-1] = m[1:] == m[:-1]
-    starts = np.flatnonzero(valid[1:-1] & ~(valid[:-2] & same[:-1]))
-    ends = np.flatnonzero(valid[1:-1] & ~(valid[2:] & same[1:]))
+    starts = np.flatnonzero(ok[1:-1] & ~(ok[:-2] & same[:-1]))
+    ends = np.flatnonzero(ok[1:-1] & ~(ok[2:] & same[1:]))
     least = m[starts]
-    return buf, starts, ends - starts + 1, ((least & low) - starts.astype(np.uint64) & low).astype(np.int64), _mix(least >> np.uint64(6))
+    return starts + lo, ends - starts + 1, (least & low).astype(np.int64) - starts, _mix(least >> np.uint64(PLACE_BITS))
 
 
 def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -97,7 +111,7 @@ def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
 
 
 def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
@@ -146,25 +160,58 @@ def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -
 
 
 class Spool:
-    """A sequence of numbers written in order and read in order, in memory while small and in a temporary file beyond."""
+    """A sequence of numbers written in order and read in order: arrays as they were written while small, a temporary file beyond."""
 
     def __init__(self, kind: type):
-        self.kind, self.n, self.file = np.dtype(kind), 0, tempfile.SpooledTemporaryFile(max_size=SPOOL)
+        self.kind, self.n, self.parts, self.file, self.at = np.dtype(kind), 0, [], None, (0, 0)
 
     def write(self, x: np.ndarray) -> None:
-        self.file.write(np.ascontiguousarray(x, self.kind).data)
+        x = np.ascontiguousarray(x, self.kind)
         self.n += len(x)
-
-    def blocks(self, size: int = BLOCK) -> Iterator[np.ndarray]:
-        self.file.seek(0)
-        while data := self.file.read(size * self.kind.itemsize):
-            yield np.frombuffer(data, self.kind)
+        if self.file is None and self.n * self.kind.itemsize > SPOOL:
+            self.file = tempfile.TemporaryFile()
+            for part in self.parts:
+                self.file.write(part.data)
+            self.parts = []
+        if self.file is None:
+            self.parts.append(x)
+        else:
+            self.file.write(x.data)
+
+    def rewind(self) -> None:
+        self.at = (0, 0)
+        if self.file is not None:
+            self.file.seek(0)
+
+    def read(self, n: int) -> np.ndarray:
+        """The next n numbers, fewer at the end."""
+        if self.file is not None:
+            return np.frombuffer(self.file.read(n * self.kind.itemsize), self.kind)
+        got = []
+        while n and self.at[0] < len(self.parts):
+            k, s = self.at
+            x = self.parts[k][s : s + n]
+            n -= len(x)
+            self.at = (k, s + len(x)) if s + len(x) < len(self.parts[k]) else (k + 1, 0)
+            got.append(x)
+        return got[0] if len(got) == 1 else np.concatenate([np.zeros(0, self.kind), *got])
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All in order: the arrays that were written, or blocks of the file."""
+        self.rewind()
+        if self.file is None:
+            yield from (x for x in self.parts if len(x))
+        else:
+            while len(x := self.read(BLOCK)):
+                yield x
 
     def all(self) -> np.ndarray:
         return np.concatenate([np.zeros(0, self.kind), *self.blocks()])
 
     def close(self) -> None:
-        self.file.close()
+        self.parts = []
+        if self.file is not None:
+            self.file.close()
 
 
 def common(u: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
@@ -187,92 +234,112 @@ def common(u: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) ->
 TERMINATOR = 0xFF
 
 
-def transform(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int = LENGTH) -> tuple[Spool, Spool, Spool]:
-    """(transform, suffix starts, common prefixes) of the strings text[starts : starts + lengths]. Strings lie in order with a
-    terminator after each, and text is padded. Round j inserts, for every string that is long enough, the symbol before its suffix
-    of length j, that is its suffix of length j + 1. A suffix's start is its place in text; empty suffixes come first, in order of
-    strings. The common prefix with the predecessor, up to limit, is kept where both suffixes have that length, else it is 0."""
+def transform(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int = LENGTH) -> tuple[Spool, Spool]:
+    """(entries, common prefixes) of the strings text[starts : starts + lengths]. Strings lie in order with a terminator after each,
+    and text is padded. An entry is a suffix's start in text, times 256, plus the symbol before it; the low bytes in order are the
+    transform. Round j inserts, for every string that is long enough, its suffix of length j + 1, that is the symbol before its suffix
+    of length j. Empty suffixes come first, in order of strings. The common prefix with the predecessor, up to limit, is kept where
+    both suffixes have that length, else it is 0."""
     u = _words(text)
-    count = len(starts)
     end = starts + lengths
-    files = (Spool(np.uint8), Spool(np.int32), Spool(np.uint8))
-    for f, x in zip(files, (text[end - 1], end, np.zeros(count)), strict=True):
-        f.write(x)
+    wide = np.uint32 if len(text) < 1 << 24 else np.uint64
+    room = np.zeros(len(text), np.uint16)  # bytes from a place to its string's end
+    for j in range(1, limit + 1):
+        room[(end - j)[lengths >= j]] = j
+    room[np.repeat(starts, np.maximum(lengths - limit, 0)) + _counting(np.maximum(lengths - limit, 0))] = limit
+    entries, prefix = Spool(wide), Spool(np.uint8)
+    entries.write(end.astype(wide) << 8 | text[end - 1])
     heads = np.zeros(257, np.int64)  # suffixes by first symbol, empty ones before them
-    heads[0] = count
-    who, at = np.arange(count), np.arange(count)  # the strings and entries of the last round, in order of entries
+    heads[0] = len(starts)
+    stand = np.bincount(text[end - 1], minlength=256)  # symbols in the transform
+    at, place = np.arange(len(starts)), end  # entries and starts of the last round's suffixes, in order
     for j in range(int(lengths.max(initial=0))):
-        more = lengths[who] > j
-        who, at = who[more], at[more]
-        symbol = text[end[who] - 1 - j]
-        rank = _ranks(files[0], at, symbol)
+        go = text[place - 1] != TERMINATOR if j else np.ones(len(place), bool)
+        place, rank, symbol = _ranks(entries, at[go], stand)
         heads[1:] += np.bincount(symbol, minlength=256)
-        to = np.cumsum(heads)[symbol] + rank  # heads[c + 1] counts symbol c, so this is all that sort before the suffix
-        order = np.argsort(to, kind="stable")
-        who, at = who[order], to[order]
-        place = end[who] - 1 - j
-        before = np.where(lengths[who] == j + 1, TERMINATOR, text[place - 1]).astype(np.uint8)
-        files = _merge(u, files, at, place, before, end if j + 1 >= limit else None, limit)
-    return files
-
-
-def _ranks(bwt: Spool, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """How often each symbol stands in the transform before entry ``at`` (ascending), in one pass."""
-    rank = np.empty(len(at), np.int64)
+        at = np.cumsum(heads)[symbol] + rank  # heads[c + 1] counts symbol c, so this is all that sort before the suffix
+        place = place - 1
+        before = text[place - 1] if place.min(initial=1) else np.where(place > 0, text[place - 1], TERMINATOR)
+        stand = stand + np.bincount(before, minlength=256)
+        if j + 1 == limit:
+            prefix.write(np.zeros(entries.n, np.uint8))
+        entries, prefix = _merge(u, room, entries, prefix, at, place.astype(wide) << 8 | before, j + 1 >= limit, limit)
+    if not prefix.n:
+        prefix.write(np.zeros(entries.n, np.uint8))
+    return entries, prefix
+
+
+def _counting(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each n, put together."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _ranks(entries: Spool, at: np.ndarray, stand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the entries ``at`` (ascending), sorted by symbol, then entry: (suffix's start, how often the symbol stands before the entry,
+    symbol), in one pass. stand: how often each symbol stands in all entries."""
+    got = []
     so_far = np.zeros(256, np.int64)
     lo = 0
-    for block in bwt.blocks():
-        here = np.bincount(block, minlength=256)
+    for block in entries.blocks():
+        symbols = block.view(np.uint8)[:: block.itemsize].copy()
         s, e = np.searchsorted(at, (lo, lo + len(block)))
-        if s < e:
-            inverse = np.empty(len(block), np.int32)
-            inverse[np.argsort(block, kind="stable")] = np.arange(len(block), dtype=np.int32)
-            c = symbol[s:e]
-            rank[s:e] = inverse[at[s:e] - lo] - (np.cumsum(here) - here)[c] + so_far[c]
-        so_far += here
+        order = np.argsort(symbols, kind="stable")
+        count = stand if len(block) == entries.n else np.bincount(symbols, minlength=256)
+        asked = np.zeros(len(block), bool)
+        asked[at[s:e] - lo] = True
+        k = np.flatnonzero(asked[order])
+        entry = order[k]
+        c = symbols[entry]
+        got.append(((block[entry] >> 8).astype(np.int64), k - (np.cumsum(count) - count)[c] + so_far[c], c))
+        so_far += count
         lo += len(block)
-    return rank
-
-
-def _merge(u: np.ndarray, files: tuple[Spool, Spool, Spool], at: np.ndarray, place: np.ndarray, before: np.ndarray, end: np.ndarray | None, limit: int) -> tuple[Spool, Spool, Spool]:
-    """New files with the suffixes at ``place`` put in as entries ``at`` (ascending), in one pass over the old ones. With ``end``, the
-    ends of strings, common prefixes of the new entries and of those that follow them are counted."""
-    out = (Spool(np.uint8), Spool(np.int32), Spool(np.uint8))
-    total = files[0].n + len(at)
+    if len(got) == 1:
+        return got[0]
+    start, rank, c = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(c, kind="stable")
+    return start[order], rank[order], c[order]
+
+
+def _merge(u: np.ndarray, room: np.ndarray, entries: Spool, prefix: Spool, at: np.ndarray, new: np.ndarray, compare: bool, limit: int) -> tuple[Spool, Spool]:
+    """New files with ``new`` put in as entries ``at`` (ascending), in one pass over the old ones. With ``compare`` the common prefixes of
+    the new entries and of those that follow them are counted."""
+    out, out_prefix = Spool(entries.kind), Spool(np.uint8)
+    total = entries.n + len(at)
     lo = done = 0  # entries and new entries written
     last, last_new = -1, False  # suffix of the last entry written, and whether it is new
-    for old in zip(*(f.blocks() for f in files), strict=True):
+    prefix.rewind()
+    for old in entries.blocks():
         # old entries of this block that stand before each new entry still to come; those after its last wait, unless no block follows
         ahead = at[done:] - lo - np.arange(len(at) - done)
-        take = len(ahead) if lo + len(old[0]) + len(ahead) == total else int(np.searchsorted(ahead, len(old[0])))
-        mask = np.zeros(len(old[0]) + take, bool)
-        mask[at[done : done + take] - lo] = True
-        got = []
-        for o, x in zip(old, (before[done : done + take], place[done : done + take], 0), strict=True):
-            y = np.empty(len(mask), o.dtype)
-            y[~mask] = o
-            y[mask] = x
-            got.append(y)
-        if end is not None:
+        take = len(ahead) if lo + len(old) + len(ahead) == total else int(np.searchsorted(ahead, len(old)))
+        mask = np.zeros(len(old) + take, bool)
+        fresh = at[done : done + take] - lo
+        mask[fresh] = True
+        stay = ~mask
+        got = np.empty(len(mask), old.dtype)
+        got[stay] = old
+        got[fresh] = new[done : done + take]
+        out.write(got)
+        if compare:
+            p = np.zeros(len(mask), np.uint8)
+            p[stay] = prefix.read(len(old))
             look = np.flatnonzero(mask | np.r_[last_new, mask[:-1]])
             if len(look):
-                got[2][look] = _prefix(u, np.where(look > 0, got[1][look - 1], last), got[1][look], end, limit)
-        for f, y in zip(out, got, strict=True):
-            f.write(y)
-        last, last_new = int(got[1][-1]), bool(mask[-1])
+                here = (got[look] >> 8).astype(np.int64)
+                prior = (got[np.maximum(look - 1, 0)] >> 8).astype(np.int64)
+                if look[0] == 0:
+                    prior[0] = last
+                ok = np.flatnonzero((prior >= 0) & (room[prior] >= limit) & (room[here] >= limit))
+                p[look] = 0
+                p[look[ok]] = common(u, prior[ok], here[ok], limit)
+            out_prefix.write(p)
+        last, last_new = int(got[-1] >> 8), bool(mask[-1])
         lo, done = lo + len(mask), done + take
-    for f in files:
-        f.close()
-    return out
-
-
-def _prefix(u: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
-    """common() of suffixes that have ``limit`` bytes both, else 0."""
-    room = [end[np.searchsorted(end, x)] - x for x in (a, b)]
-    ok = np.flatnonzero((a >= 0) & (room[0] >= limit) & (room[1] >= limit))
-    out = np.zeros(len(a), np.uint8)
-    out[ok] = common(u, a[ok], b[ok], limit)
-    return out
+    entries.close()
+    if compare:
+        prefix.close()
+        return out, out_prefix
+    return out, prefix
 
 
 def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -284,10 +351,10 @@ def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarr
     spaced = np.full(len(text) + len(lengths) + PAD, TERMINATOR, np.uint8)
     spaced[apart] = text
     files = transform(spaced, starts, lengths)
-    suffix, prefix = files[1].all().astype(np.int64), files[2].all()
+    suffix, prefix = (files[0].all() >> 8).astype(np.int64), files[1].all()
     for f in files:
         f.close()
-    owner = np.searchsorted(starts, suffix, "right") - 1
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)[suffix]
     long = starts[owner] + lengths[owner] - suffix >= LENGTH
     group = np.cumsum(prefix < LENGTH)[long]
     suffix, owner = suffix[long], owner[long]
@@ -420,13 +487,6 @@ def _receive(parts: int):
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no plan needs any more, before the next shuffle takes room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
 def repeats(docs: DataFrame, tagged: bool) -> DataFrame:
     """(doc_id, tag, pairs): for a document and a bin, 32-bit starts and ends of stretches that smaller documents hold too. tag tells
     apart rows with the same doc_id: a hash of the text, or 0 where ids are known to differ."""
@@ -448,8 +508,8 @@ def repeats(docs: DataFrame, tagged: bool) -> DataFrame:
     label = {r["bin"]: r["label"] for r in label}
     labels = [label.get(k, k) for k in range(bins)]
 
-    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "bin int, packed binary")
-    return cut(sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(_receive(parts), "doc_id long, tag long, pairs binary"), "repeats")
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(send), "bin int, packed binary")
+    return cut(sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(tidy(_receive(parts)), "doc_id long, tag long, pairs binary"), "repeats")
 
 
 def union(pairs: list[bytes]) -> np.ndarray:
@@ -469,7 +529,6 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     tagged = not ids.isEmpty()
     found = repeats(docs, tagged)
-    release(docs.sparkSession)
     own = found.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_list("pairs").alias("pairs"))  # a document's own repeats
     if tagged:  # all that rows of one id have, by tag
         own = own.groupBy("id").agg(F.collect_list(F.struct("tag", "pairs")).alias("all"))
@@ -495,4 +554,4 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
