@@ -14,6 +14,7 @@ Spans are code points, end exclusive. Without candidates no model is fitted and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +119,18 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, m.start(), m.end()) for k in KINDS if k in kinds for m in _WEAK[k].finditer(text)]
 
 
+def apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of the others."""
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e in others):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return [x for x in spans if (k := bisect_right(ends, x[1])) == len(ends) or starts[k] >= x[2]]
+
+
 def votes_of(kind: str, s: int, e: int, text: str, base: bool) -> tuple[str, str]:
     """(one vote of + - 0 for each labeler, the classifier's further features)."""
     span = text[s:e]
@@ -143,8 +156,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
         rows = []
         for text in texts_of(batch):
             base = base_spans(text)
-            taken = sorted((s, e) for _, s, e in base)
-            rest = [(k, s, e) for k, s, e in weak_spans(text) if not any(x < e and s < y for x, y in taken)] if text else []
+            rest = apart(weak_spans(text), base) if text else []
             got = []
             for spans, strict in ((base, True), (rest, False)):
                 for k, s, e in spans:
