@@ -32,6 +32,8 @@ from .components import components
 BITS, SEED = 64, 42
 #: Children of an index node; queries that go down together; fingerprints above which a bucket is divided.
 FAN, QUERIES, DIVIDE = 16, 4096, 2048
+#: Rows of a fingerprint that may count as many, and parts that they are dealt to.
+HOT_ROWS, PARTS = 200, 64
 
 
 def fingerprint(text: str, size: int) -> int:
@@ -188,13 +190,19 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
     found = cut(fingerprints(docs, size), "fingerprints")
-    groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
+    groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
     members = components(links(groups, limit)).withColumnRenamed("node", "fp")
     joined = groups.join(members, "fp")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = joined.join(least, "root").select("fp", "component_id")
     of = groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint with over a thousandth of the rows, of which there are less than a thousand, is dealt to many tasks
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = [r["fp"] for r in groups.where(F.col("n") > max(HOT_ROWS, total // 1000)).select("fp").collect()]
+    part = lambda yes, no: F.when(F.col("fp").isin(hot), yes).otherwise(no) if hot else no
+    found = found.withColumn("part", part(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"), F.lit(0)))
+    of = of.withColumn("part", F.explode(part(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.array(F.lit(0)))))
+    return found.join(of, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
