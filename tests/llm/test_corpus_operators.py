@@ -299,7 +299,9 @@ def plain_fingerprint(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_is_brute_force(spark, corpus):
+@pytest.mark.parametrize("hot", [200, 1])
+def test_simhash_is_brute_force(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rows = [*corpus, (1, None), (2, ""), (3, "a B c d")]
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
     fps = [plain_fingerprint(t) for _, t in rows]
