@@ -14,26 +14,34 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
+def _next_head(chunks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, _k, _later): the first run start after chunk _k, looked for inside groups of ``size`` chunks and, where a group has none left,
+    among the groups' first starts, so that a window orders one group's chunks or one row per group."""
+    x = chunks.withColumn("_g", F.expr(f"_k div {size}"))
+    ahead = lambda c, w: F.min(c).over(w.rowsBetween(1, W.unboundedFollowing))
+    groups = x.groupBy(*keys, "_g").agg(F.min("_head").alias("_gh"))
+    groups = groups.withColumn("_gl", ahead("_gh", W.partitionBy(*keys).orderBy("_g"))).drop("_gh")
+    inside = x.withColumn("_own", ahead("_head", W.partitionBy(*keys, "_g").orderBy("_k")))
+    return inside.join(groups, [*keys, "_g"]).select(*keys, "_k", F.coalesce("_own", "_gl").alias("_later"))
+
+
 def run_lengths(df: DataFrame, keys: list[str], pos: str, value: str, chunk: int = CHUNK) -> DataFrame:
     """(keys, start_pos, value, run_length): runs of equal values in order of ``pos``, a whole number without gaps.
 
-    Changes are found inside chunks of positions; a chunk's first row is compared with the last value of the chunk before it, of which
-    there is one small row per chunk. Runs end where the next begins, so no task orders more than one chunk or the chunks' summaries."""
+    Changes are found inside chunks of positions; a chunk's first row is compared with the last value of the chunk before it, which an
+    equi-join on the chunk's number brings. Runs end where the next begins. No task orders more than a chunk, a group of chunks or the
+    groups' summaries."""
     x = df.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(value).alias("_v")).withColumn("_k", F.expr(f"_p div {chunk}"))
-    ends = x.groupBy(*keys, "_k").agg(F.max_by("_v", "_p").alias("_last"))
-    before = ends.withColumn("_prev", F.lag("_last").over(W.partitionBy(*keys).orderBy("_k"))).withColumn("_some", F.row_number().over(W.partitionBy(*keys).orderBy("_k")) > 1).drop("_last")
+    ends = x.groupBy(*keys, "_k").agg(F.max_by("_v", "_p").alias("_prev"), F.max("_p").alias("_top"))
+    before = ends.select(*keys, (F.col("_k") + 1).alias("_k"), "_prev", F.lit(True).alias("_some"))
     inside = W.partitionBy(*keys, "_k").orderBy("_p")
-    first = F.row_number().over(inside) == 1
-    x = x.withColumn("_lag", F.lag("_v").over(inside)).withColumn("_first", first).join(before, [*keys, "_k"])
-    change = F.when(F.col("_first"), ~F.col("_some") | ~F.col("_prev").eqNullSafe(F.col("_v"))).otherwise(~F.col("_lag").eqNullSafe(F.col("_v")))
+    x = x.withColumn("_lag", F.lag("_v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(before, [*keys, "_k"], "left")
+    change = F.when(F.col("_first"), F.col("_some").isNull() | ~F.col("_prev").eqNullSafe(F.col("_v"))).otherwise(~F.col("_lag").eqNullSafe(F.col("_v")))
     starts = x.where(change).select(*keys, F.col("_p").alias("start_pos"), F.col("_v").alias(value), "_k")
-    # where the next run starts: in the chunk, or in a later one, or the end of all
     heads = starts.groupBy(*keys, "_k").agg(F.min("start_pos").alias("_head"))
-    chunks = ends.drop("_last").join(heads, [*keys, "_k"], "left")
-    later = F.min("_head").over(W.partitionBy(*keys).orderBy("_k").rowsBetween(1, W.unboundedFollowing))
-    top = x.groupBy(*keys).agg((F.max("_p") + 1).alias("_end"))
-    chunks = chunks.withColumn("_later", later).drop("_head")
-    got = starts.withColumn("_next", F.lead("start_pos").over(W.partitionBy(*keys, "_k").orderBy("start_pos"))).join(chunks, [*keys, "_k"])
+    later = _next_head(ends.select(*keys, "_k").join(heads, [*keys, "_k"], "left"), keys, chunk)
+    top = ends.groupBy(*keys).agg((F.max("_top") + 1).alias("_end"))
+    got = starts.withColumn("_next", F.lead("start_pos").over(W.partitionBy(*keys, "_k").orderBy("start_pos"))).join(later, [*keys, "_k"])
     got = got.join(top, keys) if keys else got.crossJoin(F.broadcast(top))  # one row
     return got.select(*keys, "start_pos", value, (F.coalesce("_next", "_later", "_end") - F.col("start_pos")).alias("run_length"))
 

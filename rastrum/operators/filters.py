@@ -5,6 +5,8 @@ every neighbour: each pass orders single rows or columns, never a picture."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), x)).cast("int")
 
 
-def _pass(px: DataFrame, along: str, across: str, weights: tuple[int, ...], to: str, source: str) -> DataFrame:
+def _pass(px: DataFrame, along: str, across: str, weights: tuple[float, ...], to: str, source: str) -> DataFrame:
     """Weighted sum of a symmetric kernel (centre first, then outwards) along one axis."""
     w = W.partitionBy("image_id", across).orderBy(along)
     x = F.col(source)
@@ -38,10 +40,28 @@ def sharpen(px: DataFrame) -> DataFrame:
     return box.select("image_id", "r", "c", clamp(10 * F.col("v") - F.col("_b")).alias("v"))
 
 
+def binomial_blur(px: DataFrame, radius: int) -> DataFrame:
+    """Blur with binomial weights over 2 * radius + 1 pixels each way, rounded half up. radius: up to 5, so that sums are ints."""
+    if not 1 <= radius <= 5:
+        raise ValueError("radius must be 1 to 5")
+    weights = tuple(math.comb(2 * radius, radius + k) for k in range(radius + 1))
+    got = _pass(_pass(px, "c", "r", weights, "_s", "v"), "r", "c", weights, "_b", "_s")
+    total = 1 << 4 * radius
+    return got.select("image_id", "r", "c", F.expr(f"cast((_b + {total // 2}) div {total} as int)").alias("v"))
+
+
 def gaussian5(px: DataFrame) -> DataFrame:
-    """5 x 5 binomial blur, rounded half up."""
-    got = _pass(_pass(px, "c", "r", (6, 4, 1), "_s", "v"), "r", "c", (6, 4, 1), "_b", "_s")
-    return got.select("image_id", "r", "c", F.expr("cast((_b + 128) div 256 as int)").alias("v"))
+    return binomial_blur(px, 2)
+
+
+def gaussian11(px: DataFrame) -> DataFrame:
+    return binomial_blur(px, 5)
+
+
+def smooth(px: DataFrame, source: str, weights: tuple[float, ...]) -> DataFrame:
+    """px with ``source`` replaced by its weighted sum along rows and columns; weights of the centre first, then outwards."""
+    got = _pass(_pass(px, "c", "r", weights, "_s", source), "r", "c", weights, "_b", "_s")
+    return got.withColumn(source, F.col("_b")).drop("_s", "_b")
 
 
 def normalise(px: DataFrame) -> DataFrame:
@@ -97,4 +117,4 @@ def regions(px: DataFrame) -> DataFrame:
 def plate_boxes(px: DataFrame, top: int = 10, aspect: float = 4.0) -> DataFrame:
     """Of a picture's ``top`` largest edge regions those that are over ``aspect`` times as wide as high."""
     w = W.partitionBy("image_id").orderBy(F.desc("area"), "y", "x")
-    return regions(edges(gaussian5(px))).withColumn("rank", F.row_number().over(w)).where(f"rank <= {top} and w / h > {aspect}").drop("rank")
+    return regions(edges(gaussian11(px))).withColumn("rank", F.row_number().over(w)).where(f"rank <= {top} and w / h > {aspect}").drop("rank")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import smooth
+
 
 def histogram(px: DataFrame) -> DataFrame:
     """(image_id, v, n) of the values that occur."""
@@ -44,6 +48,20 @@ def ssim_block(a: DataFrame, b: DataFrame, side: int = 8) -> DataFrame:
     return m.groupBy("image_id").agg(F.avg(s).alias("ssim"))
 
 
+def ssim(a: DataFrame, b: DataFrame, sigma: float = 1.5, radius: int = 5) -> DataFrame:
+    """(image_id, ssim): mean structural similarity of Wang et al. with a Gaussian window; windows at the border are mirrored."""
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    w = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(radius + 1)]
+    total = w[0] + 2 * sum(w[1:])
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    m = _pairs(a, b).select("image_id", "r", "c", x.alias("mx"), y.alias("my"), (x * x).alias("xx"), (y * y).alias("yy"), (x * y).alias("xy"))
+    for name in ("mx", "my", "xx", "yy", "xy"):
+        m = smooth(m, name, tuple(k / total for k in w))
+    mx, my = F.col("mx"), F.col("my")
+    s = (2 * mx * my + c1) * (2 * (F.col("xy") - mx * my) + c2) / ((mx * mx + my * my + c1) * (F.col("xx") - mx * mx + F.col("yy") - my * my + c2))
+    return m.groupBy("image_id").agg(F.avg(s).alias("ssim"))
+
+
 def block_variance(px: DataFrame, side: int = 8) -> DataFrame:
     """(image_id, br, bc, variance): population variance of each block; edge blocks may be smaller."""
     return px.groupBy("image_id", F.expr(f"cast(r div {side} as int)").alias("br"), F.expr(f"cast(c div {side} as int)").alias("bc")).agg(F.var_pop("v").alias("variance"))

@@ -99,6 +99,11 @@ def gaussian5(spark, d):
     return filters.gaussian5(R.tall(spark, d))
 
 
+@query(S.GAUSS11)
+def gaussian11(spark, d):
+    return filters.gaussian11(R.tall(spark, d))
+
+
 @query(S.BLUR_SHARPEN)
 def blur_sharpen(spark, d):
     return filters.sharpen(filters.gaussian5(R.tall(spark, d)))
@@ -478,6 +483,23 @@ def ssim_block(spark, d):
     return metrics.ssim_block(R.tall(spark, d), filters.gaussian5(R.tall(spark, d))).select("image_id", _r("ssim"))
 
 
+@query(S.SSIM_GAUSS)
+def ssim_gaussian(spark, d):
+    px = R.tile(spark, d)
+    return metrics.ssim(px, px.withColumn("v", F.col("v").bitwiseAND(252))).select("image_id", _r("ssim"))
+
+
+@query(S.COMPARISON)
+def adaptive_vs_fixed(spark, d):
+    """Both ways of embedding two bits a pixel, side by side."""
+    cover, bits = R.mixed(spark, d), B.message_bits(spark, "Hi!", "lsb")
+    out = None
+    for name, stego in (("fixed", hiding.embed_fixed2(cover, bits, 8)), ("adaptive", hiding.embed_adaptive2(cover, bits, 8))):
+        got = metrics.psnr(cover, stego).join(metrics.compare(cover, stego), "image_id").select(F.lit(name).alias("method"), "image_id", _r("mse"), F.col("n_different").alias("n_changed"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query(S.TALL + "select cast(0 as bigint) as image_id, count(*) * 2 as lsb_bits, cast((max(r) + 1) // 8 * ((max(c) + 1) // 8) as bigint) as dct_parity_bits, cast((max(r) + 1) // 8 * ((max(c) + 1) // 8) * 10 as bigint) as dct_lsb_bits, (select max(n) from (select count(*) as n from tall where v <= 254 group by v)) as shift_bits from tall")
 def embedding_capacity(spark, d):
     return metrics.capacity(R.tall(spark, d), 2)

@@ -51,6 +51,8 @@ _SHARP, _BLUR = "greatest(0, least(255, {s}))", "({s} + 128) // 256"
 SHARPEN = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 1, _K3, _SHARP) + ") select cast(0 as bigint) as image_id, r, c, v from o"
 GAUSS = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 2, _K5, _BLUR) + ") select cast(0 as bigint) as image_id, r, c, v from o"
 BLUR_SHARPEN = TALL + ", " + _MIRROR + ", s as (" + _convolve("tall", 2, _K5, _BLUR) + "), o as (" + _convolve("s", 1, _K3, _SHARP) + ") select cast(0 as bigint) as image_id, r, c, v from o"
+_W11 = "(case abs({d}) when 0 then 252 when 1 then 210 when 2 then 120 when 3 then 45 when 4 then 10 else 1 end)"
+GAUSS11 = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 5, _W11.format(d="dy") + " * " + _W11.format(d="dx"), "({s} + 524288) // 1048576") + ") select cast(0 as bigint) as image_id, r, c, v from o"
 NORMALISE = TILE + "select t.image_id, r, c, cast(case when hi > lo then floor(round((v - lo) * 255.0::double / (hi - lo), 6) + 0.5) else 0 end as integer) as v from tile t join (select image_id, min(v) as lo, max(v) as hi from tile group by image_id) using (image_id)"
 EDGES = (
     TALL
@@ -186,6 +188,24 @@ SSIM = (
     + "), m as (select a.r // 8 as br, a.c // 8 as bc, avg(a.v) as mx, avg(o.v) as my, avg(a.v * a.v) as xx, avg(o.v * o.v) as yy, avg(a.v * o.v) as xy from tall a join o using (r, c) group by 1, 2) select cast(0 as bigint) as image_id, round(avg((2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (xx - mx * mx + yy - my * my + 58.5225))), 6) as ssim from m"
 )
 
+_G = "w as (select d, exp(-d * d / 4.5) / sum(exp(-d * d / 4.5)) over () as g from range(-5, 6) t(d))"
+_REFLECT = "case when {x} + d < 0 then -({x} + d) when {x} + d > 7 then 14 - ({x} + d) else {x} + d end"
+_PAIRS = "pr as (select image_id, r, c, cast(tile.v as double) as mx, cast(tile.v & 252 as double) as my from tile), p5 as (select image_id, r, c, mx, my, mx * mx as xx, my * my as yy, mx * my as xy from pr)"
+_SUMS = ", ".join(f"sum(b.{n} * g) as {n}" for n in ("mx", "my", "xx", "yy", "xy"))
+SSIM_GAUSS = (
+    TILE
+    + f", {_G}, {_PAIRS}, hz as (select a.image_id, a.r, a.c, {_SUMS} from p5 a, w, p5 b where b.image_id = a.image_id and b.r = a.r and b.c = {_REFLECT.format(x='a.c')} group by all)"
+    + f", vt as (select a.image_id, a.r, a.c, {_SUMS} from hz a, w, hz b where b.image_id = a.image_id and b.c = a.c and b.r = {_REFLECT.format(x='a.r')} group by all)"
+    + " select image_id, round(avg((2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (xx - mx * mx + yy - my * my + 58.5225))), 6) + 0.0 as ssim from vt group by image_id"
+)
+
+
+def _fidelity(name: str, stego: str, cover: str, table: str) -> str:
+    return f"select '{name}' as method, s.image_id, round(avg(cast((s.v - t.v) * (s.v - t.v) as double)), 6) + 0.0 as mse, count(*) filter (where s.v <> t.v) as n_changed from ({stego}) s join ({cover} select image_id, r, c, v from {table}) t using (image_id, r, c) group by s.image_id"
+
+
+COMPARISON = _fidelity("fixed", FIXED2.replace(TILE, MIXED).replace("from tile left join hi", "from mixed left join hi"), MIXED, "mixed") + " union all " + _fidelity("adaptive", ADAPTIVE, MIXED, "mixed")
+
 _MAP = "map {" + ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{v}'" for k, v in CODES.items()) + "}"
 _WORDS = (
     "with m as (select "
