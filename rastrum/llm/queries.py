@@ -75,5 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .decontaminate import ORACLE_SQL as leaks
+    from .suffix_dedup import ORACLE_SQL as repeats
 
-    return {"op8_decontamination": leaks}
+    return {"op1_suffix_dedup": repeats, "op8_decontamination": leaks}

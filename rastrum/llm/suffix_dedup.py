@@ -555,3 +555,18 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+#: The same rows by grouping every 50-byte string of every document (as hexadecimal text).
+ORACLE_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select doc_id, x, unnest(range(0, length(x) // 2 - 49)) as p from d where length(x) >= 100),
+s as (select doc_id, p, substr(x, 2 * p + 1, 100) as s from p),
+f as (select s, min(doc_id) as m from s group by s),
+h as (select doc_id, p from s join f using (s) where m < doc_id),
+i as (select doc_id, p, sum(new) over (partition by doc_id order by p) as k from (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as new from h)),
+v as (select doc_id, min(p) as a, max(p) + 50 as b from i group by doc_id, k),
+g as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as e from v),
+t as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as b, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' order by a) as kept from g join d using (doc_id) group by doc_id)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substr(x, 2 * b + 1), x))) as kept_sha256 from d left join t using (doc_id)
+"""

@@ -147,6 +147,11 @@ def test_suffix_dedup_periodic_texts(spark, monkeypatch):
     assert whole[2].sum() == parts[2].sum() and len(parts[1]) >= len(whole[1])
 
 
+def test_suffix_dedup_is_its_sql(spark, duck):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same_rows(suffix_dedup.dedup(docs, with_text=False).toPandas(), duck.execute(suffix_dedup.ORACLE_SQL).df())
+
+
 @pytest.mark.parametrize("block", [1 << 20, 41])
 def test_transform_is_suffix_order(monkeypatch, block):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
