@@ -55,6 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in twice as many partitions as there are cores at most, for light work behind a shuffle: each file that a task writes costs
+    several system calls and, on local disks, processes."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends there and survives lost executors. The written rows
     stand for the shuffles before them, whose files are deleted."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gathered
 
 ROUNDS = 60
 
@@ -24,13 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of edges (a, b) with the smallest node that it reaches. Each round is written to the shared
     folder; the loop ends when a round changes nothing."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = cut(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     before = mark(now)
     for _ in range(ROUNDS):
         if not before[0]:
             break
-        now = cut(_star(_star(now, True), False), "edges")
+        now = cut(gathered(_star(_star(now, True), False)), "edges")
         after = mark(now)
         if tuple(after) == tuple(before):
             break

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gathered
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketches or item shingles of at most so many rows are broadcast; beyond that the joins shuffle.
@@ -41,12 +41,12 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     starts = f"sequence(1, greatest(size(w) - {WORDS - 1}, 1))"
     texts = f"transform({starts}, i -> array_join(slice(w, i, {WORDS}), ' '))"
     of = items.select("item_id", words("text").alias("w")).where("item_id is not null and size(w) > 0")
-    item_shingles = cut(of.select("item_id", F.explode(F.expr(texts)).alias("shingle")).distinct().withColumn("h", F.xxhash64("shingle")), "items")
+    item_shingles = cut(gathered(of.select("item_id", F.explode(F.expr(texts)).alias("shingle")).distinct().withColumn("h", F.xxhash64("shingle"))), "items")
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     upper = F.pow(F.lit(2), F.ceil(F.log2("n_shingles"))).cast("long")
     keep = F.floor(F.lit(1 - threshold + 1e-9) * upper).cast("int") + 1
     sketch = item_shingles.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs")).join(sizes, "item_id")
-    sketch = cut(sketch.select("item_id", "n_shingles", F.explode(F.slice("hs", F.lit(1), keep)).alias("h")), "sketch")
+    sketch = cut(gathered(sketch.select("item_id", "n_shingles", F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))), "sketch")
     about = sketch.agg(F.count("*").alias("n"), F.max("h").alias("top"), F.min("n_shingles").alias("least")).first()
     n_items = item_shingles.count()
     if not about["n"]:
@@ -57,7 +57,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     split = docs.select("doc_id", words("text").alias("w")).where(f"doc_id is not null and size(w) >= {max(1, least)}")
     low = split.select("doc_id", F.explode(F.expr(f"filter(transform({starts}, i -> xxhash64(array_join(slice(w, i, {WORDS}), ' '))), h -> h <= {about['top']}L)" if about["top"] != -(1 << 63) else "array(cast(0 as bigint))")).alias("h"))
     found = low.join(_small(sketch.select("h", "item_id").distinct(), about["n"]), "h").select("doc_id", "item_id").distinct()
-    candidates = cut(found, "candidates")
+    candidates = cut(gathered(found), "candidates")
 
     # exact containment of the candidates
     again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("w")).where("size(w) > 0")
@@ -65,12 +65,12 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     counted = present.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"))
     pairs = counted.join(candidates, ["doc_id", "item_id"], "left_semi").join(_small(sizes, n_items), "item_id")
     share = F.col("n_found") / F.col("n_shingles")
-    return pairs.where(share >= threshold - 1e-12).select("doc_id", "item_id", "n_shingles", "n_found", share.alias("containment"))
+    return gathered(pairs.where(share >= threshold - 1e-12).select("doc_id", "item_id", "n_shingles", "n_found", share.alias("containment")))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that contain an item."""
-    leaks = cut(search(docs, items, threshold).select("doc_id").distinct(), "leaks")
+    leaks = cut(gathered(search(docs, items, threshold).select("doc_id").distinct()), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, tidy
+from .common import bound_batches, cut, gathered, tidy
 from .components import components
 
 BITS, SEED = 64, 42
@@ -167,7 +167,7 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     both = lambda i, j: F.shiftleft(block[i], 16).bitwiseOR(block[j])
     cells = [F.struct(F.lit(k).alias("sig"), both(i, j).alias("bucket"), both(*sorted({0, 1, 2, 3} - {i, j})).alias("rest")) for k, (i, j) in enumerate(pairs)]
-    rows = cut(fps.select("fp").distinct().select("fp", F.explode(F.array(*cells)).alias("c")).select("c.*", "fp"), "buckets")
+    rows = fps.select("fp").distinct().select("fp", F.explode(F.array(*cells)).alias("c")).select("c.*", "fp")
     sizes = rows.groupBy("sig", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     many = rows.join(sizes, ["sig", "bucket"])
     rest = F.col("rest")
@@ -190,7 +190,7 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
     found = cut(fingerprints(docs, size), "fingerprints")
-    groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
+    groups = cut(gathered(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))), "groups")
     members = components(links(groups, limit)).withColumnRenamed("node", "fp")
     joined = groups.join(members, "fp")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -208,4 +208,4 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame
 def keep_one(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     """docs with the row of the smallest doc_id of each group; rows with a null id stay."""
     dropped = near_duplicates(docs, size, limit).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(cut(dropped, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(gathered(dropped), "copies"), "doc_id", "left_anti").select(*docs.columns)
