@@ -27,7 +27,7 @@ SMOOTHING = 0.05
 #: The classifier is fitted on about so many labelled rows of each language at most, drawn by a hash of doc_id.
 MAX_TRAIN_PER_LANG = 4000
 #: More distinct labels than this are refused: the matrix must stay small enough to broadcast.
-MAX_LANGS = 256
+MAX_LANGS = 100
 #: Code points worked on at once; longer texts are taken in pieces.
 PIECE = 1 << 20
 UNKNOWN = "und"
