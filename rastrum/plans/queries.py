@@ -86,6 +86,21 @@ def bit_plane_mosaic(spark, d):
     return geometry.mosaic(planes, "k", 4, 8, 8)
 
 
+@query("select cast(i // 100 as integer) as r, cast(i % 100 as integer) as c, case when i % 100 between 25 and 74 and i // 100 between 12 and 36 then 0 else 255 end as v from range(5000) t(i)")
+def raster_rect(spark, d):
+    return R.rect(spark).select("r", "c", "v")
+
+
+@query(S.TALL + ", b as (select r // 4 as br, c // 4 as bc, string_agg(cast(v as varchar), ',' order by r, c) as vec from tall where r < (select (max(r) + 1) // 4 * 4 from tall) group by r // 4, c // 4) select vec from b")
+def training_blocks(spark, d):
+    return R.training_blocks(R.tall(spark, d), 4).select(F.array_join(F.transform("vec", lambda x: x.cast("int")), ",").alias("vec"))
+
+
+@query()
+def random_vectors(spark, d):
+    return R.random_vectors(spark, 256, 3, 1)
+
+
 # spatial filters
 
 
@@ -435,6 +450,19 @@ def shamir_recover(spark, d):
     return crypto.shamir_recover(crypto.shamir_split(R.secrets(spark, d), KEY))
 
 
+@query("select o_orderkey, cast(1 as bigint) as product from orders where o_orderkey % 2147483647 <> 0")
+def modular_inverse(spark, d):
+    x = F.col("o_orderkey")
+    return R._table(spark, d, "orders").where(x % crypto.PRIME != 0).select(x, (crypto.mod_inverse(x) * (x % crypto.PRIME) % crypto.PRIME).alias("product"))
+
+
+@query("select a.vec_id, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) + 0.0 as distance from (select vec_id, unnest(range(64)) as i, cast(unnest(embedding) as double) as x from embeddings) a join (select vec_id, unnest(range(64)) as i, cast(unnest(embedding) as double) as x from embeddings) b on b.vec_id = a.vec_id + 1 and a.i = b.i group by a.vec_id")
+def vector_distance(spark, d):
+    v = R._table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    later = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("other"))
+    return v.join(later, "vec_id").select("vec_id", F.round(compress.distance(F.col("vec"), F.col("other")), 6).alias("distance"))
+
+
 @query(S.VC22 + "select cast(0 as bigint) as image_id, share_id, r, c, v from shares")
 def vc22_shares(spark, d):
     return crypto.visual_2_of_2(R.rect(spark), KEY)
