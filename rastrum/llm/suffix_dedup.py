@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ SIDE = (LENGTH - GRAM) // 2  # bytes that a string has on one side of its minimi
 #: Text of segments in a bin and in the part of a bin that becomes one collection; file bytes kept in memory; entries read at once.
 BIN_BYTES, PART_BYTES, SPOOL, BLOCK = 48 << 20, 2 << 20, 32 << 20, 1 << 20
 MAX_BINS = 4096
+#: Places of one segment in a batch from which on the segment counts as common.
+COMMON = 64
 #: Segment text is so many times the documents' text, about.
 BLOW_UP = 3.4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -124,12 +127,16 @@ def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-#: A packed row: ids of the batch's documents (differences), tags, their lengths; segments' lengths, minimiser places, numbers of places where they stand, text; the places (differences).
-_SENT = [np.int64, np.int64, np.int32, np.uint8, np.uint8, np.int32, np.uint8, np.int64]
+#: A packed row: ids of the batch's documents (differences), tags, their lengths; segments' lengths, minimiser places, numbers of places where they stand, whether they are common, text; the places (differences).
+_SENT = [np.int64, np.int64, np.int32, np.uint8, np.uint8, np.int32, np.uint8, np.uint8, np.int64]
+#: Further places of a common segment: ids, tags, starts.
+_PLACES = [np.int64, np.int64, np.int32]
 
 
-def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -> list[tuple[int, bytes]]:
-    """(bin, packed segments) of a batch of documents; segments that are equal in text go once, with all their places."""
+def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -> list[tuple[int, bytes | None, bytes]]:
+    """(bin, None, packed segments) of a batch of documents; segments that are equal in text go once, with all their places. Of a common
+    segment the bin gets the places in the smallest and the largest document only; the others go, packed, as (any bin, hash of the
+    segment, places), so that a passage of very many documents isn't dealt to one task."""
     buf, starts, strings, place, key = cut_segments(raw)
     if not len(starts):
         return []
@@ -148,14 +155,28 @@ def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -
     order = np.lexsort((first, dest))
     dest, first_, pos = dest[order], first[order], starts[order]
     bounds = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1], True])
-    base = [np.diff(ids, prepend=0), tags, np.array([len(x) for x in raw], np.int32)]
-    out = []
+    sizes = np.array([len(x) for x in raw], np.int32)
+    doc_ends = np.cumsum(sizes, dtype=np.int64)
+    base = [np.diff(ids, prepend=0), tags, sizes]
+    out: list[tuple[int, bytes | None, bytes]] = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         f, p = first_[s:e], pos[s:e]
         new = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
         own = f[new]
+        times = np.diff(np.r_[new, e - s])
+        keep = np.ones(e - s, bool)
+        for i in np.flatnonzero(times >= COMMON).tolist():
+            here = slice(new[i], new[i] + times[i])
+            of = np.searchsorted(doc_ends, p[here], "right")
+            rest = np.ones(len(of), bool)
+            rest[[ids[of].argmin(), ids[of].argmax()]] = False
+            keep[here] = ~rest
+            of, at = of[rest], p[here][rest]
+            packed = _pack([ids[of], tags[of], (at - (doc_ends - sizes)[of]).astype(np.int32)])
+            out.append((zlib.crc32(packed) % bins, xxhash.xxh3_128_digest(view[starts[own[i]] : starts[own[i]] + lengths[own[i]]]), packed))
+        left = np.add.reduceat(keep, new, dtype=np.int32)
         text = gather(buf, starts[own], lengths[own])
-        out.append((int(dest[s]), _pack([*base, lengths[own].astype(np.uint8), place[own].astype(np.uint8), np.diff(np.r_[new, e - s]).astype(np.int32), text, np.diff(p, prepend=0)])))
+        out.append((int(dest[s]), None, _pack([*base, lengths[own].astype(np.uint8), place[own].astype(np.uint8), left, (times >= COMMON).astype(np.uint8), text, np.diff(p[keep], prepend=0)])))
     return out
 
 
@@ -368,7 +389,7 @@ def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarr
 class Part:
     """Segments of a part of a bin, spooled until all have come."""
 
-    KINDS = (np.uint8, np.uint8, np.int32, np.uint8, np.int64, np.int64, np.int32)
+    KINDS = (np.uint8, np.uint8, np.int32, np.uint8, np.uint8, np.int64, np.int64, np.int32)
 
     def __init__(self):
         self.files = [Spool(k) for k in self.KINDS]
@@ -378,8 +399,10 @@ class Part:
             f.write(x)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc_id, tag, start, end) of stretches of documents that smaller documents hold too."""
-        lengths, place, times, text, doc, tag, start = (f.all() for f in self.files)
+        """(doc_id, tag, start, end) of stretches of documents that smaller documents hold too; common segments' smallest documents
+        are left in ``answers``, by hash."""
+        self.answers: dict[bytes, bytes] = {}
+        lengths, place, times, common_, text, doc, tag, start = (f.all() for f in self.files)
         for f in self.files:
             f.close()
         none = np.zeros(0, np.int64)
@@ -424,6 +447,9 @@ class Part:
         min_doc = smallest(gather(text, begin[own], size), size, least)
         # each place where a surviving segment stands, each of its strings
         at = np.cumsum(size) - size
+        for i in np.flatnonzero(common_[which]).tolist():
+            k = string[i]
+            self.answers[digests[i].tobytes()] = min_doc[at[k] : at[k] + size[k] - LENGTH + 1].tobytes()
         n_places = times[which]
         seg = np.repeat(np.arange(len(which)), n_places)
         occ = np.repeat(first[which] - (np.cumsum(n_places) - n_places), n_places) + np.arange(int(n_places.sum()))
@@ -444,28 +470,49 @@ class Part:
         return doc[of], tag[of], start[of] + within[o], start[of] + within[c] + LENGTH
 
 
+_OUT = "doc_id long, tag long, pairs binary, key binary, places binary, least binary"
+
+
+def _stretches(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """A row for each document and tag with its stretches, packed."""
+    order = np.lexsort((s, tag, doc))
+    doc, tag, s, e = doc[order], tag[order], s[order], e[order]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    pairs = pa.py_buffer(np.stack([s, e], axis=1).astype(np.int32).tobytes())
+    offsets = pa.py_buffer((np.r_[new, len(doc)] * 8).astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, offsets, pairs])], names=["doc_id", "tag", "pairs"])
+
+
+def _full(n: int, **given: pa.Array) -> pa.RecordBatch:
+    """A batch of _OUT with nulls in the columns that aren't given."""
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, pa.int64() if c in ("doc_id", "tag") else pa.binary()) for c in ("doc_id", "tag", "pairs", "key", "places", "least")], names=["doc_id", "tag", "pairs", "key", "places", "least"])
+
+
 def _receive(parts: int):
-    """Reads packed segments, bin after bin, and yields one row for each document and bin with its repeats."""
+    """Reads packed segments, bin after bin, and yields a row for each document and part of a bin with its repeats, and for each common
+    segment its smallest documents. Places of common segments pass through."""
 
     def finish(held: list[Part]) -> Iterator[pa.RecordBatch]:
         for part in held:
             doc, tag, s, e = part.repeats()
             if len(doc):
-                order = np.lexsort((s, tag, doc))
-                doc, tag, s, e = doc[order], tag[order], s[order], e[order]
-                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-                pairs = pa.py_buffer(np.stack([s, e], axis=1).astype(np.int32).tobytes())
-                offsets = pa.py_buffer((np.r_[new, len(doc)] * 8).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, offsets, pairs])], names=["doc_id", "tag", "pairs"])
+                x = _stretches(doc, tag, s, e)
+                yield _full(x.num_rows, doc_id=x.column(0), tag=x.column(1), pairs=x.column(2))
+            if part.answers:
+                yield _full(len(part.answers), key=pa.array(list(part.answers), pa.binary()), least=pa.array(list(part.answers.values()), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            through = batch.filter(batch.column("key").is_valid())
+            if through.num_rows:
+                yield _full(through.num_rows, key=through.column("key"), places=through.column("packed"))
+            batch = batch.filter(batch.column("key").is_null())
+            for b, blob in zip(batch.column("bin").to_pylist(), batch.column("packed"), strict=True):
                 if b != now:
                     yield from finish(held)
                     now, held = b, [Part() for _ in range(parts)]
-                ids, tags, sizes, lengths, place, times, text, pos = _unpack(blob.as_buffer(), _SENT)
+                ids, tags, sizes, lengths, place, times, common_, text, pos = _unpack(blob.as_buffer(), _SENT)
                 ids, pos = np.cumsum(ids), np.cumsum(pos)
                 ends = np.cumsum(sizes.astype(np.int64))
                 of = np.searchsorted(ends, pos, "right")
@@ -481,12 +528,26 @@ def _receive(parts: int):
                     if len(w):
                         t = times[w].astype(np.int64)
                         occ = np.repeat(first[w] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
-                        held[k].add(lengths[w], place[w], times[w], gather(padded, begin[w], n[w]), doc[occ], tag[occ], start[occ])
+                        held[k].add(lengths[w], place[w], times[w], common_[w], gather(padded, begin[w], n[w]), doc[occ], tag[occ], start[occ])
         yield from finish(held)
 
     return run
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of the further places of common segments."""
+    for batch in batches:
+        for places, least in zip(batch.column("places"), batch.column("least"), strict=True):
+            doc, tag, start = _unpack(places.as_buffer(), _PLACES)
+            least = np.frombuffer(least.as_buffer(), np.int64)
+            hit = np.zeros((len(doc), len(least) + 2), bool)
+            hit[:, 1:-1] = least[None, :] < doc[:, None]
+            row, opens = np.nonzero(hit[:, 1:] & ~hit[:, :-1])
+            _, closes = np.nonzero(hit[:, :-1] & ~hit[:, 1:])
+            if len(row):
+                yield _stretches(doc[row], tag[row], start[row] + opens, start[row] + closes - 1 + LENGTH)
+
+
 def repeats(docs: DataFrame, tagged: bool) -> DataFrame:
     """(doc_id, tag, pairs): for a document and a bin, 32-bit starts and ends of stretches that smaller documents hold too. tag tells
     apart rows with the same doc_id: a hash of the text, or 0 where ids are known to differ."""
@@ -501,15 +562,18 @@ def repeats(docs: DataFrame, tagged: bool) -> DataFrame:
             tags = np.array([xxhash.xxh3_64_intdigest(x) for x in raw] if tagged else [0] * len(raw), np.uint64).view(np.int64)
             rows = pack_batch(batch.column("doc_id").to_numpy(zero_copy_only=False), tags, raw, bins)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([labels[b] for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bin", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([labels[b] for b, *_ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([x for *_, x in rows], pa.binary())], names=["bin", "key", "packed"])
 
     # numbers whose hash deals bin k to task k
     label = spark.range(bins * 24).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(bins)).alias("bin")).agg(F.min("label").alias("label")).collect()
     label = {r["bin"]: r["label"] for r in label}
     labels = [label.get(k, k) for k in range(bins)]
 
-    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(send), "bin int, packed binary")
-    return cut(sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(tidy(_receive(parts)), "doc_id long, tag long, pairs binary"), "repeats")
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(send), "bin int, key binary, packed binary")
+    got = cut(sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(tidy(_receive(parts)), _OUT), "repeats")
+    asked, answers = got.where("places is not null").select("key", "places"), got.where("least is not null").select("key", "least")
+    more = asked.join(answers, "key").mapInArrow(tidy(_answer), "doc_id long, tag long, pairs binary")
+    return got.where("pairs is not null").select("doc_id", "tag", "pairs").unionByName(more)
 
 
 def union(pairs: list[bytes]) -> np.ndarray:

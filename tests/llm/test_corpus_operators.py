@@ -124,11 +124,20 @@ def brute_dedup(rows):
     return sorted(out)
 
 
-def test_suffix_dedup_is_brute_force(spark, corpus):
+@pytest.mark.parametrize("common", [64, 2])
+def test_suffix_dedup_is_brute_force(spark, corpus, monkeypatch, common):
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
     got = sorted(tuple(r) for r in suffix_dedup.dedup(docs_of(spark, corpus), with_text=False).collect())
     assert got == brute_dedup(corpus)
 
 
+def test_suffix_dedup_passage_of_most_documents(spark):
+    rng = random.Random(6)
+    passage = "the one passage that stands in nearly all of the documents, word for word, however many there are of them"
+    rows = [(i, "".join(rng.choices("abcdefg ", k=rng.randint(0, 60))) + (passage[rng.choice([0, 0, 0, 7]) :] if i % 10 else "") + "".join(rng.choices("abcdefg ", k=rng.randint(0, 60)))) for i in rng.sample(range(10**6), 400)]
+    assert sorted(tuple(r) for r in suffix_dedup.dedup(docs_of(spark, rows), with_text=False).collect()) == brute_dedup(rows)
+
+
 def test_suffix_dedup_same_ids(spark, corpus):
     rows = corpus + [(corpus[0][0], corpus[3][1] + " and more"), (corpus[5][0], corpus[0][1])]
     got = sorted(tuple(r) for r in suffix_dedup.dedup(docs_of(spark, rows), with_text=False).collect())
