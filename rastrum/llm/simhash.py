@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame
     part = lambda yes, no: F.when(F.col("fp").isin(hot), yes).otherwise(no) if hot else no
     found = found.withColumn("part", part(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"), F.lit(0)))
     of = of.withColumn("part", F.explode(part(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.array(F.lit(0)))))
-    return found.join(of, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return gathered(found.join(of, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
