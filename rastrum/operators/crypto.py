@@ -53,18 +53,23 @@ def shamir_split(secrets: DataFrame, key: str, n: int = 5, m: int = 5) -> DataFr
 
 
 def shamir_recover(shares: DataFrame, m: int = 5) -> DataFrame:
-    """(secret_id, secret): Lagrange's polynomial at 0 through the m points of least x; null with fewer distinct ones."""
+    """(secret_id, secret): Lagrange's polynomial at 0 through the m points of least x; null with fewer distinct ones. The terms are brought
+    to one denominator, so each secret takes one modular inverse."""
+    one = F.lit(1).cast("long")
     points = F.slice(F.array_sort(F.collect_set(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))), 1, m)
     got = shares.groupBy("secret_id").agg(points.alias("p"))
 
-    def term(one: Column) -> Column:
-        num = F.aggregate("p", F.lit(1).cast("long"), lambda a, o: F.when(o["x"] == one["x"], a).otherwise(a * F.pmod(-o["x"], F.lit(PRIME)) % PRIME))
-        den = F.aggregate("p", F.lit(1).cast("long"), lambda a, o: F.when(o["x"] == one["x"], a).otherwise(a * F.pmod(one["x"] - o["x"], F.lit(PRIME)) % PRIME))
-        return one["y"] * (num * mod_inverse(den) % PRIME) % PRIME
+    def product(factor, start: Column = one) -> Column:
+        return F.aggregate("p", start, lambda a, o: a * F.pmod(factor(o), F.lit(PRIME)) % PRIME)
 
-    total = F.aggregate("p", F.lit(0).cast("long"), lambda a, one: (a + term(one)) % PRIME)
+    num = F.transform("p", lambda i: product(lambda o: F.when(o["x"] == i["x"], one).otherwise(-o["x"])))
+    den = F.transform("p", lambda i: product(lambda o: F.when(o["x"] == i["x"], one).otherwise(i["x"] - o["x"])))
+    got = got.select("secret_id", "p", F.arrays_zip(F.transform("p", lambda o: o["x"]).alias("x"), F.transform("p", lambda o: o["y"]).alias("y"), num.alias("num"), den.alias("den")).alias("t"))
+    others = lambda i: F.aggregate("t", i["y"] * i["num"] % PRIME, lambda a, o: F.when(o["x"] == i["x"], a).otherwise(a * o["den"] % PRIME))
+    total = F.aggregate("t", F.lit(0).cast("long"), lambda a, i: (a + others(i)) % PRIME)
+    whole = F.aggregate("t", one, lambda a, o: a * o["den"] % PRIME)
     enough = F.size(F.array_distinct(F.transform("p", lambda o: o["x"]))) == m
-    return got.select("secret_id", F.when(enough, total).alias("secret"))
+    return got.select("secret_id", F.when(enough, total * mod_inverse(whole) % PRIME).alias("secret"))
 
 
 def _choose(patterns: tuple, index: Column) -> Column:
