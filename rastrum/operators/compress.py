@@ -175,14 +175,20 @@ def huffman_codes(freq: dict[int, int]) -> dict[int, str]:
 
 
 def huffman_table(freq: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, b, n, code): each text's own codes; a text has 256 symbols at most, so a group is small."""
-    kinds = {f.name: f.dataType.simpleString() for f in freq.schema.fields}
+    """(keys, b, n, code): each text's own codes. A text has 256 symbols at most, so its frequencies are one small array; many texts go to
+    Python in a batch."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = huffman_codes(dict(zip(pdf["b"].tolist(), pdf["n"].tolist(), strict=True)))
-        return pdf.assign(code=pdf["b"].map(codes))
+    @F.pandas_udf("array<struct<b:int,n:bigint,code:string>>")
+    def build(texts: pd.Series) -> pd.Series:
+        out = []
+        for symbols in texts:
+            n = {int(x["b"]): int(x["n"]) for x in symbols}
+            codes = huffman_codes(n)
+            out.append([{"b": b, "n": n[b], "code": codes[b]} for b in n])
+        return pd.Series(out)
 
-    return freq.groupBy(*keys).applyInPandas(build, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"b {kinds['b']}, n {kinds['n']}, code string"])) if keys else freq.groupBy(F.lit(0)).applyInPandas(build, f"b {kinds['b']}, n {kinds['n']}, code string")
+    texts = freq.groupBy(*keys).agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("n").cast("long").alias("n"))).alias("s"))
+    return texts.select(*keys, F.explode(build("s")).alias("x")).select(*keys, "x.*")
 
 
 def huffman_size(table: DataFrame, keys: list[str]) -> DataFrame:
