@@ -528,3 +528,36 @@ def test_language_id_long_text_in_pieces(monkeypatch):
     whole = language_id.score_texts(texts, ["a", "b", "c"], matrix)
     monkeypatch.setattr(language_id, "PIECE", 17)
     assert language_id.score_texts(texts, ["a", "b", "c"], matrix)[0] == whole[0]
+
+
+def test_unigram_model_made_by_hand():
+    """Scores decide; where segmentations of equal score exist, the library may take another one on a whole text than on its part."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_id = 1, True, 0
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces = "identity", False
+    rng = random.Random(0)
+
+    def add(piece, score, kind):
+        x = m.pieces.add()
+        x.piece, x.score, x.type = piece, score, kind
+
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))):
+        add(piece, 0, kind)
+    for piece in "▁abcdefg":
+        add(piece, -6 - rng.random(), 1)
+    for piece in sorted({rng.choice(["▁", ""]) + "".join(rng.choices("abcdefg", k=rng.randint(2, 5))) for _ in range(90)}):
+        add(piece, -3 - 5 * rng.random(), 1)
+    data = m.SerializeToString()
+    codec, sp = sentencepiece_codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["".join(rng.choices("abcdefg  xé\n", k=rng.randint(0, 40))) for _ in range(1500)]
+    score = lambda ids: sum(m.pieces[i].score for i in ids)
+    ids, _ = codec.encode(texts)
+    same = 0
+    for t, x in zip(texts, ids, strict=True):
+        want = sp.encode(t)
+        same += x.tolist() == want
+        assert codec.decode(x) == t and score(x.tolist()) == pytest.approx(score(want), abs=1e-3)
+    assert same >= 0.99 * len(texts)
