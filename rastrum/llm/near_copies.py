@@ -1,0 +1,138 @@
+"""Near copies by exact similarity of shingle sets: every pair at THRESHOLD or more counts, none below it.
+
+A set with n shingles, sorted in an order that is the same for all sets, sends its first n // 5 + 1: two sets at 0.8 or more share
+one of those (prefix filter), so recall is 1 by construction. Any order is right; shingles that are common in a sample of documents
+come last, which only keeps buckets small. Equal sets are one node. In each bucket a pivot is compared with the members that aren't
+in its component, a few rounds long, so that a large group of near copies costs as many comparisons as it has members; then all
+pairs of bucket mates that are still in different components are compared. Overlaps are counted on the whole sets.
+
+Defined cases: words are lower-cased and parted by ASCII white space; a text of fewer words than a shingle has one shingle, all its
+words; texts without words and rows with a null id are compared with nothing and stay. Other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bound_batches, cut, gathered, texts_of, tidy
+from .components import components
+
+#: Words of a shingle; 9 * shared >= 4 * (n + m) is a Jaccard similarity of 0.8 or more, and 5 * n >= 4 * m is needed for it.
+SIZE, SEED = 5, 42
+#: Documents of the sample that orders shingles, its rows that make a shingle common, common shingles at most; rounds with pivots.
+SAMPLE, COMMON, MOST, ROUNDS = 10000, 5, 50000, 3
+
+
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the text's shingles, sorted."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    k = max(1, len(words) - SIZE + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), ends[min(SIZE, len(words)) - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _sets(docs: DataFrame, order: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """doc_id, key (of the set), n, hashes: all of the set or, with an order (common shingles, their counts), its prefix."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in texts_of(batch)]
+            rows = [k for k, h in enumerate(sets) if len(h)]
+            sets = [sets[k] for k in rows]
+            keys, n = [_key(h) for h in sets], [len(h) for h in sets]
+            if order is not None:
+                common, counts = order
+                for k, h in enumerate(sets):
+                    rank = np.zeros(len(h), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                        rank = np.where(common[at] == h, counts[at], 0)
+                    sets[k] = h[np.argsort(rank, kind="stable")[: len(h) // 5 + 1]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(n, pa.int32()), _lists(sets)], names=["doc_id", "key", "n", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, key long, n int, hashes array<long>")
+
+
+def _order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, with their counts in the sample."""
+    step = max(1, docs.count() // SAMPLE)
+    sample = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), None)
+    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    got = counts.orderBy(F.desc("count"), "h").limit(MOST).toPandas().sort_values("h")
+    return got["h"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """Pairs of keys once each, of those in ``a`` and ``b`` whose sizes allow the similarity."""
+    near = 5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")
+    return df.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar."""
+    left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}h")) for k in "ab")
+    shared = F.size(F.array_intersect("ah", "bh"))
+    return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("ah") + F.size("bh"))).select("a", "b")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that similar pairs reach) of the rows that have an id and words."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    marks = cut(_sets(docs, _order(docs)), "marks")
+    owners = cut(gathered(marks.groupBy("key").agg(F.min("doc_id").alias("rep"))), "owners")
+    rows = cut(marks.select(F.explode("hashes").alias("h"), "key", "n").distinct(), "prefixes")
+    shared = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    members = cut(gathered(rows.join(shared, "h", "left_semi")), "members")
+    needed = owners.join(members.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(gathered(_sets(docs.join(needed, "doc_id", "left_semi"), None).select("key", "hashes").dropDuplicates(["key"])), "sets")
+    nodes, tested, links = None, None, None
+    for k in range(ROUNDS + 1):
+        now = members.withColumn("root", F.col("key")) if nodes is None else members.join(nodes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mine = F.struct(F.xxhash64("key", F.lit(k)), F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
+        open_ = now.groupBy("h").agg(F.min(mine).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "p.a", "p.an", "p.ar")
+        others = now.select("h", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
+        if k == ROUNDS:
+            # no pivots: all mates in different components
+            here = now.join(open_.select("h"), "h", "left_semi").select("h", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
+            pairs = _pairs(here.join(others, "h").where("ar < br"))
+        else:
+            pairs = _pairs(open_.join(others, "h").where("ar <> br"))
+        pairs = cut(gathered(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
+        found = cut(gathered(_similar(pairs, sets)), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        if nodes is None or found.limit(1).count():
+            nodes = cut(gathered(components(links).select(F.col("node").alias("key"), "root")), "nodes")
+    joined = owners.join(nodes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = joined.join(least, "root").select("key", "rep", "component_id")
+    return marks.select("doc_id", "key").join(of, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with the row of the smallest doc_id of each group; other rows stay."""
+    dropped = groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(cut(gathered(dropped), "copies"), "doc_id", "left_anti").select(*docs.columns)
