@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A span starts at every sentence and takes in following sentences until it has at least two of them and at least 25 words. Each
-document sends every distinct span's 128-bit hash once; the smallest document of each hash comes from a partial and final
+Spans are the shortest runs of at least two sentences and at least 25 words that start at each sentence and that end at each, so the
+spans inside a longer run cover all of it, and a run that stands elsewhere too is found whole. Each document sends every distinct span's 128-bit hash once; the smallest document of each hash comes from a partial and final
 aggregation, never from gathering a group. Spans of any other document are repeats: all sentences that they cover are removed,
 as are those of spans that stand earlier in the same document. The first place of each span stays.
 
@@ -41,11 +41,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def spans(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, hash) of the span at each sentence."""
+    """(first sentence, sentence after the last, hash) of the shortest spans that start and that end at each sentence, in order."""
     raw = [text[s:e] for s, e in found]
     words = [len(x.split()) for x in raw]
     coded = [x.encode("utf-8", "surrogatepass") + b"\n" for x in raw]
-    out, end, total = [], 0, 0
+    out, end, total = set(), 0, 0
     digest = xxhash.xxh3_128_digest
     for i in range(len(raw)):
         while end < len(raw) and (total < MIN_WORDS or end - i < MIN_SENTENCES):
@@ -53,9 +53,17 @@ def spans(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, bytes
             end += 1
         if total < MIN_WORDS or end - i < MIN_SENTENCES:
             break
-        out.append((i, end, digest(b"".join(coded[i:end]))))
+        out.add((i, end))
         total -= words[i]
-    return out
+    start, total = 0, 0
+    for k in range(len(raw)):
+        total += words[k]
+        while total - words[start] >= MIN_WORDS and k - start >= MIN_SENTENCES:
+            total -= words[start]
+            start += 1
+        if total >= MIN_WORDS and k + 1 - start >= MIN_SENTENCES:
+            out.add((start, k + 1))
+    return [(s, e, digest(b"".join(coded[s:e]))) for s, e in sorted(out)]
 
 
 def clean(text: str, repeated: set[int]) -> tuple[str, int, int, int]:
