@@ -70,6 +70,11 @@ def pad_replicate(spark, d):
     return geometry.pad_replicate(R.tall(spark, d).where("r < 101 and c < 61"), 8)
 
 
+@query(S.PAD_WHOLE)
+def pad_replicate_whole(spark, d):
+    return geometry.pad_replicate(R.tall(spark, d), 24)
+
+
 @query(S.BLOCKS)
 def block_vectors(spark, d):
     return geometry.blocks(R.tile(spark, d), 4).select("image_id", "br", "bc", F.array_join("vec", ",").alias("vec"))

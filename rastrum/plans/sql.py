@@ -27,6 +27,7 @@ def crop(name: str, side: int) -> str:
 
 
 PAD = TALL + ", small as (select * from tall where r < 101 and c < 61) select cast(0 as bigint) as image_id, cast(y as integer) as r, cast(x as integer) as c, v from range(104) a(y), range(64) b(x) join small on small.r = least(y, 100) and small.c = least(x, 60)"
+PAD_WHOLE = TALL + ", size as (select max(r) as h, max(c) as w from tall) select cast(0 as bigint) as image_id, cast(y.t as integer) as r, cast(x.t as integer) as c, v from size, lateral (select unnest(range((h // 24 + 1) * 24)) as t) y, lateral (select unnest(range((w // 24 + 1) * 24)) as t) x join tall on tall.r = least(y.t, h) and tall.c = least(x.t, w)"
 BLOCKS = TILE + "select image_id, cast(r // 4 as integer) as br, cast(c // 4 as integer) as bc, string_agg(cast(v as varchar), ',' order by r, c) as vec from tile group by image_id, r // 4, c // 4"
 RESIZE = (
     TILE
