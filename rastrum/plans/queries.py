@@ -389,6 +389,19 @@ def dct_parity_extract(spark, d):
     return hiding.parity_bits(transforms.dct8(stego))
 
 
+@query(S.PARITY_WHOLE)
+def dct_parity_embed_whole(spark, d):
+    coef = geometry.mosaic(transforms.dct8(R.tile(spark, d)).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
+    return hiding.embed_parity(coef, B.bit_table(spark, BITS8)).select("image_id", "r", "c", _r("v"), "way")
+
+
+@query(S.TILE + f"select image_id // 8 as image_id, cast(image_id % 8 as bigint) as pos, cast(substr('{BITS8}', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from tile where r = 4 and c = 1")
+def dct_parity_extract_whole(spark, d):
+    px = geometry.mosaic(R.tile(spark, d).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
+    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8)).drop("way"))
+    return hiding.parity_bits(transforms.dct8(stego))
+
+
 # histogram shift
 
 

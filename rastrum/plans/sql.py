@@ -99,6 +99,13 @@ PARITY = (
     + " select image_id, r, c, round(case way when 'keep' then v when 'add' then v + 4 when 'sub' then v - 4 else case when bit = 1 then 5.0 else -6.0 end end, 6) + 0.0 as v, way from q"
 )
 
+PARITY_WHOLE = (
+    DCT
+    + ", p as (select image_id // 8 as image_id, cast(image_id % 8 // 4 * 8 + r as integer) as r, cast(image_id % 4 * 8 + c as integer) as c, v, case when r = 4 and c = 1 then cast(substr('00101110', cast(image_id % 8 as integer) + 1, 1) as integer) end as bit from dct)"
+    + f", q as (select *, case when bit is null then 'none' when {_PAR.format(x='v')} = bit then 'keep' when {_PAR.format(x='v + 4')} = bit then 'add' when {_PAR.format(x='v - 4')} = bit then 'sub' else 'set' end as way from p)"
+    + " select image_id, r, c, round(case way when 'none' then v when 'keep' then v when 'add' then v + 4 when 'sub' then v - 4 else case when bit = 1 then 5.0 else -6.0 end end, 6) + 0.0 as v, way from q"
+)
+
 _RUNS = "g as (select *, case when {v} is distinct from lag({v}) over (order by p) then 1 when p = 0 then 1 else 0 end as ch from s), h as (select *, sum(ch) over (order by p) as k from g)"
 RLE = TALL + ", s as (select cast(r as bigint) * 64 + c as p, v from tall), " + _RUNS.format(v="v") + " select cast(0 as bigint) as image_id, min(p) as start_pos, any_value(v) as v, count(*) as run_length from h group by k"
 RLE_EVENTS = "with s as (select event_id as p, event_type from events), " + _RUNS.format(v="event_type") + " select min(p) as start_pos, any_value(event_type) as event_type, count(*) as run_length from h group by k"
