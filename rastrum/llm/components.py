@@ -5,36 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered
-
-ROUNDS = 60
+from .common import cut, dealt, drop, gathered, hot_keys, spread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hangs each node's larger (or smaller) neighbours on the smallest of its neighbourhood. Minima are aggregated before the
-    join, so a node with many neighbours is never gathered in one place."""
+    """Hangs each node's larger (or smaller) neighbours on the smallest of its neighbourhood. Minima are aggregated before the join, and the
+    neighbours of a node that has very many are dealt to many tasks in it."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    hot = hot_keys(least, "a", "n")
+    joined = dealt(both, "a", hot, "b").join(spread(least, "a", hot), ["a", "part"])
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of edges (a, b) with the smallest node that it reaches. Each round is written to the shared
-    folder; the loop ends when a round changes nothing."""
+    """(node, root): every node of edges (a, b) with the smallest node that it reaches. Each round is written to the shared folder, and the
+    one before it deleted; the loop ends when a round changes nothing."""
     now = cut(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = mark(now)
-    for _ in range(ROUNDS):
-        if not before[0]:
-            break
-        now = cut(gathered(_star(_star(now, True), False)), "edges")
+    while before[0]:
+        half = cut(gathered(_star(now, True)), "edges")
+        then, now = now, cut(gathered(_star(half, False)), "edges")
+        drop(then, half)
         after = mark(now)
-        if tuple(after) == tuple(before):
+        if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

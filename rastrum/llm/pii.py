@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, per_batch, sha, texts_of
+from .common import cut, per_batch, sha, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Base kinds first; the classifier can add spans of any kind.
@@ -220,7 +220,6 @@ def fit(counts: dict[str, int]) -> set[str]:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (with those the classifier adds), n_added."""
-    bound_batches(docs.sparkSession)
     found = cut(_candidates(docs), "pii")
     counts = {r["p"]: r["n"] for r in found.select(F.explode("spans.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     accepted = fit(counts)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts_of, tidy
+from .common import texts_of, tidy
 
 #: The field is fitted on about so many labelled documents of each class at most, and so many lines of each.
 MAX_TRAIN_PER_CLASS, MAX_TRAIN_LINES = 1000, 60
@@ -214,7 +214,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share."""
-    bound_batches(docs.sparkSession)
     field = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import prepare, table
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_personal_data, op3_sentencepiece, op4_sentence_spans, op5_simhash, op6_quality_rules, op7_secret_scan, op8_decontamination, op9_license_scan, op10_language_id)}
+    def prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return wraps(f)(lambda spark, sf_dir: f(prepare(spark), sf_dir))
+
+    return {f.__name__: prepared(f) for f in (op1_suffix_dedup, op2_personal_data, op3_sentencepiece, op4_sentence_spans, op5_simhash, op6_quality_rules, op7_secret_scan, op8_decontamination, op9_license_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

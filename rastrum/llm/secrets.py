@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, per_batch, sha, texts_of, tidy
+from .common import per_batch, sha, texts_of, tidy
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
 BASE_KINDS = KINDS[:3]
@@ -164,7 +164,6 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans, n_confirmed."""
-    bound_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -179,7 +178,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span, base and confirmed, replaced in ``text``; other columns as they were."""
-    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

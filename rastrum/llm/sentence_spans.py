@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts_of, tidy
+from .common import cut, texts_of, tidy
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
 _SPLIT = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|\n")
@@ -101,7 +101,6 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, n_removed_words; a row for each row of docs."""
-    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     # read twice, for the minimum and for the join: cut, so that texts are split once

@@ -6,11 +6,13 @@ model, a BPE model whose merges are ranked by those scores. No tokenizer is trai
 
 A text is normalised as a whole and cut before each run of markers. Where no piece has a marker after another character,
 which is checked on the vocabulary, no piece can cross such a cut, so the parts' ids are the text's ids. Parts that a worker
-hasn't met go to the library as one multithreaded batch, and each is compared with the sentencepiece library's own result;
-a document is in parity if all its parts are.
+hasn't met go to the library as one multithreaded batch, which is encoded and decoded there. Parity is checked on whole raw texts: the
+sentencepiece library encodes each of them too, with its own normaliser, and all ids must be the same.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; texts with a literal marker character decode
-with a blank in its place, as in sentencepiece, so their round trip is false; repeated rows are encoded one by one.
+with a blank in its place, as in sentencepiece, so their round trip is false, as is that of texts that the model's normaliser changes;
+repeated rows are encoded one by one. Where segmentations of a unigram model have equal scores, the libraries may choose different ones:
+parity is then false.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, tidy
+from .common import tidy
 
 MARK = "▁"
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+DEFAULT_MODEL = os.environ.get("RASTRUM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Threads of the library in one Python worker, and parts that a worker keeps before it starts anew.
 THREADS, CACHE_PARTS = 2, 200_000
 #: Bytes of text that are encoded together.
@@ -80,6 +82,68 @@ def parse_model(data: bytes) -> dict:
     return out
 
 
+class CharacterMap:
+    """The normaliser's table: a double-array trie of byte strings, then what they become, each ended by a zero. The longest string that
+    begins at a place is replaced; a character with which none begins stays. The tokenizers library reads the same table grapheme by
+    grapheme, which gives other results for some pairs of characters."""
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little") if data else 0
+        self.units = np.frombuffer(data[4 : 4 + size], "<u4").tolist()
+        self.strings = data[4 + size :]
+        self.inert: set[str] = set()  # characters with which no string begins
+
+    def longest(self, raw: bytes) -> tuple[int, int]:
+        """(length, place of the replacement) of the longest string that raw begins with; length 0 if there is none."""
+        found, at = (0, 0), self._offset(self.units[0])
+        for i, b in enumerate(raw):
+            at ^= b
+            unit = self.units[at] if at < len(self.units) else 0
+            if unit & 0x800000FF != b:
+                break
+            at ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = (i + 1, self.units[at] & 0x7FFFFFFF)
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 0x200) >> 6)
+
+    def apply(self, text: str) -> str:
+        if not self.units:
+            return text
+        out, at = [], 0
+        while at < len(text):
+            c = text[at]
+            if c in self.inert:
+                out.append(c)
+                at += 1
+                continue
+            raw = text[at : at + 32].encode("utf-8", "surrogatepass")
+            n, where = self.longest(raw)
+            if n:
+                out.append(self.strings[where : self.strings.index(b"\0", where)].decode())
+                at += len(raw[:n].decode("utf-8", "surrogatepass"))
+            else:
+                if not self._begins(c):
+                    self.inert.add(c)
+                out.append(c)
+                at += 1
+        return "".join(out)
+
+    def _begins(self, c: str) -> bool:
+        """Whether the trie goes on after c's bytes, so that longer strings may begin with it."""
+        at = self._offset(self.units[0])
+        for b in c.encode("utf-8", "surrogatepass"):
+            at ^= b
+            unit = self.units[at] if at < len(self.units) else 0
+            if unit & 0x800000FF != b:
+                return False
+            at ^= self._offset(unit)
+        return True
+
+
 class Codec:
     """Encoder and decoder of one model file."""
 
@@ -87,7 +151,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
-        from tokenizers import Regex, Tokenizer, models, normalizers
+        from tokenizers import Tokenizer, decoders, models
 
         m = parse_model(data)
         if m["suffix"] or not m["escape"]:
@@ -103,24 +167,25 @@ class Codec:
             model = models.BPE(ids, [(a, b) for _, _, _, a, b in sorted(merges)], unk_token=self.pieces[unk][0], fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
         else:
             raise ValueError("only unigram and BPE models are rebuilt")
-        steps = [normalizers.Precompiled(m["charsmap"])] if m["charsmap"] else []
-        if m["squeeze"]:
-            steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
-        self.plain = not steps
-        self.normalizer = normalizers.Sequence(steps)
+        self.map, self.squeeze = CharacterMap(m["charsmap"]), m["squeeze"]
+        self.plain = not m["charsmap"] and not m["squeeze"]
         self.prefix = MARK if m["dummy_prefix"] else ""
         self.tokenizer = Tokenizer(model)
+        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(self.pieces[unk][0], " \u2047 "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cuts = all(MARK not in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED))
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.is_byte = np.array([t == BYTE for _, _, t in self.pieces])
-        self.known: dict[str, bytes] = {}  # ids of parts
-        self.odd: set[str] = set()  # those whose ids aren't the library's
+        self.known: dict[str, tuple[bytes, str]] = {}  # parts' ids and what these decode to
+
+    def normalize(self, text: str) -> str:
+        """The text by the model's table, and with runs of blanks made one and outer ones taken off if the model asks for it."""
+        text = self.map.apply(text)
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text  # blanks only, no other white space
 
     def parts(self, text: str) -> list[str]:
         """The normalised text's parts; together they are the normalised text."""
         if not self.plain:
-            text = self.normalizer.normalize_str(text)
+            text = self.normalize(text)
         if not text:
             return []
         s = self.prefix + text.replace(" ", MARK)
@@ -131,51 +196,41 @@ class Codec:
             return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", s)
         return [MARK + x for x in split[1:]]
 
-    def _expected(self, parts: list[str]) -> list[list[int]]:
-        """The sentencepiece library's ids of parts, by whole texts that contain them."""
-        if not self.prefix:
-            return self.reference.encode([p.replace(MARK, " ") for p in parts], num_threads=1)
-        # the library puts the first marker itself; a part of markers only would be an empty text or blanks: it is put after a word
-        texts = [p[1:] if MARK not in p[1:] else p[1:].replace(MARK, " ") for p in parts]
-        blank = [i for i, p in enumerate(parts) if p[-1] == MARK]
-        for i in blank:
-            texts[i] = "a" + " " * len(parts[i])
-        got = self.reference.encode(texts, num_threads=1)
-        if blank:
-            head = len(self.reference.encode("a"))
-            for i in blank:
-                got[i] = got[i][head:]
-        return got
-
     def learn(self, new: list[str]) -> None:
-        """Encodes parts that aren't known yet, as one batch, and compares them with the library's ids."""
+        """Encodes parts that aren't known yet as one batch and decodes their ids as another."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) * 4
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) * 4
+        ends = np.cumsum(lengths)
         raw = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]) // 4).tobytes()
-        self.known.update(zip(new, map(raw.__getitem__, map(slice, (ends - 4 * np.fromiter(map(len, got), np.int64, len(got))).tolist(), ends.tolist())), strict=True))
-        want = self._expected(new)
-        if got != want:
-            self.odd.update(p for p, a, b in zip(new, got, want, strict=True) if a != b)
+        ids = map(raw.__getitem__, map(slice, (ends - lengths).tolist(), ends.tolist()))
+        self.known.update(zip(new, zip(ids, self.tokenizer.decode_batch(got, skip_special_tokens=False), strict=True), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text and whether it is in parity with sentencepiece."""
+    def transcode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text and what they decode to."""
         split = [self.parts(t) for t in texts]
         if len(self.known) > CACHE_PARTS:
-            self.known, self.odd = {}, set()
-        known, odd = self.known, self.odd
+            self.known = {}
+        known = self.known
         if new := list({p for parts in split for p in parts if p not in known}):
             self.learn(new)
-        ids = [np.frombuffer(b"".join([known[p] for p in parts]), np.int32) for parts in split]
-        return ids, [not odd or odd.isdisjoint(parts) for parts in split]
+        got = [[known[p] for p in parts] for parts in split]
+        ids = [np.frombuffer(b"".join([i for i, _ in parts]), np.int32) for parts in got]
+        return ids, [self._unmarked("".join([t for _, t in parts])) for parts in got]
+
+    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids for each whole raw text."""
+        return [x.tolist() == want for x, want in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
 
     def forget(self) -> None:
         """Drops known parts."""
-        self.known, self.odd = {}, set()
+        self.known = {}
+
+    def _unmarked(self, text: str) -> str:
+        return text[1:] if self.prefix and text[:1] == " " else text
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes of byte pieces, blanks for markers, the prefix blank taken off."""
-        raw = b"".join([self.bytes[i] for i in ids.tolist()])
-        return raw[1 if self.prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
+        return self._unmarked(self.tokenizer.decode(ids.tolist(), skip_special_tokens=False))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -195,7 +250,6 @@ def transcode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: list[str] | Non
     """The columns in ``keep`` (doc_id unless given) and of each whole text the outputs: n_chars, n_tokens, n_byte_fallback, ids,
     decoded, round_trip, parity, ids_sha256 (of little-endian 32-bit ids), decoded_sha256. The model file is read by the driver and
     broadcast; it is refused above 64 MB."""
-    bound_batches(docs.sparkSession)
     with open(model, "rb") as f:
         data = f.read(64 << 20)
         if f.read(1):
@@ -215,9 +269,8 @@ def transcode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: list[str] | Non
 
     def one(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        ids, parity = codec.encode(texts)
-        decoded = [codec.decode(x) for x in ids]
-        got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: parity, "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
+        ids, decoded = codec.transcode(texts)
+        got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: codec.parity(texts, ids), "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
         arrays = []
         for c in outputs:
             if c == "ids":

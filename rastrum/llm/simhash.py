@@ -1,23 +1,32 @@
 """SimHash near-duplicates: a Gray-order hierarchical index finds fingerprints that differ in few bits.
 
-Fingerprints of equal texts are equal, so the search runs over distinct fingerprints. Two that differ in at most two of four
-blocks' worth of bits agree in two blocks at least, so each fingerprint goes to six buckets, one for each pair of blocks, and
-every link is found in some bucket. Inside a bucket fingerprints are sorted by their rank in the binary-reflected Gray code,
-which puts similar ones side by side; neighbours are grouped level by level, and each upper node keeps the bits that all
-below it share as (mask, value). A search goes down from the root, adds up the differences in the newly shared bits and prunes a
-whole group as soon as they exceed the limit. What a bucket returns is a spanning forest of its links, and the components of
-all forests are the components of all links.
-
-A bucket with many fingerprints is divided by three parts of its other 32 bits, of which two differing bits leave one equal;
+The index stands inside buckets. Fingerprints of a bucket are sorted by their rank in the binary-reflected Gray code, which puts similar
+ones side by side; neighbours are grouped level by level, and each upper node keeps the bits that all below it share as (mask, value). A
+search goes down from the root, adds up the differences in the newly shared bits and prunes a whole group as soon as they exceed the limit.
+
+``near_duplicates`` links fingerprints at up to two differing bits. The search runs over distinct fingerprints. Two that differ in two bits
+agree in two of four blocks of 16 bits at least, so each fingerprint goes to six buckets, one for each pair of blocks, and every link is
+found in some bucket. What a bucket returns is a spanning forest of its links, and the components of all forests are the components
+of all links. A bucket with many fingerprints is divided by three parts of its other 32 bits, of which two differing bits leave one equal;
 such a part has at most 2 ** 22 distinct fingerprints, so a task's group is bounded whatever the input.
 
-Defined cases: null texts and texts without words have fingerprint zero, which is linked like any other; a text of fewer words
-than a shingle has one shingle, all its words. Rows with a null id get fingerprint and component of their group; a group that
-has only such rows has a null component. Repeated rows are alike. Other columns aren't read.
+``similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked exactly. Their fingerprints differ
+in ten bits on average, too many for blocks of bits to agree, so buckets are made from shingles: each of VIEWS buckets of a text is named by
+its two least shingle hashes under one of VIEWS orders. A pair at 0.8 misses each with a probability of 0.36, all with 0.00004, and one
+in 5,000 of such pairs differs in more than WIDE bits. Bucket mates within WIDE bits are candidates: in the first rounds those of a few
+leaders of each bucket, then, between texts that aren't linked yet, all that the index finds. So a large group of near copies costs as many
+comparisons as it has members, and no link between different groups is lost. Buckets with very many texts are divided by the texts' other
+buckets.
+
+Defined cases: words are lower-cased in A-Z and parted by ASCII white space. For ``near_duplicates`` null texts and texts without words have
+fingerprint zero, which is linked like any other; for ``similar`` they are linked to nothing. A text of fewer words than a shingle has one
+shingle, all its words. Rows with a null id get fingerprint and component of their group in ``near_duplicates``; a group that has only such
+rows has a null component; ``similar`` leaves them out. Repeated rows are alike. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +35,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, gathered, tidy
+from .common import cut, dealt, gathered, hot_keys, spread, texts_of, tidy
 from .components import components
 
 BITS, SEED = 64, 42
-#: Children of an index node; queries that go down together; fingerprints above which a bucket is divided.
-FAN, QUERIES, DIVIDE = 16, 4096, 2048
-#: Rows of a fingerprint that may count as many, and parts that they are dealt to.
-HOT_ROWS, PARTS = 200, 64
+#: Children of an index node; pairs that a search may hold; fingerprints above which a bucket of blocks is divided.
+FAN, PAIRS, DIVIDE = 16, 1 << 22, 2048
+#: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, rounds with leaders.
+WORDS, VIEWS, WIDE, BIG, LEADERS, ROUNDS = 5, 10, 20, 20_000, 8, 2
+#: Rows up to which the ids of texts to compare are broadcast: 16 MB.
+SMALL = 1 << 21
 
 
-def fingerprint(text: str, size: int) -> int:
-    """The text's fingerprint: a bit is 1 if set in over half the shingles' hashes."""
+def hashes_of(text: str, size: int) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, k, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > k).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, size: int) -> int:
+    """The text's fingerprint, zero without words."""
+    return folded(hashes_of(text, size))
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +96,8 @@ class GrayIndex:
     """Distinct fingerprints in Gray order under levels of nodes that factor out shared bits."""
 
     def __init__(self, fps: np.ndarray):
-        self.leaves = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.leaves = fps[self.order]
         full = np.full(len(fps), ~np.uint64(0))
         self.levels = [(full, self.leaves)]  # (mask of shared bits, their values), leaves first
         while len(self.levels[-1][0]) > 1:
@@ -108,24 +128,28 @@ class GrayIndex:
         ok = diff <= limit
         return q[ok], node[ok]
 
-    def forest(self, limit: int) -> list[tuple[int, int]]:
-        """A spanning forest of the links among the leaves."""
-        parent = list(range(len(self.leaves)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for s in range(0, len(self.leaves), QUERIES):
-            a, b = self.search(self.leaves[s : s + QUERIES], limit)
-            keep = a + s < b
-            for i, j in zip((a[keep] + s).tolist(), b[keep].tolist(), strict=True):
-                i, j = root(i), root(j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-        return [(i, r) for i in range(len(parent)) if (r := root(i)) != i]
+    def searches(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``search``, some queries at a time, so that a bounded number of pairs is held."""
+        step = max(1, PAIRS // max(len(self.leaves), 1024))
+        for s in range(0, len(queries), step):
+            a, b = self.search(queries[s : s + step], limit)
+            yield a + s, b
+
+    def forest(self, limit: int) -> np.ndarray:
+        """A spanning forest of the links among the leaves: rows (leaf, a leaf of its component)."""
+        label = np.arange(len(self.leaves))
+        for a, b in self.searches(self.leaves, limit):
+            while True:
+                a, b = label[a], label[b]
+                differ = a != b
+                if not differ.any():
+                    break
+                a, b = a[differ], b[differ]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return np.stack([at, label[at]], axis=1)
 
 
 def _links(limit: int):
@@ -133,8 +157,7 @@ def _links(limit: int):
 
     def edges(fps: np.ndarray) -> np.ndarray:
         index = GrayIndex(fps)
-        got = np.array(index.forest(limit), np.int64).reshape(-1, 2)
-        return index.leaves[got]
+        return index.leaves[index.forest(limit)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -182,9 +205,7 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
         ).alias("c")
     )
     ready = many.where(f"n <= {DIVIDE}").select("sig", "bucket", "fp").union(divided.select("c.*"))
-    bound_batches(fps.sparkSession)
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    return ready.repartition("sig", "bucket").sortWithinPartitions("sig", "bucket").mapInArrow(tidy(_links(limit)), "a long, b long")
+    return ready.repartition("sig", "bucket").sortWithinPartitions("sig", "bucket").mapInArrow(tidy(_links(limit), 50_000), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
@@ -196,16 +217,161 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = joined.join(least, "root").select("fp", "component_id")
     of = groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    # a fingerprint with over a thousandth of the rows, of which there are less than a thousand, is dealt to many tasks
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = [r["fp"] for r in groups.where(F.col("n") > max(HOT_ROWS, total // 1000)).select("fp").collect()]
-    part = lambda yes, no: F.when(F.col("fp").isin(hot), yes).otherwise(no) if hot else no
-    found = found.withColumn("part", part(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"), F.lit(0)))
-    of = of.withColumn("part", F.explode(part(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.array(F.lit(0)))))
-    return gathered(found.join(of, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
-
-
-def keep_one(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
-    """docs with the row of the smallest doc_id of each group; rows with a null id stay."""
-    dropped = near_duplicates(docs, size, limit).where("doc_id <> component_id").select("doc_id").distinct()
+    hot = hot_keys(groups, "fp", "n")
+    got = dealt(found, "fp", hot, "doc_id").join(spread(of, "fp", hot), ["fp", "part"])
+    return gathered(got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+#: Fixed by a rule: an odd multiplier for each order.
+_TURNS = np.array([int.from_bytes(hashlib.md5(bytes([k])).digest()[:8], "little") | 1 for k in range(VIEWS)], np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    """The VIEWS buckets of a set of hashes: its two least hashes under each order."""
+    least = np.full((VIEWS, 2), ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 16):
+        turned = _mix(hashes[None, at : at + (1 << 16)] * _TURNS[:, None])
+        least = np.partition(np.concatenate([least, turned], axis=1), 1, axis=1)[:, :2]
+    least = np.sort(least, axis=1)
+    return _mix(least[:, 0] * _TURNS[0] ^ _mix(least[:, 1] + _TURNS)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _sets(docs: DataFrame, whole: bool) -> DataFrame:
+    """Of each text with words: doc_id, key (hash of its set of shingles), n (their number), then the set itself as ``hashes``, or fp and buckets."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes_of(t, WORDS)) for t in texts_of(batch)]
+            rows = [k for k, h in enumerate(sets) if len(h)]
+            sets = [sets[k] for k in rows]
+            keys = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            same = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys), pa.array([len(h) for h in sets], pa.int32())]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*same, _lists([h.view(np.int64) for h in sets])], names=["doc_id", "key", "n", "hashes"])
+            else:
+                fps = np.array([folded(h) for h in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*same, pa.array(fps), _lists([buckets_of(h) for h in sets])], names=["doc_id", "key", "n", "fp", "buckets"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, key long, n int, " + ("hashes array<long>" if whole else "fp long, buckets array<long>"))
+
+
+def mates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, turn: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's texts in different components whose sizes and fingerprints allow the similarity: with a turn those of a few
+    leaders, else all."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= WIDE)
+
+    if turn is not None:
+        left = np.argsort(_mix(key.view(np.uint64) * _TURNS[turn]), kind="stable")
+        for _ in range(LEADERS):
+            if len(left) < 2:
+                break
+            lead, rest = left[:1], left[1:]
+            ok = near(lead, rest)
+            yield np.repeat(lead, int(ok.sum())), rest[ok]
+            left = rest[~ok & (root[rest] != root[lead])]
+        return
+    roots, sizes = np.unique(root, return_counts=True)
+    ask = np.flatnonzero(root != roots[sizes.argmax()])  # one of two in different components isn't in the largest
+    asked = np.zeros(len(key), bool)
+    asked[ask] = True
+    index = GrayIndex(fp)
+    for a, b in index.searches(fp[ask], WIDE):
+        i, j = ask[a], index.order[b]
+        once = (i < j) | ~asked[j]
+        i, j = i[once], j[once]
+        ok = near(i, j)
+        yield i[ok], j[ok]
+
+
+def _mates(turn: int | None):
+    """Reads rows (h, key, n, fp, root) by bucket h and yields pairs of keys; a bucket may go on in the next batch."""
+
+    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, n, fp, root = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(key) > 1:
+            for i, j in mates(key, n, fp.view(np.uint64), root, turn):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            h, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bounds = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if h[s] != now and held:
+                    yield from pairs(held)
+                    held = []
+                now = h[s]
+                held.append(tuple(x[s:e].copy() for x in rest))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """h, key, n, fp: nodes in the buckets that hold several."""
+    rows = nodes.select(F.explode("buckets").alias("h"), "key", "n", "fp").distinct()
+    sizes = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    rows = cut(gathered(rows.join(sizes, "h")), "members")
+    if rows.where(F.col("m") > BIG).isEmpty():
+        return rows
+    big = rows.where(F.col("m") > BIG).select("h", "key").withColumnRenamed("h", "big")
+    finer = nodes.join(big, "key").select(F.expr("explode(transform(filter(buckets, b -> b <> big), b -> xxhash64(least(big, b), greatest(big, b))))").alias("h"), "key", "n", "fp").distinct()
+    return cut(gathered(rows.where(F.col("m") <= BIG).select("h", "key", "n", "fp").unionByName(finer)), "members")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of keys whose sets are similar, by the sets of the texts in question."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    reps = cut(gathered(nodes.join(asked, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()), "reps")
+    few = F.broadcast(reps) if reps.count() <= SMALL else reps
+    sets = cut(_sets(docs.join(few, "doc_id", "left_semi"), True).select("key", "hashes"), "sets").dropDuplicates(["key"])
+    left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}h")) for k in "ab")
+    # shared / (n + m - shared) >= 0.8
+    return pairs.join(left, "a").join(right, "b").where("9 * size(array_intersect(ah, bh)) >= 4 * (size(ah) + size(bh))").select("a", "b")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that links reach) of the rows that have an id and words."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    marks = cut(_sets(docs, False), "marks")
+    nodes = cut(gathered(marks.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "buckets")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.buckets")), "nodes")
+    members = _members(nodes).select("h", "key", "n", "fp")
+    roots, tested, links_ = None, None, None
+    for turn in [*range(ROUNDS), None]:
+        now = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").select("h", "key", "n", "fp", F.coalesce("root", "key").alias("root"))
+        if roots is not None:  # buckets that lie in one component are done
+            now = now.join(now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "h", "left_semi")
+        pairs = now.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_mates(turn), 50_000), "a long, b long").distinct()
+        pairs = cut(gathered(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
+        found = cut(gathered(_alike(pairs, docs, nodes)), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        links_ = found if links_ is None else links_.union(found)
+        if roots is None or not found.isEmpty():
+            roots = cut(gathered(components(links_).select(F.col("node").alias("key"), "root")), "roots")
+    joined = nodes.select("key", "rep").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = joined.join(least, "root").select("key", "component_id")
+    return marks.select("doc_id", "key").join(of, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with the row of the smallest doc_id of each group of similar texts; rows without an id or words stay."""
+    dropped = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(cut(gathered(dropped), "copies"), "doc_id", "left_anti").select(*docs.columns)

@@ -2,15 +2,21 @@
 
 Every 50-byte string of a document lies in exactly one segment: a stretch of the document whose 50-byte windows share their
 minimiser (the 12-byte substring of least hash), with 49 bytes after it. Equal strings have equal minimisers, so segments are
-dealt to bins by minimiser and no match crosses bins. A task packs its segments for a bin, identical ones once, into one
-compressed row. In a bin, segments whose minimiser with 19 bytes on one side occurs in one document only can't share 50 bytes
-and are put aside; of the others, equal ones become one string with their smallest doc_id.
-
-The strings of part of a bin form a collection whose transform grows by one symbol of every string each round, from the last to the
-first: the files of the last round are read in order, the ranks of the new symbols are counted on the way, and the new files
-(transform, suffix starts, common prefixes with the predecessor) are written in order. They are spooled: in memory while small, on
-the executor's disk beyond, and gone when the task ends. In the finished order suffixes with 50 common bytes are neighbours, and the
-smallest doc_id of each such group says which places of which documents are repeats.
+dealt to bins by minimiser and no match crosses bins.
+
+A task works on numbered batches of documents. Equal segments of a batch go to their bin once, with the smallest and the largest
+doc_id that hold them in the batch; where they stand is kept with the batch, in a row of its own. A bin answers with (batch, segment)
+pairs, and the answers come back to their batch by its number: a passage of very many documents costs its bin one entry a batch, and
+what is removed from a document is put together in one place, in one row.
+
+A bin deals its segments to parts through a file on the executor's disk and works on one part after the other, so that memory is bounded
+by a part's size whatever the bin's. In a part, segments whose minimiser with 19 bytes on one side occurs in one document only can't
+share 50 bytes and are put aside; of the others, equal ones become one string with their smallest doc_id. These strings are a
+collection whose transform grows by one symbol of every string each round, from the last to the first. A round reads the files of the
+last one in order: it counts the ranks of the new symbols and takes the minimum of the common prefixes between two places of the same
+symbol, which plus one is the common prefix of the two suffixes that begin there. Then it writes the new files (transform with suffix
+starts, common prefixes) in order. In the finished order suffixes with 50 common bytes are neighbours, and each such group has a
+smallest doc_id.
 
 Defined cases: null texts count as empty; texts below 50 bytes have no strings; rows with the same doc_id don't repeat each
 other, whatever their texts; rows with a null id neither lose bytes nor count as a smaller document. Other columns aren't read.
@@ -21,26 +27,25 @@ from __future__ import annotations
 import hashlib
 import math
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts_of, tidy
+from .common import cut, settled, texts_of, tidy
 
 LENGTH, GRAM = 50, 12
 WINDOW = LENGTH - GRAM + 1  # minimiser places in a string
 SIDE = (LENGTH - GRAM) // 2  # bytes that a string has on one side of its minimiser at least
-#: Text of segments in a bin and in the part of a bin that becomes one collection; file bytes kept in memory; entries read at once.
-BIN_BYTES, PART_BYTES, SPOOL, BLOCK = 48 << 20, 2 << 20, 32 << 20, 1 << 20
-MAX_BINS = 4096
-#: Places of one segment in a batch from which on the segment counts as common.
-COMMON = 64
+#: Text of segments in a bin and in a part of it; a bin's bytes that wait for their file; file bytes kept in memory; entries read at once.
+BIN_BYTES, PART_BYTES, FLUSH, SPOOL, BLOCK = 24 << 20, 5 << 18, 16 << 20, 1 << 20, 1 << 20
+#: With more bins than this, their number and their size grow evenly.
+MANY_BINS = 20_000
 #: Segment text is so many times the documents' text, about.
 BLOW_UP = 3.4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -127,19 +132,18 @@ def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-#: A packed row: ids of the batch's documents (differences), tags, their lengths; segments' lengths, minimiser places, numbers of places where they stand, whether they are common, text; the places (differences).
-_SENT = [np.int64, np.int64, np.int32, np.uint8, np.uint8, np.int32, np.uint8, np.uint8, np.int64]
-#: Further places of a common segment: ids, tags, starts.
-_PLACES = [np.int64, np.int64, np.int32]
+#: A packed row of a bin: lengths, minimiser places, smallest doc_ids (differences), largest minus smallest doc_ids, text of segments.
+_SENT = [np.uint8, np.uint8, np.int64, np.int64, np.uint8]
+#: A batch's places: ids (differences), tags and lengths of its documents, ascending by id; how often each segment stands; where (differences).
+_PLACES = [np.int64, np.int64, np.int64, np.int32, np.int64]
 
 
-def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -> list[tuple[int, bytes | None, bytes]]:
-    """(bin, None, packed segments) of a batch of documents; segments that are equal in text go once, with all their places. Of a common
-    segment the bin gets the places in the smallest and the largest document only; the others go, packed, as (any bin, hash of the
-    segment, places), so that a passage of very many documents isn't dealt to one task."""
+def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -> tuple[list[tuple[int, int, bytes]], bytes | None]:
+    """([(bin, number of its first segment, packed segments)], packed places) of a batch of documents in the order of their ids. Segments
+    are numbered bin by bin, equal ones once."""
     buf, starts, strings, place, key = cut_segments(raw)
     if not len(starts):
-        return []
+        return [], None
     lengths = strings + LENGTH - 1
     # equal segments have equal keys: only where a key is repeated are texts hashed
     order = np.argsort(key, kind="stable")
@@ -153,31 +157,20 @@ def pack_batch(ids: np.ndarray, tags: np.ndarray, raw: list[bytes], bins: int) -
         first[i] = seen.setdefault(xxhash.xxh3_128_digest(view[s : s + n]), i)
     dest = (key >> np.uint64(20)) % np.uint64(bins)
     order = np.lexsort((first, dest))
-    dest, first_, pos = dest[order], first[order], starts[order]
+    first, pos = first[order], starts[order]
+    new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+    times = np.diff(np.r_[new, len(first)])
+    own, dest = first[new], dest[order][new]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    ends = np.cumsum(sizes)
+    low, high = (ids[np.searchsorted(ends, pos[at], "right")] for at in (new, new + times - 1))
     bounds = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1], True])
-    sizes = np.array([len(x) for x in raw], np.int32)
-    doc_ends = np.cumsum(sizes, dtype=np.int64)
-    base = [np.diff(ids, prepend=0), tags, sizes]
-    out: list[tuple[int, bytes | None, bytes]] = []
+    out = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        f, p = first_[s:e], pos[s:e]
-        new = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        own = f[new]
-        times = np.diff(np.r_[new, e - s])
-        keep = np.ones(e - s, bool)
-        for i in np.flatnonzero(times >= COMMON).tolist():
-            here = slice(new[i], new[i] + times[i])
-            of = np.searchsorted(doc_ends, p[here], "right")
-            rest = np.ones(len(of), bool)
-            rest[[ids[of].argmin(), ids[of].argmax()]] = False
-            keep[here] = ~rest
-            of, at = of[rest], p[here][rest]
-            packed = _pack([ids[of], tags[of], (at - (doc_ends - sizes)[of]).astype(np.int32)])
-            out.append((zlib.crc32(packed) % bins, xxhash.xxh3_128_digest(view[starts[own[i]] : starts[own[i]] + lengths[own[i]]]), packed))
-        left = np.add.reduceat(keep, new, dtype=np.int32)
-        text = gather(buf, starts[own], lengths[own])
-        out.append((int(dest[s]), None, _pack([*base, lengths[own].astype(np.uint8), place[own].astype(np.uint8), left, (times >= COMMON).astype(np.uint8), text, np.diff(p[keep], prepend=0)])))
-    return out
+        i = own[s:e]
+        packed = _pack([lengths[i].astype(np.uint8), place[i].astype(np.uint8), np.diff(low[s:e], prepend=0), high[s:e] - low[s:e], gather(buf, starts[i], lengths[i])])
+        out.append((int(dest[s]), s, packed))
+    return out, _pack([np.diff(ids, prepend=0), tags, sizes, times.astype(np.int32), np.diff(pos, prepend=0)])
 
 
 class Spool:
@@ -235,99 +228,132 @@ class Spool:
             self.file.close()
 
 
-def common(u: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """Common bytes, up to limit, of the texts at a and b."""
-    out = np.full(len(a), limit, np.uint8)
-    live = np.arange(len(a))
-    for k in range(0, limit, 8):
-        x = u[a[live] + k] ^ u[b[live] + k]
-        ended = np.flatnonzero(x)
-        y = x[ended]
-        same = k + (np.bitwise_count((y & (~y + np.uint64(1))) - np.uint64(1)) >> 3)
-        out[live[ended]] = np.minimum(same, limit)
-        live = live[x == 0]
-        if not len(live):
-            break
-    return out
-
-
 #: Stands before a whole string in the transform and between strings; no UTF-8 text has this byte.
 TERMINATOR = 0xFF
 
 
 def transform(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int = LENGTH) -> tuple[Spool, Spool]:
-    """(entries, common prefixes) of the strings text[starts : starts + lengths]. Strings lie in order with a terminator after each,
-    and text is padded. An entry is a suffix's start in text, times 256, plus the symbol before it; the low bytes in order are the
-    transform. Round j inserts, for every string that is long enough, its suffix of length j + 1, that is the symbol before its suffix
-    of length j. Empty suffixes come first, in order of strings. The common prefix with the predecessor, up to limit, is kept where
-    both suffixes have that length, else it is 0."""
-    u = _words(text)
+    """(entries, common prefixes with the entry before, up to limit) of the strings text[starts : starts + lengths]. Strings lie in order
+    with a terminator after each, the last byte too. An entry is a suffix's start in text, times 256, plus the symbol before it; the low bytes in order are
+    the transform. Round j inserts, for every string that is long enough, its suffix of length j + 1, that is the symbol before its suffix
+    of length j. Empty suffixes come first, in order of strings."""
     end = starts + lengths
     wide = np.uint32 if len(text) < 1 << 24 else np.uint64
-    room = np.zeros(len(text), np.uint16)  # bytes from a place to its string's end
-    for j in range(1, limit + 1):
-        room[(end - j)[lengths >= j]] = j
-    room[np.repeat(starts, np.maximum(lengths - limit, 0)) + _counting(np.maximum(lengths - limit, 0))] = limit
     entries, prefix = Spool(wide), Spool(np.uint8)
     entries.write(end.astype(wide) << 8 | text[end - 1])
+    prefix.write(np.zeros(len(starts), np.uint8))
     heads = np.zeros(257, np.int64)  # suffixes by first symbol, empty ones before them
     heads[0] = len(starts)
     stand = np.bincount(text[end - 1], minlength=256)  # symbols in the transform
-    at, place = np.arange(len(starts)), end  # entries and starts of the last round's suffixes, in order
-    for j in range(int(lengths.max(initial=0))):
-        go = text[place - 1] != TERMINATOR if j else np.ones(len(place), bool)
-        place, rank, symbol = _ranks(entries, at[go], stand)
+    at, place, before = np.arange(len(starts)), end, text[end - 1]  # entries and starts of the last round's suffixes, in order, and the symbols before them
+    for _ in range(int(lengths.max(initial=0))):
+        go = before != TERMINATOR  # the byte before the first string is the last, a terminator
+        (place, rank, symbol, common), (next_rank, next_symbol, next_common) = _ranks(entries, prefix, at[go], stand, limit)
         heads[1:] += np.bincount(symbol, minlength=256)
-        at = np.cumsum(heads)[symbol] + rank  # heads[c + 1] counts symbol c, so this is all that sort before the suffix
+        before_symbol = np.cumsum(heads)  # heads[c + 1] counts symbol c, so this is all that sort before it
+        at, after = before_symbol[symbol] + rank, before_symbol[next_symbol] + next_rank
         place = place - 1
-        before = text[place - 1] if place.min(initial=1) else np.where(place > 0, text[place - 1], TERMINATOR)
+        before = text[place - 1]
         stand = stand + np.bincount(before, minlength=256)
-        if j + 1 == limit:
-            prefix.write(np.zeros(entries.n, np.uint8))
-        entries, prefix = _merge(u, room, entries, prefix, at, place.astype(wide) << 8 | before, j + 1 >= limit, limit)
-    if not prefix.n:
-        prefix.write(np.zeros(entries.n, np.uint8))
+        order = np.argsort(after)
+        entries, prefix = _merge(entries, prefix, at, place.astype(wide) << 8 | before, common, after[order], next_common[order])
     return entries, prefix
 
 
-def _counting(n: np.ndarray) -> np.ndarray:
-    """0 .. n - 1 for each n, put together."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+class RangeMin:
+    """Minima of stretches of an array: tables of the minima of 1, 2, 4, ... SPAN places, and the same again for blocks of SPAN places."""
+
+    SPAN = 64
+
+    def __init__(self, x: np.ndarray, blocks: bool = True):
+        levels = self.SPAN.bit_length() if blocks else max(1, len(x)).bit_length()
+        self.table = np.empty((levels, len(x)), x.dtype)
+        self.table[0] = x
+        for k in range(1, levels):
+            half = 1 << (k - 1)
+            np.minimum(self.table[k - 1][: max(0, len(x) - half)], self.table[k - 1][half:], out=self.table[k][: max(0, len(x) - half)])
+        self.blocks = RangeMin(self.table[-1][: len(x) - self.SPAN + 1 : self.SPAN], False) if blocks and len(x) >= self.SPAN else None
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Minima of places lo to hi, both included."""
+        level = np.minimum(np.frexp((hi - lo + 1).astype(float))[1], len(self.table)) - 1
+        out = np.minimum(self.table[level, lo], self.table[level, hi + 1 - (1 << level)])
+        if self.blocks is not None:
+            first, last = -(-lo // self.SPAN), (hi + 1) // self.SPAN - 1
+            more = np.flatnonzero(first <= last)
+            out[more] = np.minimum(out[more], self.blocks.of(first[more], last[more]))
+        return out
 
 
-def _ranks(entries: Spool, at: np.ndarray, stand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the entries ``at`` (ascending), sorted by symbol, then entry: (suffix's start, how often the symbol stands before the entry,
-    symbol), in one pass. stand: how often each symbol stands in all entries."""
-    got = []
+def _places(order: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where the numbers ``of`` stand in a permutation, ascending."""
+    where = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    where[order] = np.arange(len(order), dtype=where.dtype)
+    return np.sort(where[of]).astype(np.int64)
+
+
+def _ranks(entries: Spool, prefix: Spool, at: np.ndarray, stand: np.ndarray, limit: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """In one pass over the files, for the entries ``at`` (ascending), sorted by symbol, then entry: (suffix's start, how often the symbol
+    stands before the entry, symbol, common prefix of the suffix that begins with the symbol with the one before it); and for entries that
+    aren't asked for but are the symbol's next after one that is: (rank, symbol, common prefix). stand: how often each symbol stands."""
+    asked_rows, next_rows = [], []
     so_far = np.zeros(256, np.int64)
+    least = np.full(256, 255, np.uint8)  # minimum of the common prefixes after each symbol's last place
+    pending = np.zeros(256, bool)  # whether that place was asked for
     lo = 0
+    prefix.rewind()
     for block in entries.blocks():
+        shared = prefix.read(len(block))
         symbols = block.view(np.uint8)[:: block.itemsize].copy()
         s, e = np.searchsorted(at, (lo, lo + len(block)))
         order = np.argsort(symbols, kind="stable")
-        count = stand if len(block) == entries.n else np.bincount(symbols, minlength=256)
-        asked = np.zeros(len(block), bool)
-        asked[at[s:e] - lo] = True
-        k = np.flatnonzero(asked[order])
-        entry = order[k]
-        c = symbols[entry]
-        got.append(((block[entry] >> 8).astype(np.int64), k - (np.cumsum(count) - count)[c] + so_far[c], c))
-        so_far += count
+        whole = len(block) == entries.n
+        count = stand if whole else np.bincount(symbols, minlength=256)
+        group = np.cumsum(count) - count  # where each symbol's places begin in the order
+        there = np.flatnonzero(count)
+        own = _places(order, at[s:e] - lo)
+        after = own + 1
+        after = after[np.r_[own[1:] != after[:-1], True][: len(own)] & (after < len(block))]
+        after = after[symbols[order[after]] == symbols[order[after - 1]]]
+        if pending.any():  # symbols whose last place before this block was asked for
+            head = group[there[pending[there]]]
+            after = np.sort(np.r_[after, head[~np.isin(head, own)]])
+        minima = RangeMin(shared)
+
+        def common(k: np.ndarray) -> tuple[np.ndarray, ...]:
+            """(entry, rank, symbol, common prefix) of the entries at places k of the order."""
+            entry = order[k]
+            c = symbols[entry]
+            nth = k - group[c]
+            low = minima.of(np.where(nth > 0, order[k - 1] + 1, 0), entry)
+            low = np.where(nth > 0, low, np.minimum(low, least[c]))
+            rank = nth + so_far[c]
+            return entry, rank, c, np.where(rank > 0, np.minimum(low + np.uint8(1), limit), 0).astype(np.uint8)
+
+        entry, *rest = common(own)
+        asked_rows.append(((block[entry] >> 8).astype(np.int64), *rest))
+        next_rows.append(tuple(common(after)[1:]))
+        if not whole:
+            tail = np.r_[np.minimum.accumulate(shared[::-1])[::-1], np.uint8(255)]
+            np.minimum(least, tail[0], out=least)
+            last = group[there] + count[there] - 1
+            least[there] = tail[order[last] + 1]
+            pending[there] = np.isin(last, own)
+            so_far += count
         lo += len(block)
-    if len(got) == 1:
-        return got[0]
-    start, rank, c = (np.concatenate(x) for x in zip(*got, strict=True))
+    if len(asked_rows) == 1:
+        return asked_rows[0], next_rows[0]
+    start, rank, c, common = (np.concatenate(x) for x in zip(*asked_rows, strict=True))
     order = np.argsort(c, kind="stable")
-    return start[order], rank[order], c[order]
+    return (start[order], rank[order], c[order], common[order]), tuple(np.concatenate(x) for x in zip(*next_rows, strict=True))
 
 
-def _merge(u: np.ndarray, room: np.ndarray, entries: Spool, prefix: Spool, at: np.ndarray, new: np.ndarray, compare: bool, limit: int) -> tuple[Spool, Spool]:
-    """New files with ``new`` put in as entries ``at`` (ascending), in one pass over the old ones. With ``compare`` the common prefixes of
-    the new entries and of those that follow them are counted."""
+def _merge(entries: Spool, prefix: Spool, at: np.ndarray, new: np.ndarray, common: np.ndarray, after: np.ndarray, next_common: np.ndarray) -> tuple[Spool, Spool]:
+    """New files with ``new`` put in as entries ``at`` (ascending) with their common prefixes, and with ``next_common`` as those of the
+    entries ``after`` (ascending), in one pass over the old files."""
     out, out_prefix = Spool(entries.kind), Spool(np.uint8)
     total = entries.n + len(at)
     lo = done = 0  # entries and new entries written
-    last, last_new = -1, False  # suffix of the last entry written, and whether it is new
     prefix.rewind()
     for old in entries.blocks():
         # old entries of this block that stand before each new entry still to come; those after its last wait, unless no block follows
@@ -337,30 +363,17 @@ def _merge(u: np.ndarray, room: np.ndarray, entries: Spool, prefix: Spool, at: n
         fresh = at[done : done + take] - lo
         mask[fresh] = True
         stay = ~mask
-        got = np.empty(len(mask), old.dtype)
-        got[stay] = old
-        got[fresh] = new[done : done + take]
+        got, shared = np.empty(len(mask), old.dtype), np.empty(len(mask), np.uint8)
+        got[stay], shared[stay] = old, prefix.read(len(old))
+        got[fresh], shared[fresh] = new[done : done + take], common[done : done + take]
+        s, e = np.searchsorted(after, (lo, lo + len(mask)))
+        shared[after[s:e] - lo] = next_common[s:e]
         out.write(got)
-        if compare:
-            p = np.zeros(len(mask), np.uint8)
-            p[stay] = prefix.read(len(old))
-            look = np.flatnonzero(mask | np.r_[last_new, mask[:-1]])
-            if len(look):
-                here = (got[look] >> 8).astype(np.int64)
-                prior = (got[np.maximum(look - 1, 0)] >> 8).astype(np.int64)
-                if look[0] == 0:
-                    prior[0] = last
-                ok = np.flatnonzero((prior >= 0) & (room[prior] >= limit) & (room[here] >= limit))
-                p[look] = 0
-                p[look[ok]] = common(u, prior[ok], here[ok], limit)
-            out_prefix.write(p)
-        last, last_new = int(got[-1] >> 8), bool(mask[-1])
+        out_prefix.write(shared)
         lo, done = lo + len(mask), done + take
     entries.close()
-    if compare:
-        prefix.close()
-        return out, out_prefix
-    return out, prefix
+    prefix.close()
+    return out, out_prefix
 
 
 def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -369,7 +382,7 @@ def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarr
     packed = np.cumsum(lengths) - lengths
     starts = packed + np.arange(len(lengths))
     apart = np.repeat(np.arange(len(lengths)), lengths) + np.arange(len(text))
-    spaced = np.full(len(text) + len(lengths) + PAD, TERMINATOR, np.uint8)
+    spaced = np.full(len(text) + len(lengths), TERMINATOR, np.uint8)
     spaced[apart] = text
     files = transform(spaced, starts, lengths)
     suffix, prefix = (files[0].all() >> 8).astype(np.int64), files[1].all()
@@ -386,229 +399,272 @@ def smallest(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarr
     return out
 
 
-class Part:
-    """Segments of a part of a bin, spooled until all have come."""
+class Parts:
+    """A bin's segments, dealt to parts: written to one file in chunks and read part by part."""
 
-    KINDS = (np.uint8, np.uint8, np.int32, np.uint8, np.uint8, np.int64, np.int64, np.int32)
+    #: Length, minimiser's place, smallest and largest doc_id, batch, number in the batch of each segment; then their text.
+    KINDS = (np.uint8, np.uint8, np.int64, np.int64, np.int32, np.int32)
 
-    def __init__(self):
-        self.files = [Spool(k) for k in self.KINDS]
+    def __init__(self, n: int):
+        self.held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(n)]
+        self.chunks: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]  # place in the file, segments, bytes of text
+        self.size, self.file, self.batches = 0, None, []
 
-    def add(self, *arrays: np.ndarray) -> None:
-        for f, x in zip(self.files, arrays, strict=True):
-            f.write(x)
+    def add(self, k: int, *arrays: np.ndarray) -> None:
+        self.held[k].append(arrays)
+        self.size += sum(x.nbytes for x in arrays)
+        if self.size >= FLUSH:
+            self._flush()
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc_id, tag, start, end) of stretches of documents that smaller documents hold too; common segments' smallest documents
-        are left in ``answers``, by hash."""
-        self.answers: dict[bytes, bytes] = {}
-        lengths, place, times, common_, text, doc, tag, start = (f.all() for f in self.files)
-        for f in self.files:
-            f.close()
-        none = np.zeros(0, np.int64)
-        if not len(lengths):
-            return none, none, none, none
-        lengths, place = lengths.astype(np.int64), place.astype(np.int64)
-        begin = np.cumsum(lengths) - lengths
-        text = np.r_[text, np.zeros(PAD, np.uint8)]
-        first = np.cumsum(times) - times
-        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        u = _words(text)
-
-        def shared(at: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
-            """Of the segments ``which``, those whose ``size`` bytes at ``at`` occur in two documents or more."""
-            h = np.zeros(len(which), np.uint64)
-            for k in [*range(0, size - 7, 8), size - 8]:
-                h = _mix(h ^ u[at + k])
-            order = np.argsort(h)
-            new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            many = np.minimum.reduceat(low[which[order]], new) < np.maximum.reduceat(high[which[order]], new)
-            return which[order[np.repeat(many, np.diff(np.r_[new, len(order)]))]]
-
-        which = shared(begin + place, GRAM, np.arange(len(lengths)))
-        ok = np.zeros(len(lengths), bool)
-        for some, at in ((place[which] >= SIDE, begin + place - SIDE), (place[which] + GRAM + SIDE <= lengths[which], begin + place)):
-            if some.any():
-                ok[shared(at[which[some]], GRAM + SIDE, which[some])] = True
-        which = np.flatnonzero(ok)
-        if not len(which):
-            return none, none, none, none
-        # equal segments become one string with the smallest document
-        view = memoryview(text)
-        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s : s + n]) for s, n in zip(begin[which].tolist(), lengths[which].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
-        order = np.lexsort((digests[:, 0], digests[:, 1]))
-        d = digests[order]
-        new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
-        string = np.empty(len(which), np.int64)
-        string[order] = np.cumsum(new) - 1
-        own = which[order[new]]
-        least = np.minimum.reduceat(low[which[order]], np.flatnonzero(new))
-        size = lengths[own]
-        min_doc = smallest(gather(text, begin[own], size), size, least)
-        # each place where a surviving segment stands, each of its strings
-        at = np.cumsum(size) - size
-        for i in np.flatnonzero(common_[which]).tolist():
-            k = string[i]
-            self.answers[digests[i].tobytes()] = min_doc[at[k] : at[k] + size[k] - LENGTH + 1].tobytes()
-        n_places = times[which]
-        seg = np.repeat(np.arange(len(which)), n_places)
-        occ = np.repeat(first[which] - (np.cumsum(n_places) - n_places), n_places) + np.arange(int(n_places.sum()))
-        later = doc[occ] > np.minimum.reduceat(min_doc, at)[string[seg]]
-        seg, occ = seg[later], occ[later]
-        if not len(seg):
-            return none, none, none, none
-        k = lengths[which[seg]] - LENGTH + 1
-        head = np.cumsum(k) - k
-        within = np.arange(int(k.sum())) - np.repeat(head, k)
-        hit = min_doc[np.repeat(at[string[seg]], k) + within] < np.repeat(doc[occ], k)
-        edge = np.zeros(len(hit), bool)
-        edge[head] = True
-        opens = hit & (edge | ~np.r_[False, hit[:-1]])
-        closes = hit & np.r_[~hit[1:] | edge[1:], True]
-        o, c = np.flatnonzero(opens), np.flatnonzero(closes)
-        of = occ[np.searchsorted(head, o, "right") - 1]
-        return doc[of], tag[of], start[of] + within[o], start[of] + within[c] + LENGTH
-
-
-_OUT = "doc_id long, tag long, pairs binary, key binary, places binary, least binary"
-
-
-def _stretches(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    """A row for each document and tag with its stretches, packed."""
-    order = np.lexsort((s, tag, doc))
-    doc, tag, s, e = doc[order], tag[order], s[order], e[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-    pairs = pa.py_buffer(np.stack([s, e], axis=1).astype(np.int32).tobytes())
-    offsets = pa.py_buffer((np.r_[new, len(doc)] * 8).astype(np.int32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, offsets, pairs])], names=["doc_id", "tag", "pairs"])
-
-
-def _full(n: int, **given: pa.Array) -> pa.RecordBatch:
-    """A batch of _OUT with nulls in the columns that aren't given."""
-    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, pa.int64() if c in ("doc_id", "tag") else pa.binary()) for c in ("doc_id", "tag", "pairs", "key", "places", "least")], names=["doc_id", "tag", "pairs", "key", "places", "least"])
+    def _flush(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        for k, rows in enumerate(self.held):
+            if rows:
+                arrays = [np.concatenate(x) for x in zip(*rows, strict=True)]
+                self.file.writelines(np.ascontiguousarray(x, t).data for x, t in zip(arrays, (*self.KINDS, np.uint8), strict=True))
+                self.chunks[k].append((at, len(arrays[0]), len(arrays[-1])))
+                at = self.file.tell()
+                self.held[k] = []
+        self.size = 0
+
+    def read(self, k: int) -> list[np.ndarray]:
+        """All of part k."""
+        rows = []
+        for at, n, size in self.chunks[k]:
+            self.file.seek(at)
+            rows.append([np.frombuffer(self.file.read(np.dtype(t).itemsize * m), t) for t, m in [*((t, n) for t in self.KINDS), (np.uint8, size)]])
+        rows += self.held[k]
+        self.held[k] = []
+        return [np.concatenate([np.zeros(0, t), *x]) for t, x in zip((*self.KINDS, np.uint8), zip(*rows, strict=True) if rows else [()] * 7, strict=True)]
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+#: An answer: of a batch's segment, from string ``at`` on ``n`` strings whose smallest document is ``least``.
+_ANSWER = np.dtype([("segment", "<i4"), ("at", "u1"), ("n", "u1"), ("least", "<i8")])
+
+
+def answers(lengths: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, batch: np.ndarray, segment: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(batch, answers) for the batches in which a document holds a string that a smaller document holds too."""
+    if not len(lengths):
+        return
+    lengths, place = lengths.astype(np.int64), place.astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
+    text = np.r_[text, np.zeros(PAD, np.uint8)]
+    u = _words(text)
+
+    def shared(at: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
+        """Of the segments ``which``, those whose ``size`` bytes at ``at`` occur in two documents or more."""
+        h = np.zeros(len(which), np.uint64)
+        for k in [*range(0, size - 7, 8), size - 8]:
+            h = _mix(h ^ u[at + k])
+        order = np.argsort(h)
+        new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        many = np.minimum.reduceat(low[which[order]], new) < np.maximum.reduceat(high[which[order]], new)
+        return which[order[np.repeat(many, np.diff(np.r_[new, len(order)]))]]
+
+    which = shared(begin + place, GRAM, np.arange(len(lengths)))
+    ok = np.zeros(len(lengths), bool)
+    for some, at in ((place[which] >= SIDE, begin + place - SIDE), (place[which] + GRAM + SIDE <= lengths[which], begin + place)):
+        if some.any():
+            ok[shared(at[which[some]], GRAM + SIDE, which[some])] = True
+    which = np.flatnonzero(ok)
+    if not len(which):
+        return
+    # equal segments become one string with the smallest document
+    view = memoryview(text)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s : s + n]) for s, n in zip(begin[which].tolist(), lengths[which].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    order = np.lexsort((digests[:, 0], digests[:, 1]))
+    d = digests[order]
+    new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
+    string = np.empty(len(which), np.int64)
+    string[order] = np.cumsum(new) - 1
+    own = which[order[new]]
+    least = np.minimum.reduceat(low[which[order]], np.flatnonzero(new))
+    size = lengths[own]
+    min_doc = smallest(gather(text, begin[own], size), size, least)
+    at = np.cumsum(size) - size
+    # each batch's segment with its strings' smallest documents, where they are below the largest that holds it there
+    later = high[which] > np.minimum.reduceat(min_doc, at)[string]
+    which, string = which[later], string[later]
+    order = np.lexsort((segment[which], batch[which]))
+    which, string = which[order], string[order]
+    if not len(which):
+        return
+    k = lengths[which] - LENGTH + 1
+    head = np.cumsum(k) - k
+    within = np.arange(int(k.sum())) - np.repeat(head, k)
+    value = min_doc[np.repeat(at[string], k) + within]
+    none = np.iinfo(np.int64).max
+    value = np.where(value < np.repeat(high[which], k), value, none)
+    edge = np.zeros(len(value), bool)
+    edge[head] = True
+    edge[1:] |= value[1:] != value[:-1]
+    run = np.flatnonzero(edge)
+    n = np.diff(np.r_[run, len(value)])
+    real = value[run] != none
+    run, n = run[real], n[real]
+    of = which[np.searchsorted(head, run, "right") - 1]
+    out = np.empty(len(run), _ANSWER)
+    out["segment"], out["at"], out["n"], out["least"] = segment[of], within[run], n, value[run]
+    bounds = np.flatnonzero(np.r_[True, batch[of][1:] != batch[of][:-1], True])
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(batch[of[s]]), out[s:e].tobytes()
+
+
+_OUT = "batch long, kind int, packed binary"
 
 
 def _receive(parts: int):
-    """Reads packed segments, bin after bin, and yields a row for each document and part of a bin with its repeats, and for each common
-    segment its smallest documents. Places of common segments pass through."""
-
-    def finish(held: list[Part]) -> Iterator[pa.RecordBatch]:
-        for part in held:
-            doc, tag, s, e = part.repeats()
-            if len(doc):
-                x = _stretches(doc, tag, s, e)
-                yield _full(x.num_rows, doc_id=x.column(0), tag=x.column(1), pairs=x.column(2))
-            if part.answers:
-                yield _full(len(part.answers), key=pa.array(list(part.answers), pa.binary()), least=pa.array(list(part.answers.values()), pa.binary()))
+    """Reads packed segments, bin after bin, and yields a row for each part and batch with its answers (kind 1). Batches' places (kind 0)
+    pass through."""
+
+    def rows(batch: list[int], kind: int, packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array([kind] * len(batch), pa.int32()), pa.array(packed, pa.binary())], names=["batch", "kind", "packed"])
+
+    def finish(bin_: Parts | None) -> Iterator[pa.RecordBatch]:
+        if bin_ is not None:
+            for k in range(parts):
+                if got := list(answers(*bin_.read(k))):
+                    yield rows([bin_.batches[b] for b, _ in got], 1, [x for _, x in got])
+            bin_.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            through = batch.filter(batch.column("key").is_valid())
-            if through.num_rows:
-                yield _full(through.num_rows, key=through.column("key"), places=through.column("packed"))
-            batch = batch.filter(batch.column("key").is_null())
-            for b, blob in zip(batch.column("bin").to_pylist(), batch.column("packed"), strict=True):
+        now, bin_ = None, None
+        for got in batches:
+            for b, batch, base, blob in zip(got.column("bin").to_pylist(), got.column("batch").to_pylist(), got.column("base").to_pylist(), got.column("packed"), strict=True):
+                if base < 0:
+                    yield rows([batch], 0, [blob.as_py()])
+                    continue
                 if b != now:
-                    yield from finish(held)
-                    now, held = b, [Part() for _ in range(parts)]
-                ids, tags, sizes, lengths, place, times, common_, text, pos = _unpack(blob.as_buffer(), _SENT)
-                ids, pos = np.cumsum(ids), np.cumsum(pos)
-                ends = np.cumsum(sizes.astype(np.int64))
-                of = np.searchsorted(ends, pos, "right")
-                doc, tag, start = ids[of], tags[of], pos - (ends - sizes)[of]
+                    yield from finish(bin_)
+                    now, bin_ = b, Parts(parts)
+                lengths, place, low, span, text = _unpack(blob.as_buffer(), _SENT)
+                low = np.cumsum(low)
                 n = lengths.astype(np.int64)
-                begin, first = np.cumsum(n) - n, np.cumsum(times) - times
+                begin = np.cumsum(n) - n
                 padded = np.r_[text, np.zeros(PAD, np.uint8)]
                 u = _words(padded)
                 key = begin + place
                 to = ((_mix(_mix(u[key]) ^ u[key + GRAM - 8]) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                bounds = np.searchsorted(to[order], np.arange(parts + 1))
+                number = len(bin_.batches)
+                bin_.batches.append(batch)
                 for k in range(parts):
-                    w = np.flatnonzero(to == k)
+                    w = order[bounds[k] : bounds[k + 1]]
                     if len(w):
-                        t = times[w].astype(np.int64)
-                        occ = np.repeat(first[w] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
-                        held[k].add(lengths[w], place[w], times[w], common_[w], gather(padded, begin[w], n[w]), doc[occ], tag[occ], start[occ])
-        yield from finish(held)
+                        bin_.add(k, lengths[w], place[w], low[w], low[w] + span[w], np.full(len(w), number, np.int32), (base + w).astype(np.int32), gather(padded, begin[w], n[w]))
+        yield from finish(bin_)
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the further places of common segments."""
-    for batch in batches:
-        for places, least in zip(batch.column("places"), batch.column("least"), strict=True):
-            doc, tag, start = _unpack(places.as_buffer(), _PLACES)
-            least = np.frombuffer(least.as_buffer(), np.int64)
-            hit = np.zeros((len(doc), len(least) + 2), bool)
-            hit[:, 1:-1] = least[None, :] < doc[:, None]
-            row, opens = np.nonzero(hit[:, 1:] & ~hit[:, :-1])
-            _, closes = np.nonzero(hit[:, :-1] & ~hit[:, 1:])
-            if len(row):
-                yield _stretches(doc[row], tag[row], start[row] + opens, start[row] + closes - 1 + LENGTH)
-
-
-def repeats(docs: DataFrame, tagged: bool) -> DataFrame:
-    """(doc_id, tag, pairs): for a document and a bin, 32-bit starts and ends of stretches that smaller documents hold too. tag tells
-    apart rows with the same doc_id: a hash of the text, or 0 where ids are known to differ."""
+def _stretches(packed: pa.Scalar, found: list[np.ndarray]) -> pa.RecordBatch | None:
+    """A row for each document of a batch that loses bytes, with starts and ends of the stretches, as 64-bit numbers."""
+    ids, tags, sizes, times, pos = _unpack(packed.as_buffer(), _PLACES)
+    ids, pos, times = np.cumsum(ids), np.cumsum(pos), times.astype(np.int64)
+    first, ends = np.cumsum(times) - times, np.cumsum(sizes)
+    starts, stops = [], []
+    for x in found:
+        n = times[x["segment"]]
+        run = np.repeat(np.arange(len(x)), n)
+        place = np.repeat(first[x["segment"]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        doc = np.searchsorted(ends, pos[place], "right")
+        hit = np.flatnonzero(ids[doc] > x["least"][run])
+        s = pos[place[hit]] + x["at"][run[hit]] + doc[hit]  # documents are kept apart by one place
+        starts.append(s)
+        stops.append(s + x["n"][run[hit]] + (LENGTH - 1))
+    s, e = np.concatenate(starts), np.concatenate(stops)
+    if not len(s):
+        return None
+    order = np.argsort(s, kind="stable")
+    s, reach = s[order], np.maximum.accumulate(e[order])
+    new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+    s, e = s[new], reach[np.r_[new[1:] - 1, len(s) - 1]]
+    begin = ends - sizes + np.arange(len(ids))
+    doc = np.searchsorted(begin, s, "right") - 1
+    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    pairs = pa.py_buffer(np.stack([s - begin[doc], e - begin[doc]], axis=1).astype(np.int64).tobytes())
+    offsets = pa.py_buffer((np.r_[new, len(doc)] * 16).astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.array(tags[doc[new]]), pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, offsets, pairs])], names=["id", "tag", "pairs"])
+
+
+def _bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows by batch, its places first, and yields a row for each document that loses bytes."""
+    now, places, found = None, None, []
+    for got in batches:
+        for batch, kind, packed in zip(got.column("batch").to_pylist(), got.column("kind").to_pylist(), got.column("packed"), strict=True):
+            if batch != now:
+                if found and (out := _stretches(places, found)):
+                    yield out
+                now, places, found = batch, None, []
+            if kind:
+                found.append(np.frombuffer(packed.as_py(), _ANSWER))
+            else:
+                places = packed
+    if found and (out := _stretches(places, found)):
+        yield out
+
+
+def sizes_of(total: int, least: int) -> tuple[int, int]:
+    """(bins, parts of a bin) for so many bytes of text and at least so many bins."""
+    text = total * BLOW_UP
+    bins = math.ceil(text / BIN_BYTES)
+    if bins > MANY_BINS:
+        bins = math.ceil(math.sqrt(bins * MANY_BINS))
+    bins = max(least, bins)
+    return bins, max(1, math.ceil(text / bins / PART_BYTES))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(id, tag, pairs): of each document that holds strings of smaller documents, the maximal stretches that they cover. tag is the text's
+    XXH64, which tells rows with the same doc_id apart. docs must have been read from files or a checkpoint: batches are numbered."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bins = int(min(MAX_BINS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * BLOW_UP / BIN_BYTES))))
-    parts = max(1, math.ceil(size * BLOW_UP / bins / PART_BYTES))
+    bins, parts = sizes_of(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [t.encode() for t in texts_of(batch)]
-            tags = np.array([xxhash.xxh3_64_intdigest(x) for x in raw] if tagged else [0] * len(raw), np.uint64).view(np.int64)
-            rows = pack_batch(batch.column("doc_id").to_numpy(zero_copy_only=False), tags, raw, bins)
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            texts = texts_of(batch)
+            raw = [texts[i].encode() for i in order.tolist()]
+            tags = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64)
+            rows, places = pack_batch(ids[order], tags, raw, bins)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([labels[b] for b, *_ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([x for *_, x in rows], pa.binary())], names=["bin", "key", "packed"])
+                rows.append(((task + k) % bins, -1, places))
+                number = [task << 32 | k] * len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([labels[b] for b, *_ in rows], pa.int32()), pa.array(number, pa.int64()), pa.array([s for _, s, _ in rows], pa.int32()), pa.array([x for *_, x in rows], pa.binary())], names=["bin", "batch", "base", "packed"])
 
     # numbers whose hash deals bin k to task k
     label = spark.range(bins * 24).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(bins)).alias("bin")).agg(F.min("label").alias("label")).collect()
     label = {r["bin"]: r["label"] for r in label}
     labels = [label.get(k, k) for k in range(bins)]
 
-    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(send), "bin int, key binary, packed binary")
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(send), "bin int, batch long, base int, packed binary")
     got = cut(sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(tidy(_receive(parts)), _OUT), "repeats")
-    asked, answers = got.where("places is not null").select("key", "places"), got.where("least is not null").select("key", "least")
-    more = asked.join(answers, "key").mapInArrow(tidy(_answer), "doc_id long, tag long, pairs binary")
-    return got.where("pairs is not null").select("doc_id", "tag", "pairs").unionByName(more)
-
-
-def union(pairs: list[bytes]) -> np.ndarray:
-    """Maximal stretches (start, end) that the packed pairs cover."""
-    x = np.frombuffer(b"".join(pairs), np.int32).reshape(-1, 2)
-    if not len(x):
-        return x
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    reach = np.maximum.accumulate(x[:, 1])
-    new = np.r_[True, x[1:, 0] > reach[:-1]]
-    return np.stack([x[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]]], axis=1)
+    return got.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_bring), "id long, tag long, pairs binary")
 
 
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes that are left as ``kept`` if with_text; a row for each row."""
-    bound_batches(docs.sparkSession)
-    ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    tagged = not ids.isEmpty()
-    found = repeats(docs, tagged)
-    own = found.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_list("pairs").alias("pairs"))  # a document's own repeats
-    if tagged:  # all that rows of one id have, by tag
-        own = own.groupBy("id").agg(F.collect_list(F.struct("tag", "pairs")).alias("all"))
-    else:
-        own = own.select("id", F.array(F.struct("tag", "pairs")).alias("all"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id").cast("long") == F.col("id"), "left").select("doc_id", "text", "all")
+    docs = settled(docs.select("doc_id", "text"))
+    found = repeats(docs).groupBy("id", "tag").agg(F.first("pairs").alias("pairs"))  # equal rows have equal stretches
+    tagged = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    rows = tagged.join(found, ["id", "tag"], "left").select("doc_id", "text", "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, found in zip(texts_of(batch), batch.column("all").to_pylist(), strict=True):
-                raw, spans = t.encode(), ()
-                if found:
-                    tag = np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64).view(np.int64)[0] if tagged else 0
-                    spans = union([p for x in found if x["tag"] == tag for p in x["pairs"]]).tolist()
+            for t, pairs in zip(texts_of(batch), batch.column("pairs").to_pylist(), strict=True):
+                raw = t.encode()
+                spans = np.frombuffer(pairs or b"", np.int64).reshape(-1, 2).tolist()
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(raw[at:s])

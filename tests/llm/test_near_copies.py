@@ -4,10 +4,11 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest import SF
 
-from rastrum.llm import near_copies
+from rastrum.llm import simhash
 
 
 def shingles(text):
@@ -35,9 +36,10 @@ def brute(rows):
     return {d for i, (d, _) in enumerate(rows) if least[root(i)] == d}
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
-def test_near_copies_are_all_pairs(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+@pytest.mark.parametrize(("rounds", "big"), [(2, 20_000), (0, 20_000), (2, 10)])
+def test_near_copies_are_all_pairs(spark, monkeypatch, rounds, big):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "BIG", big)
     rng = random.Random(3)
     rows = [(1000, "a b"), (1001, "A  b"), (1002, ""), (1003, None)]
     for _ in range(6):
@@ -49,10 +51,36 @@ def test_near_copies_are_all_pairs(spark, monkeypatch, rounds):
             rows.append((len(rows), " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    assert {r["doc_id"] for r in near_copies.keep_one(docs).collect()} == want
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
     assert 10 < len(want) < len(rows) - 10
 
 
+def test_large_group_of_near_copies(spark):
+    """A few leaders link nearly all of a group, so that no step emits its pairs."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = [(k, " ".join(w if rng.random() > 0.006 else f"y{rng.random()}" for w in base)) for k in range(3000)]
+    key = np.arange(len(rows))
+    hashes = [np.unique(simhash.hashes_of(t, 5)) for _, t in rows]
+    fp = np.array([simhash.folded(h) for h in hashes], np.uint64)
+    first = [p for p in simhash.mates(key, np.array([len(h) for h in hashes]), fp, key, 0)]
+    assert sum(len(i) for i, _ in first) <= simhash.LEADERS * len(rows)
+    want = brute(rows[:400])
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows[:400], "doc_id long, text string")).collect()} == want and len(want) < 40
+
+
+def test_mates_are_all_near_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 9).astype(np.uint64)
+    fp = np.repeat(base, 40)
+    for _ in range(12):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64))
+    key, n, root = np.arange(len(fp)), rng.integers(50, 80, len(fp)), rng.integers(0, 30, len(fp))
+    got = [tuple(sorted(p)) for i, j in simhash.mates(key, n, fp, root, None) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= simhash.WIDE}
+    assert set(got) == want and len(got) == len(want) > 1000
+
+
 def test_stage_drops_all_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}

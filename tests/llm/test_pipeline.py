@@ -5,7 +5,8 @@ import re
 import corpus_pipeline
 import sentencepiece
 from conftest import SF
-from test_corpus_operators import brute_components, brute_secrets, plain_fingerprint
+from test_corpus_operators import brute_secrets
+from test_near_copies import brute as brute_near_copies
 
 from rastrum.llm import secrets, sentencepiece_codec
 
@@ -17,11 +18,8 @@ def shingles(text):
 
 def plain(docs, items):
     kept = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
-    roots = brute_components([plain_fingerprint(t) for _, t in kept])
-    least = {}
-    for (i, _), r in zip(kept, roots, strict=True):
-        least[r] = min(least.get(r, i), i)
-    kept = [(i, t) for (i, t), r in zip(kept, roots, strict=True) if least[r] == i]
+    ids = brute_near_copies(kept)
+    kept = [(i, t) for i, t in kept if i in ids]
     sets = [s for s in map(shingles, items) if s]
     kept = [(i, t) for i, t in kept if not any(len(s & shingles(t)) >= 0.8 * len(s) - 1e-9 for s in sets)]
     return [(i, secrets.redact(t, brute_secrets(t) + secrets.confirmed(t, t.encode()))) for i, t in kept]
