@@ -1,13 +1,17 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate; Viterbi decoding and the
 content lines' share of the characters decide whether a document is kept.
 
-The field is fitted here, by gradient ascent on the exact likelihood (forward-backward), on a bounded sample of labelled
-documents: lines of documents with quality 1 count as content, those of quality 0 as boilerplate, which is noisy line by line
-but consistent over many. Line features are buckets of figures that array arithmetic over a batch's bytes yields.
+The field is fitted here, by gradient ascent on the exact likelihood (forward-backward), on a bounded sample of labelled documents.
+Their labels are of whole documents, so lines get theirs by multiple-instance training: a document of quality 1 has content lines
+only, one of quality 0 has one boilerplate line at least. A document of quality 0 starts with those lines as boilerplate whose features
+are commoner in documents of quality 0 (log odds over all lines); then the field is fitted, decodes these documents anew, and is fitted
+to the result, ROUNDS times. A document without any boilerplate line by then gets its likeliest one. Line features are buckets of figures
+that array arithmetic over a batch's bytes yields.
 
 Defined cases: null texts have no words and fail; a line is a \\n-separated part, and only lines with a word are labelled; a
-document without one has share 0. With no labelled rows every line is content. Repeated rows are judged one by one. Of docs
-only ``doc_id`` and ``text`` are read.
+document without one has share 0. With no labelled rows of quality 0 every line is content. Repeated rows are judged one by one. Rows of
+labels with a null id or another quality than 0 and 1 don't count, of several for one id the least quality does. Of docs only ``doc_id``
+and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import texts_of, tidy
 
-#: The field is fitted on about so many labelled documents of each class at most, and so many lines of each.
-MAX_TRAIN_PER_CLASS, MAX_TRAIN_LINES = 1000, 60
-STEPS, RATE, L2 = 120, 0.3, 1e-3
+#: The field is fitted on about so many labelled documents of each class at most, whole ones with so many lines at most.
+MAX_TRAIN_PER_CLASS, MAX_TRAIN_LINES = 1000, 1000
+ROUNDS, STEPS, RATE, L2 = 2, 60, 0.3, 1e-3
 #: Share of characters in content lines that a document needs.
 KEEP_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -146,50 +150,83 @@ class Field:
         return out
 
 
+class Chains:
+    """Documents' lines, longest document first, with the rows that each place in a document takes up."""
+
+    def __init__(self, lines: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in lines])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.features = np.concatenate(lines).astype(np.int64)
+        self.ends = self.starts + self.lengths - 1
+        self.at = [self.starts[: int((self.lengths > t).sum())] + t for t in range(int(self.lengths[0]))]
+        self.doc = np.repeat(np.arange(len(lines)), self.lengths)
+
+    def marginals(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each label at each line, of each pair of labels at each line and the one before it) under the weights."""
+        e = emit[self.features].sum(axis=1)
+        alpha, beta = e.copy(), np.zeros_like(e)
+        for i in self.at[1:]:
+            before = alpha[i - 1][:, :, None] + move
+            alpha[i] += np.logaddexp(before[:, 0], before[:, 1])
+        for i in reversed(self.at[1:]):
+            after = move + (e[i] + beta[i])[:, None, :]
+            beta[i - 1] = np.logaddexp(after[:, :, 0], after[:, :, 1])
+        z = np.logaddexp(*alpha[self.ends].T)[self.doc]
+        pairs = np.zeros((len(e), 2, 2))
+        later = np.ones(len(e), bool)
+        later[self.starts] = False
+        i = np.flatnonzero(later)
+        pairs[i] = np.exp(alpha[i - 1][:, :, None] + move + (e[i] + beta[i])[:, None, :] - z[i, None, None])
+        return np.exp(alpha + beta - z[:, None]), pairs
+
+    def fit(self, labels: np.ndarray, weight: np.ndarray) -> Field:
+        """Weights for the lines' labels, by ascent on the conditional likelihood; weight: of each line."""
+        emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+        ge, gm = np.zeros_like(emit), np.zeros_like(move)
+        truth = np.eye(2)[labels]
+        true_pairs = np.zeros((len(labels), 2, 2))
+        later = np.setdiff1d(np.arange(len(labels)), self.starts)
+        true_pairs[later] = truth[later - 1][:, :, None] * truth[later][:, None, :]
+        flat, each = self.features.reshape(-1), self.features.shape[1]
+        for _ in range(STEPS):
+            p, pairs = self.marginals(emit, move)
+            g = (truth - p) * weight[:, None]
+            d_emit = np.stack([np.bincount(flat, np.repeat(g[:, c], each), N_FEATURES) for c in (0, 1)], axis=1) - L2 * emit
+            d_move = ((true_pairs - pairs) * weight[:, None, None]).sum(axis=0) - L2 * move
+            ge += d_emit**2
+            gm += d_move**2
+            emit += RATE * d_emit / np.sqrt(ge + 1e-8)
+            move += RATE * d_move / np.sqrt(gm + 1e-8)
+        return Field(emit, move)
+
+
 def fit_field(chains: list[tuple[np.ndarray, int]]) -> Field:
-    """Weights from (features of a document's lines, label of all its lines), by ascent on the exact conditional likelihood."""
-    emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    chains = [(f, y) for f, y in chains if len(f)]
-    if not chains:
+    """Weights from (features of a document's lines, quality of the document)."""
+    chains = sorted(((f, y) for f, y in chains if len(f)), key=lambda x: -len(x[0]))
+    quality = np.array([y for _, y in chains], int)
+    if not (quality == 0).any():
+        emit = np.zeros((N_FEATURES, 2))
         emit[:, 1] = 1.0
-        return Field(emit, move)
-    chains.sort(key=lambda x: -len(x[0]))
-    lengths = np.array([len(f) for f, _ in chains])
-    top = int(lengths[0])
-    y = np.array([y for _, y in chains])
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    f = np.zeros((len(chains), top, len(BOUNDS)), np.int64)
-    for i, (x, _) in enumerate(chains):
-        f[i, : len(x)] = x
-    active = [int((lengths > t).sum()) for t in range(top)]
-    ge, gm = np.zeros_like(emit), np.zeros_like(move)
-    for _ in range(STEPS):
-        e = emit[f].sum(axis=2)
-        alpha, beta = e.copy(), np.zeros_like(e)
-        for t in range(1, top):
-            a = active[t]
-            alpha[:a, t] += np.logaddexp(*(alpha[:a, t - 1, None, :].transpose(2, 0, 1) + move[:, None]))
-        for t in range(top - 2, -1, -1):
-            a = active[t + 1]
-            beta[:a, t] = np.logaddexp(*((e[:a, t + 1] + beta[:a, t + 1]).T[:, :, None] + move.T[:, None]))
-        z = np.logaddexp(*alpha[np.arange(len(chains)), lengths - 1].T)
-        d_emit, d_move = -L2 * emit, -L2 * move
-        for t in range(top):
-            a = active[t]
-            p = np.exp(alpha[:a, t] + beta[:a, t] - z[:a, None])
-            g = (np.eye(2)[y[:a]] - p) * (weight[:a] / lengths[:a])[:, None]
-            for j in range(f.shape[2]):
-                for c in (0, 1):
-                    d_emit[:, c] += np.bincount(f[:a, t, j], g[:, c], N_FEATURES)
-            if t:
-                pair = np.exp(alpha[:a, t - 1, :, None] + move + (e[:a, t] + beta[:a, t])[:, None, :] - z[:a, None, None])
-                w = (weight[:a] / lengths[:a])[:, None, None]
-                d_move += ((np.eye(2)[y[:a]][:, :, None] * np.eye(2)[y[:a]][:, None, :] - pair) * w).sum(axis=0)
-        ge += d_emit**2
-        gm += d_move**2
-        emit += RATE * d_emit / np.sqrt(ge + 1e-8)
-        move += RATE * d_move / np.sqrt(gm + 1e-8)
-    return Field(emit, move)
+        return Field(emit, np.zeros((2, 2)))
+    all_ = Chains([f for f, _ in chains])
+    bad = quality[all_.doc] == 0
+    count = np.stack([np.bincount(all_.features[bad == c].reshape(-1), minlength=N_FEATURES) + 1.0 for c in (False, True)])
+    odds = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    suspect = odds[all_.features].sum(axis=1)
+    weight = np.where(quality == 1, 0.5 / max((quality == 1).sum(), 1), 0.5 / (quality == 0).sum())[all_.doc] / all_.lengths[all_.doc]
+    labels = (~bad | (suspect <= 0)).astype(int)
+    for turn in range(ROUNDS + 1):
+        # one boilerplate line at least in each document of quality 0
+        none = np.flatnonzero((np.add.reduceat(1 - labels, all_.starts) == 0) & (quality == 0))
+        for d in none.tolist():
+            s = all_.starts[d]
+            labels[s + int(suspect[s : s + all_.lengths[d]].argmax())] = 0
+        field = all_.fit(labels, weight)
+        if turn < ROUNDS:
+            p, _ = all_.marginals(field.emit, field.move)
+            suspect = p[:, 0]
+            labels = np.where(bad, field.decode(all_.doc, all_.features), 1).astype(int)
+    return field
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
@@ -203,8 +240,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, features, *_ = lines_of(texts_of(batch))
-            cut = [features[doc == i][:MAX_TRAIN_LINES] for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([c.astype(np.int16).tobytes() for c in cut], pa.binary())], names=["doc_id", "quality", "f"])
+            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            whole = [features[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            fits = pa.array(bounds[1:] - bounds[:-1] <= MAX_TRAIN_LINES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(whole, pa.binary())], names=["doc_id", "quality", "f"]).filter(fits)
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     got = rows.mapInArrow(tidy(run), f"doc_id {types['doc_id']}, quality {types['quality']}, f binary").collect()

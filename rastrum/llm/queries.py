@@ -79,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .decontaminate import ORACLE_SQL as leaks
+    from .sentence_spans import ORACLE_SQL as spans
     from .suffix_dedup import ORACLE_SQL as repeats
 
-    return {"op1_suffix_dedup": repeats, "op8_decontamination": leaks}
+    return {"op1_suffix_dedup": repeats, "op4_sentence_spans": spans, "op8_decontamination": leaks}

@@ -2,7 +2,8 @@
 
 Pattern spans are the three base kinds (assign, access, hex). Beyond them, long runs of base64 or hex characters are decoded
 and reported only if the bytes have the structure of key material: DER whose nested lengths add up, an OpenSSH key
-container, a PEM block around either, or a signed token whose header is JSON with an algorithm.
+container, a PEM block around either (or one whose headers say that it is encrypted), or a signed token whose header is JSON with an
+algorithm and whose payload is what the header says. Line breaks inside base64 may be real or written as in a JSON string.
 
 Defined cases: null texts count as empty; repeated rows are scanned one by one; only ``doc_id`` and ``text`` are read. Spans
 are code points with an exclusive end, sorted by start, then kind.
@@ -26,7 +27,9 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]*)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+_BREAK = re.compile(r"(?:\\r)?\\n|\r?\n")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,100}(?:(?:\\n|\r?\n)[\x20\t]{0,16}[A-Za-z0-9+/]{1,100})+={0,2}(?![A-Za-z0-9+/=_-])")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 #: Decoded bytes below this can't be told from chance.
 MIN_DER = 20
@@ -96,13 +99,33 @@ def unbase64(text: str) -> bytes | None:
 
 
 def is_token(header: str, payload: str) -> bool:
-    """Whether the first part decodes to a JSON object that names an algorithm and the second to JSON or cipher text."""
-    raw = unbase64(header)
-    try:
-        got = json.loads(raw) if raw and raw[:1] == b"{" else None
-    except (ValueError, RecursionError):
+    """Whether the first part decodes to a JSON object that names an algorithm, and the second decodes, for a header that says JWT to a JSON
+    object."""
+
+    def parsed(part: str) -> object:
+        raw = unbase64(part)
+        try:
+            return json.loads(raw) if raw and raw[:1] == b"{" else None
+        except (ValueError, RecursionError):
+            return None
+
+    got = parsed(header)
+    if not isinstance(got, dict) or not isinstance(got.get("alg"), str):
         return False
-    return isinstance(got, dict) and isinstance(got.get("alg"), str) and unbase64(payload) is not None
+    return isinstance(parsed(payload), dict) if str(got.get("typ")).upper() == "JWT" else unbase64(payload) is not None
+
+
+def is_pem(body: str) -> bool:
+    """Whether what stands between PEM marks is key material: headers, then base64 of a structure, or of whole cipher blocks where the headers
+    say that it is encrypted."""
+    lines = [x.strip() for x in _BREAK.split(body.strip())]
+    heads = [x for x in lines if ":" in x]
+    raw = unbase64("".join(x for x in lines if ":" not in x).replace("\\/", "/"))
+    if not raw:
+        return False
+    if any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in heads):
+        return any(x.startswith("DEK-Info:") for x in heads) and len(raw) % 8 == 0
+    return structure(raw) is not None
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
@@ -121,11 +144,11 @@ def confirmed(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     """Spans of candidates whose decoded bytes have the structure of a key or token."""
     out = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x.strip() for x in m[2].strip().split("\n")]
-            body = unbase64("".join(x for x in lines if ":" not in x))
-            if body and structure(body):
-                out.append((m.start(), m.end(), "pem"))
+        begin = None
+        for m in _MARK.finditer(text):
+            if m[1] == "END" and begin and begin[2] == m[2] and is_pem(text[begin.end() : m.start()]):
+                out.append((begin.start(), m.end(), "pem"))
+            begin = m if m[1] == "BEGIN" else None
     out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[1], m[2])]
     mapped = raw.translate(_TO_B64)
     if _B64_RUN in mapped:
@@ -138,6 +161,10 @@ def confirmed(text: str, raw: bytes) -> list[tuple[int, int, str]]:
                 kind = structure(body)
             if kind:
                 out.append((m.start(), m.end(), kind))
+        for m in _WRAPPED.finditer(text):
+            lines = [x.strip() for x in _BREAK.split(m[0])]
+            if len({len(x) for x in lines[:-1]}) == 1 and (body := unbase64("".join(lines))) and (kind := structure(body)):
+                out.append((m.start(), m.end(), kind))
     return out
 
 

@@ -1,8 +1,11 @@
-"""Sentence dedup against a brute force over all runs of sentences."""
+"""Sentence dedup against a brute force over all runs of three or more sentences, and against its SQL."""
 
 import random
 
-from rastrum.llm import sentence_spans
+import pytest
+from conftest import SF, same_rows
+
+from rastrum.llm import common, sentence_spans
 
 
 def brute(rows):
@@ -10,15 +13,16 @@ def brute(rows):
     for i, sentences in rows:
         here = runs[i] = []
         for s in range(len(sentences)):
-            for e in range(s + 2, len(sentences) + 1):
-                if sum(len(x.split()) for x in sentences[s:e]) >= 25:
-                    run = tuple(sentences[s:e])
-                    here.append((s, e, run))
-                    first[run] = min(first.get(run, (i, s)), (i, s))
+            for e in range(s + 3, len(sentences) + 1):
+                run = tuple(sentences[s:e])
+                here.append((s, e, run))
+                first[run] = min(first.get(run, (i, s)), (i, s))
     return {i: {k for s, e, run in runs[i] if first[run] < (i, s) for k in range(s, e)} for i, _ in rows}
 
 
-def test_every_repeated_run_goes_whole(spark):
+@pytest.mark.parametrize("hot", [200, 1])
+def test_every_repeated_run_goes_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(8)
     pool = [" ".join(f"p{k}w{j}" for j in range(n)) + "." for k, n in enumerate([60, 12, 12, 3, 24, 1, 8, 30, 5, 14, 20, 2])]
     rows = [(0, pool[:3] + ["a tail of its own."]), (1, ["another head."] + pool[:3] + ["and another end."])]
@@ -32,3 +36,8 @@ def test_every_repeated_run_goes_whole(spark):
     for i, s in rows:
         assert got[i]["n_sentences"] == len(s) and got[i]["n_removed"] == len(want[i]), i
         assert got[i]["text"].split() == " ".join(x for k, x in enumerate(s) if k not in want[i]).split()
+
+
+def test_query_is_its_sql(spark, duck):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same_rows(sentence_spans.digest(docs).toPandas(), duck.execute(sentence_spans.ORACLE_SQL).df())
