@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,33 +13,44 @@ CODES = {
     ".": ".-.-.-", ",": "--..--", "?": "..--..", "'": ".----.", "!": "-.-.--", "/": "-..-.", "(": "-.--.", ")": "-.--.-", "&": ".-...",
     ":": "---...", ";": "-.-.-.", "=": "-...-", "+": ".-.-.", "-": "-....-", "_": "..--.-", '"': ".-..-.", "$": "...-..-", "@": ".--.-.",
 }
-_SPACE = r"[ \t\n\x0B\f\r]+"
+_SPACE = r"[ \t\n\x0B\f\r]"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
+#: Stand-ins from a private area: one for each character with a code, then for a word's break and for one before a word that starts without a
+#: code. A text's own characters of this area have no code; they become OTHER.
+_MARKS = [chr(0xE000 + k) for k in range(len(CODES) + 2)]
+_CODED = f"[{_MARKS[0]}-{_MARKS[len(CODES) - 1]}]"
+_BREAK, _WIDE_BREAK = _MARKS[-2:]
+OTHER = "￿"
 
 
 def encode(text: Column) -> Column:
     """Morse of a text: letters apart by a blank, words by ' / '. Characters without a code vanish: a word without any code goes if no
     word stands before it, a later word that starts with one is set apart by one more blank, and white space at the end leaves a
-    separator."""
-    table = _map(CODES)
-    words = F.transform(F.split(F.translate(text, _LOWER, _UPPER), _SPACE), lambda w: F.struct(w.alias("w"), F.transform(F.split(w, ""), lambda ch: F.try_element_at(table, ch)).alias("codes")))
-    words = F.transform(words, lambda x: F.struct(x["w"].alias("w"), F.array_join(F.filter(x["codes"], lambda m: m.isNotNull()), " ").alias("m"), (x["w"] != "").alias("some")))
-    # leading words without a code: all before the first with one
-    first = F.array_position(F.transform(words, lambda x: (x["m"] != "").cast("int")), 1).cast("int")
-    kept = F.when(first > 0, F.slice(words, first, F.size(words) - first + 1)).otherwise(F.array().cast("array<struct<w:string,m:string,some:boolean>>"))
-    parts = F.transform(kept, lambda x, i: F.when((i > 0) & (x["m"] != "") & F.try_element_at(table, F.substring(x["w"], 1, 1)).isNull(), F.concat(F.lit(" "), x["m"])).otherwise(x["m"]))
-    return F.array_join(parts, " / ")
+    separator. Characters become stand-ins, a few patterns set the blanks, and stand-ins become codes, all on whole texts."""
+    own = dict(zip(CODES, _MARKS, strict=False))
+    letters = {x.lower(): own[x] for x in _UPPER} | own | dict.fromkeys(_MARKS, OTHER)
+    other = f"[^{_MARKS[0]}-{_MARKS[len(CODES) - 1]}{_SPACE[1:-1]}]"
+    out = F.translate(text, "".join(letters), "".join(letters.values()))
+    out = F.regexp_replace(out, f"^[^{_CODED[1:]}*+", "")  # up to the first character with a code
+    out = F.regexp_replace(out, f"{_SPACE}++{other}++(?={_CODED})", _WIDE_BREAK)
+    out = F.regexp_replace(out, f"{_SPACE}++", _BREAK)
+    out = F.regexp_replace(out, f"[^{_MARKS[0]}-{_MARKS[-1]}]++", "")
+    out = F.regexp_replace(out, f"({_CODED})(?={_CODED})", "$1 ")
+    for mark, code in [*zip(_MARKS, CODES.values(), strict=False), (_BREAK, " / "), (_WIDE_BREAK, " /  ")]:
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return out
 
 
 def decode(morse: Column) -> Column:
     """Text of Morse code: '/' is a blank, an unknown code '?'."""
-    back = _map({v: k for k, v in CODES.items()} | {"/": " "})
-    tokens = F.filter(F.split(morse, _SPACE), lambda t: t != "")
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(back, t), F.lit("?"))), "")
+    back = {v: k for k, v in CODES.items()} | {"/": " "}
+    out = F.translate(morse, "".join(_MARKS), OTHER * len(_MARKS))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, f"{_SPACE}++", "  "), F.lit(" "))  # each token between blanks of its own
+    for mark, code in zip(_MARKS, back, strict=False):
+        out = F.replace(out, F.lit(f" {code} "), F.lit(mark))
+    out = F.regexp_replace(out, f" [^ {_MARKS[0]}-{_MARKS[-1]}]++ ", "?")
+    out = F.replace(out, F.lit(" "), F.lit(""))
+    return F.translate(out, "".join(_MARKS[: len(back)]), "".join(back.values()))
 
 
 def plate(text: Column) -> Column:

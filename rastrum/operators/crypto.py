@@ -3,6 +3,8 @@ partitioning and in any engine."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def xor_stream(px: DataFrame, key: str, width: int) -> DataFrame:
     return px.withColumn("v", F.col("v").bitwiseXOR(random_int(key, F.col("r").cast("long") * width + F.col("c"), below=256)))
 
 
+def xor_mersenne(px: DataFrame, seed: int) -> DataFrame:
+    """Every value XOR the high byte of the next number of the 32-bit Mersenne twister, in raster order; its own inverse. The twister has no way
+    to jump, so a picture is one task; pictures run in parallel, all with the same stream."""
+
+    def cipher(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        stream = np.random.RandomState(seed).randint(0, 1 << 32, len(pdf), np.uint32) >> 24
+        return pdf.assign(v=pdf["v"].to_numpy() ^ stream.astype(np.int32))
+
+    return px.select("image_id", "r", "c", "v").groupBy("image_id").applyInPandas(cipher, "image_id long, r int, c int, v int")
+
+
 def mod_pow(base: Column, exponent: Column | int) -> Column:
     """base ** exponent modulo PRIME by squaring; products stay below 2 ** 62."""
     e = F.lit(exponent) if isinstance(exponent, int) else exponent
@@ -52,24 +66,24 @@ def shamir_split(secrets: DataFrame, key: str, n: int = 5, m: int = 5) -> DataFr
     return secrets.where(f"secret >= 0 and secret < {PRIME}").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("secret_id", "x", y.alias("y"))
 
 
-def shamir_recover(shares: DataFrame, m: int = 5) -> DataFrame:
-    """(secret_id, secret): Lagrange's polynomial at 0 through the m points of least x; null with fewer distinct ones. The terms are brought
-    to one denominator, so each secret takes one modular inverse."""
+def _weights(sets: DataFrame) -> DataFrame:
+    """sets with ``weights``: of each array ``xs`` of distinct places, Lagrange's weights at 0."""
     one = F.lit(1).cast("long")
+
+    def product(i: Column, factor) -> Column:
+        return F.aggregate("xs", one, lambda a, o: F.when(o == i, a).otherwise(a * F.pmod(factor(o), F.lit(PRIME)) % PRIME))
+
+    return sets.withColumn("weights", F.transform("xs", lambda i: product(i, lambda o: -o) * mod_inverse(product(i, lambda o: i - o)) % PRIME))
+
+
+def shamir_recover(shares: DataFrame, m: int = 5) -> DataFrame:
+    """(secret_id, secret): Lagrange's polynomial at 0 through the m points of least x; null with fewer distinct ones, or with two values at one
+    of them. Weights depend on the places alone: they are worked out once for each set of places and joined."""
     points = F.slice(F.array_sort(F.collect_set(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))), 1, m)
-    got = shares.groupBy("secret_id").agg(points.alias("p"))
-
-    def product(factor, start: Column = one) -> Column:
-        return F.aggregate("p", start, lambda a, o: a * F.pmod(factor(o), F.lit(PRIME)) % PRIME)
-
-    num = F.transform("p", lambda i: product(lambda o: F.when(o["x"] == i["x"], one).otherwise(-o["x"])))
-    den = F.transform("p", lambda i: product(lambda o: F.when(o["x"] == i["x"], one).otherwise(i["x"] - o["x"])))
-    got = got.select("secret_id", "p", F.arrays_zip(F.transform("p", lambda o: o["x"]).alias("x"), F.transform("p", lambda o: o["y"]).alias("y"), num.alias("num"), den.alias("den")).alias("t"))
-    others = lambda i: F.aggregate("t", i["y"] * i["num"] % PRIME, lambda a, o: F.when(o["x"] == i["x"], a).otherwise(a * o["den"] % PRIME))
-    total = F.aggregate("t", F.lit(0).cast("long"), lambda a, i: (a + others(i)) % PRIME)
-    whole = F.aggregate("t", one, lambda a, o: a * o["den"] % PRIME)
-    enough = F.size(F.array_distinct(F.transform("p", lambda o: o["x"]))) == m
-    return got.select("secret_id", F.when(enough, total * mod_inverse(whole) % PRIME).alias("secret"))
+    got = shares.groupBy("secret_id").agg(points.alias("p")).select("secret_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    sets = _weights(got.select("xs").distinct().where((F.size("xs") == m) & (F.size(F.array_distinct("xs")) == m)))
+    terms = F.zip_with("ys", "weights", lambda y, w: F.pmod(y, F.lit(PRIME)) * w % PRIME)
+    return got.join(sets, "xs", "left").select("secret_id", (F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t) % PRIME).alias("secret"))
 
 
 def _choose(patterns: tuple, index: Column) -> Column:

@@ -1,7 +1,8 @@
 """Spatial filters on pixel tables. Borders are mirrored without repeating the edge; results are clamped to 0..255.
 
 The kernels are separable or a centre less a box, so a filter is two window passes, along rows and along columns, instead of a join with
-every neighbour: each pass orders single rows or columns, never a picture."""
+every neighbour. A pass works on stretches of STRIPE pixels of a row or column, to which copies of the pixels around them are dealt, so
+no window orders a whole row or column of a large picture."""
 
 from __future__ import annotations
 
@@ -18,9 +19,21 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), x)).cast("int")
 
 
+#: Pixels of a row or column that a window orders, besides copies of its neighbours.
+STRIPE = 4096
+
+
+def _striped(px: DataFrame, along: str, radius: int) -> DataFrame:
+    """px with the number of a stripe along an axis, ``_k``; pixels within radius of another stripe also go there, as copies: ``_own`` is false."""
+    at, k = F.col(along) % STRIPE, F.expr(f"cast({along} div {STRIPE} as int)")
+    stripes = F.array_compact(F.array(k, F.when((at < radius) & (k > 0), k - 1), F.when(at >= STRIPE - radius, k + 1)))
+    return px.withColumn("_k", F.explode(stripes)).withColumn("_own", F.col("_k") == k)
+
+
 def _pass(px: DataFrame, along: str, across: str, weights: tuple[float, ...], to: str, source: str) -> DataFrame:
     """Weighted sum of a symmetric kernel (centre first, then outwards) along one axis."""
-    w = W.partitionBy("image_id", across).orderBy(along)
+    px = _striped(px, along, len(weights) - 1)
+    w = W.partitionBy("image_id", across, "_k").orderBy(along)
     x = F.col(source)
     lag, lead = (lambda k, f=f: f(source, k).over(w) for f in (F.lag, F.lead))
     total = x * weights[0]
@@ -31,7 +44,7 @@ def _pass(px: DataFrame, along: str, across: str, weights: tuple[float, ...], to
         inner = [F.lead(source, j).over(w) for j in range(1, k)]
         after = F.coalesce(lead(k), *(F.when(inner[j - 1].isNotNull(), lag(k - 2 * j) if k > 2 * j else lead(2 * j - k) if k < 2 * j else x) for j in range(k - 1, 0, -1)), lag(k), x)
         total = total + (before + after) * weights[k]
-    return px.withColumn(to, total)
+    return px.withColumn(to, total).where("_own").drop("_k", "_own")
 
 
 def sharpen(px: DataFrame) -> DataFrame:
@@ -83,9 +96,14 @@ def to_gray(px: DataFrame) -> DataFrame:
 
 def edges(px: DataFrame, limit: int = 30) -> DataFrame:
     """255 where central differences along rows and columns add up to more than the limit, else 0."""
-    w_row, w_col = W.partitionBy("image_id", "r").orderBy("c"), W.partitionBy("image_id", "c").orderBy("r")
-    diff = lambda w: F.abs(F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v")))
-    return px.withColumn("_x", diff(w_row)).withColumn("_y", diff(w_col)).select("image_id", "r", "c", F.when(F.col("_x") + F.col("_y") > limit, 255).otherwise(0).alias("v"))
+
+    def differences(px: DataFrame, along: str, across: str, to: str) -> DataFrame:
+        w = W.partitionBy("image_id", across, "_k").orderBy(along)
+        diff = F.abs(F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v")))
+        return _striped(px, along, 1).withColumn(to, diff).where("_own").drop("_k", "_own")
+
+    got = differences(differences(px, "c", "r", "_x"), "r", "c", "_y")
+    return got.select("image_id", "r", "c", F.when(F.col("_x") + F.col("_y") > limit, 255).otherwise(0).alias("v"))
 
 
 def regions(px: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of a picture whose counts are summed up together.
+GROUP = 4096
+
+
 def sizes(px: DataFrame) -> DataFrame:
     """(image_id, h, w)."""
     return px.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
@@ -72,9 +76,12 @@ def mosaic(px: DataFrame, index: str, columns: int, height: int, width: int) ->
 
 
 def number_in_order(df: DataFrame, keys: list[str], row: str, order: list[str], name: str) -> DataFrame:
-    """Numbers rows from 0 by (row, order) for each value of keys in two steps, so that a single large picture isn't ordered by one task:
-    counts of rows are summed up along ``row`` (one small row each), and a rank inside each row is added."""
-    counts = df.groupBy(*keys, row).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(row).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """Numbers rows from 0 by (row, order) for each value of keys in steps, so that a single large picture isn't ordered by one task: counts
+    of rows are summed up along groups of GROUP values of ``row``, inside the groups, and a rank inside each row is added."""
+    counts = df.groupBy(*keys, row).agg(F.count("*").alias("_n")).withColumn("_g", F.expr(f"{row} div {GROUP}"))
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy(*keys, "_g").agg(F.sum("_n").alias("_gn")).withColumn("_gb", ahead("_gn", W.partitionBy(*keys).orderBy("_g"))).drop("_gn")
+    inside_group = counts.withColumn("_own", ahead("_n", W.partitionBy(*keys, "_g").orderBy(row)))
+    before = inside_group.join(groups, [*keys, "_g"]).select(*keys, row, (F.col("_gb") + F.col("_own")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, row).orderBy(*order)) - 1
     return df.withColumn("_in", inside).join(before, [*keys, row]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")

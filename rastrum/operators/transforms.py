@@ -133,27 +133,40 @@ def snapped(x: Column) -> Column:
     return F.round(F.round(x, 6)).cast("int")
 
 
+#: Pixels that a task dithers together, about.
+DITHER = 1 << 21
+
+
 def floyd_steinberg(px: DataFrame) -> DataFrame:
     """Error diffusion in raster order with 32-bit floats: over 127 white, else black; 7, 3, 5, 1 sixteenths of the error go east, south-west,
-    south and south-east. Each pixel depends on all before it, so a picture is one task; pictures run in parallel."""
+    south and south-east. Each pixel depends on all before it, so a picture is one task's work; many small ones of one size are stacked
+    and go through their pixels together."""
+
+    def stacked(pdf: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
+        """Pictures of one size."""
+        ids, k = np.unique(pdf["image_id"], return_inverse=True)
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        x = np.zeros((h + 1, w + 2, len(ids)), np.float32)
+        x[r, c + 1, k] = pdf["v"]
+        out = np.zeros((h, w, len(ids)), np.int32)
+        e7, e3, e5, e1 = (np.float32(k / 16) for k in (7, 3, 5, 1))
+        for i in range(h):
+            row, below = x[i], x[i + 1]
+            for j in range(1, w + 1):
+                old = row[j]
+                new = np.where(old > 127, 255, 0)
+                out[i, j - 1] = new
+                err = old - new.astype(np.float32)
+                row[j + 1] += err * e7
+                below[j - 1] += err * e3
+                below[j] += err * e5
+                below[j + 1] += err * e1
+        return pdf.assign(v=out[r, c, k])[["image_id", "r", "c", "v"]]
 
     def dither(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["r"].max()) + 1, int(pdf["c"].max()) + 1
-        x = np.zeros((h + 1, w + 2), np.float32)
-        x[pdf["r"], pdf["c"] + 1] = pdf["v"]
-        out = np.zeros((h, w), np.int32)
-        e7, e3, e5, e1 = (np.float32(k / 16) for k in (7, 3, 5, 1))
-        for r in range(h):
-            row, below = x[r], x[r + 1]
-            for c in range(1, w + 1):
-                old = row[c]
-                new = 255 if old > 127 else 0
-                out[r, c - 1] = new
-                err = old - np.float32(new)
-                row[c + 1] += err * e7
-                below[c - 1] += err * e3
-                below[c] += err * e5
-                below[c + 1] += err * e1
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "r": pdf["r"], "c": pdf["c"], "v": out[pdf["r"], pdf["c"]]})
-
-    return px.select("image_id", "r", "c", "v").groupBy("image_id").applyInPandas(dither, "image_id long, r int, c int, v int")
+        return pd.concat([stacked(some, int(h), int(w)) for (h, w), some in pdf.groupby(["h", "w"])])
+
+    size = sizes(px)
+    tasks = size.groupBy("h", "w").agg(F.ceil(F.sum(F.col("h").cast("long") * F.col("w")) / DITHER).cast("long").alias("_tasks"))
+    size = size.join(tasks, ["h", "w"]).withColumn("_task", F.pmod(F.xxhash64("image_id"), F.col("_tasks"))).drop("_tasks")
+    return px.select("image_id", "r", "c", "v").join(size, "image_id").groupBy("h", "w", "_task").applyInPandas(dither, "image_id long, r int, c int, v int")

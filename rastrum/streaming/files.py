@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; in a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rastrum-stream")
+    """A fresh path in the folder that spark.checkpoint.dir names. Where none is named, one on this machine is used if all of Spark runs here."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = os.path.join(tempfile.gettempdir(), "rastrum-stream")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
