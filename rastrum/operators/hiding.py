@@ -42,6 +42,19 @@ def _room(px: DataFrame, need: int, per_pixel: int) -> None:
         raise CapacityError(f"{need} bits don't fit into {small}")
 
 
+def bits_embedded(room: DataFrame, n: int) -> DataFrame:
+    """(image_id, n_bits, n_embedded) of a message of n bits in pictures with ``room`` (image_id, n): what fits is embedded."""
+    return room.select("image_id", F.lit(n).cast("long").alias("n_bits"), F.least(F.col("n"), F.lit(n)).cast("long").alias("n_embedded"))
+
+
+def _fits(room: DataFrame, bits: DataFrame, overflow: str) -> None:
+    """With overflow 'error' a picture with too little room is refused; with 'cut' it takes the bits that fit."""
+    if overflow not in ("error", "cut"):
+        raise ValueError(overflow)
+    if overflow == "error" and (short := bits_embedded(room, bits.count()).where("n_embedded < n_bits").first()):
+        raise CapacityError(f"{short['n_bits']} bits don't fit into {short['n_embedded']}")
+
+
 # colour, one bit a value
 
 
@@ -118,12 +131,30 @@ def _adaptive_slots(cover: DataFrame, width: int, side: int, limit: float) -> Da
     return number_in_order(px, ["image_id"], "br", ["bc", "r", "c"], "slot").select("image_id", "r", "c", "slot")
 
 
-def embed_fixed2(px: DataFrame, bits: DataFrame, width: int) -> DataFrame:
+def _slot_room(px: DataFrame, slots: DataFrame) -> DataFrame:
+    counts = slots.groupBy("image_id").agg((F.count("*") * 2).alias("n"))
+    return px.select("image_id").distinct().join(counts, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def room_fixed2(px: DataFrame, width: int) -> DataFrame:
+    """(image_id, n): bits that embed_fixed2 can take."""
+    return _slot_room(px, _fixed_slots(px, width))
+
+
+def room_adaptive2(px: DataFrame, width: int, side: int = 8, limit: float = 30.0) -> DataFrame:
+    return _slot_room(px, _adaptive_slots(px, width, side, limit))
+
+
+def embed_fixed2(px: DataFrame, bits: DataFrame, width: int, overflow: str = "error") -> DataFrame:
+    """The message's length in the first 32 pixels, then two bits a pixel. overflow: 'error' refuses a message that doesn't fit, 'cut' embeds
+    what fits behind the whole length; ``bits_embedded`` tells how much that is."""
+    _fits(room_fixed2(px, width), bits, overflow)
     return _headed(px, _fixed_slots(px, width), bits, width)
 
 
-def embed_adaptive2(px: DataFrame, bits: DataFrame, width: int, side: int = 8, limit: float = 30.0) -> DataFrame:
-    """As embed_fixed2, in rough blocks only. What doesn't fit is left out."""
+def embed_adaptive2(px: DataFrame, bits: DataFrame, width: int, side: int = 8, limit: float = 30.0, overflow: str = "error") -> DataFrame:
+    """As embed_fixed2, in rough blocks only."""
+    _fits(room_adaptive2(px, width, side, limit), bits, overflow)
     return _headed(px, _adaptive_slots(px, width, side, limit), bits, width)
 
 
@@ -161,8 +192,14 @@ def _block_number(coef: DataFrame) -> DataFrame:
     return coef.join(sizes(coef).select("image_id", F.expr("w div 8").alias("_bw")), "image_id").withColumn("block", F.expr("(r div 8) * _bw + c div 8")).drop("_bw")
 
 
-def embed_dct10(coef: DataFrame, bits: DataFrame) -> DataFrame:
-    """Ten bits a block in the low bits of rounded coefficients; works on coefficients and returns them."""
+def room_blocks(px: DataFrame, per_block: int) -> DataFrame:
+    """(image_id, n): bits that whole 8 x 8 blocks can take."""
+    return sizes(px).select("image_id", F.expr(f"cast((h div 8) * (w div 8) * {per_block} as long)").alias("n"))
+
+
+def embed_dct10(coef: DataFrame, bits: DataFrame, overflow: str = "error") -> DataFrame:
+    """Ten bits a block in the low bits of rounded coefficients; works on coefficients and returns them. overflow as in embed_fixed2."""
+    _fits(room_blocks(coef, 10), bits, overflow)
     bits, _ = _bits(bits)
     got = _block_number(coef).withColumn("pos", F.col("block") * 10 + _zigzag()).join(bits, "pos", "left")
     whole = transforms.snapped(F.col("v")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("bit"))
@@ -179,9 +216,10 @@ def extract_dct10(coef: DataFrame) -> DataFrame:
     return text_from_bits(dct10_bits(coef), ["image_id"])
 
 
-def embed_parity(coef: DataFrame, bits: DataFrame, u: int = 4, v: int = 1, step: float = 4.0) -> DataFrame:
+def embed_parity(coef: DataFrame, bits: DataFrame, u: int = 4, v: int = 1, step: float = 4.0, overflow: str = "error") -> DataFrame:
     """One bit a block as the parity of the rounded coefficient (u, v): kept if it fits, else moved by the step up or down if that fits, else
-    set to 5 for a one or -6 for a zero. Column ``way`` tells which."""
+    set to 5 for a one or -6 for a zero. Column ``way`` tells which. overflow as in embed_fixed2."""
+    _fits(room_blocks(coef, 1), bits, overflow)
     bits, _ = _bits(bits)
     here = (F.col("r") % 8 == u) & (F.col("c") % 8 == v)
     got = _block_number(coef).withColumn("pos", F.when(here, F.col("block"))).join(bits, "pos", "left")

@@ -101,9 +101,20 @@ def training_blocks(spark, d):
     return R.training_blocks(R.tall(spark, d), 4).select(F.array_join(F.transform("vec", lambda x: x.cast("int")), ",").alias("vec"))
 
 
-@query()
+@query(f"select i as vec_id, cast(k as integer) as d, ({S.md5_int('1', 'i', 'k')} + 1) / 268435456.0::double as x from range(256) a(i), range(3) b(k)")
 def random_vectors(spark, d):
-    return R.random_vectors(spark, 256, 3, 1)
+    return R.random_vectors(spark, 256, 3, 1).select("vec_id", F.posexplode("vec").alias("d", "x"))
+
+
+@query(S.TILE + "select image_id, r, c, cast(0 as integer) as ch, v from tile")
+def png_roundtrip(spark, d):
+    """Pictures written as PNG and read again."""
+    return R.from_png(R.to_png(R.tile(spark, d)))
+
+
+@query(S.COLOR + "select cast(0 as bigint) as image_id, r, c, ch, v from color")
+def png_color_roundtrip(spark, d):
+    return R.from_png(R.to_png(R.color(spark, d)))
 
 
 # spatial filters
@@ -149,9 +160,9 @@ def edge_map(spark, d):
     return filters.edges(R.tall(spark, d))
 
 
-@query()
+@query(S.PLATES)
 def plate_boxes(spark, d):
-    return filters.plate_boxes(R.tall(spark, d))
+    return filters.plate_boxes(R.plate_scene(spark))
 
 
 # transforms
@@ -207,7 +218,7 @@ def idct8_roundtrip(spark, d):
     return transforms.idct8(transforms.dct8(R.tile(spark, d))).select("image_id", "r", "c", _r("v"))
 
 
-@query()
+@query(S.DITHER)
 def floyd_steinberg(spark, d):
     return transforms.floyd_steinberg(R.tile(spark, d).unionByName(R.rect(spark).withColumn("image_id", F.lit(-1).cast("long"))))
 
@@ -259,8 +270,22 @@ def lbg_one_iteration(spark, d):
 
 @query()
 def lbg_train(spark, d):
-    book, _ = compress.lbg_train(R.vq16(spark, d), 8)
-    return spark.createDataFrame([(k, [round(float(x), 6) for x in w]) for k, w in enumerate(book)], "k int, cw array<double>")
+    book, _ = compress.lbg_train(R.vq16(spark, d), 128)
+    return spark.createDataFrame([(k, i, round(float(x), 6)) for k, w in enumerate(book) for i, x in enumerate(w)], "k int, d int, x double")
+
+
+@query(S.LBG_STAGES)
+def lbg_stages(spark, d):
+    """Seven doublings to 128 codewords with one of Lloyd's steps each."""
+    book, _ = compress.lbg_train(R.vq16(spark, d), 128, rounds=1)
+    return spark.createDataFrame([(k, i, round(float(x), 6)) for k, w in enumerate(book) for i, x in enumerate(w)], "k int, d int, x double")
+
+
+@query(S.VQ + "select cast(16 as integer) as codebook_size, cast(16 as integer) as vector_dim, cast(4 as integer) as block_size, cast(sum(x) as double) as total from vq where vec_id < 16")
+def codebook_file(spark, d):
+    """The summary of a codebook as it is written to a file."""
+    book = spark.createDataFrame(list(enumerate(_codebook(spark, d))), "k int, cw array<double>")
+    return R.codebook_table(book, 4).select("codebook_size", "vector_dim", "block_size", F.aggregate(F.flatten("codewords"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query(S.BYTES + "select b, count(*) as n from bytes group by b")
@@ -271,7 +296,7 @@ def byte_freq(spark, d):
 _TEXT = ["conv_id", "turn"]
 
 
-@query()
+@query(S.HUFFMAN)
 def huffman_bits(spark, d):
     return compress.huffman_size(compress.huffman_table(compress.byte_frequencies(R.text_bytes(spark, d), _TEXT), _TEXT), _TEXT)
 
@@ -351,7 +376,7 @@ def lsb_fixed2_extract(spark, d):
 
 @query(S.ADAPTIVE)
 def lsb_adaptive_embed(spark, d):
-    return hiding.embed_adaptive2(R.mixed(spark, d), B.message_bits(spark, "Hi!", "lsb"), 8)
+    return hiding.embed_adaptive2(R.mixed(spark, d), B.message_bits(spark, "Hi!", "lsb"), 8, overflow="cut")
 
 
 @query(S.TILE + "select distinct image_id, '000100101001011010000100' as bits from tile where image_id % 2 = 1")
@@ -377,7 +402,7 @@ def dct_lsb10_extract(spark, d):
 @query(S.PARITY)
 def dct_parity_embed(spark, d):
     coef = geometry.mosaic(transforms.dct8(R.tile(spark, d)).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    return hiding.embed_parity(coef, B.bit_table(spark, BITS8)).where("r % 8 = 4 and c % 8 = 1").select("image_id", "r", "c", _r("v"), "way")
+    return hiding.embed_parity(coef, B.bit_table(spark, BITS8), overflow="cut").where("r % 8 = 4 and c % 8 = 1").select("image_id", "r", "c", _r("v"), "way")
 
 
 @query(S.TILE + f"select image_id // 8 as image_id, cast(image_id % 8 as bigint) as pos, cast(substr('{BITS8}', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from tile where r = 4 and c = 1 and (image_id // 8 + 1) * 8 <= (select max(image_id) + 1 from tile)")
@@ -385,20 +410,20 @@ def dct_parity_extract(spark, d):
     tiles = R.tile(spark, d)
     whole = F.expr("(image_id div 8 + 1) * 8") <= F.lit(tiles.agg(F.max("image_id") + 1).first()[0])
     px = geometry.mosaic(tiles.where(whole).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8)).drop("way"))
+    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8), overflow="cut").drop("way"))
     return hiding.parity_bits(transforms.dct8(stego))
 
 
 @query(S.PARITY_WHOLE)
 def dct_parity_embed_whole(spark, d):
     coef = geometry.mosaic(transforms.dct8(R.tile(spark, d)).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    return hiding.embed_parity(coef, B.bit_table(spark, BITS8)).select("image_id", "r", "c", _r("v"), "way")
+    return hiding.embed_parity(coef, B.bit_table(spark, BITS8), overflow="cut").select("image_id", "r", "c", _r("v"), "way")
 
 
 @query(S.TILE + f"select image_id // 8 as image_id, cast(image_id % 8 as bigint) as pos, cast(substr('{BITS8}', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from tile where r = 4 and c = 1")
 def dct_parity_extract_whole(spark, d):
     px = geometry.mosaic(R.tile(spark, d).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8)).drop("way"))
+    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8), overflow="cut").drop("way"))
     return hiding.parity_bits(transforms.dct8(stego))
 
 
@@ -540,7 +565,7 @@ def adaptive_vs_fixed(spark, d):
     """Both ways of embedding two bits a pixel, side by side."""
     cover, bits = R.mixed(spark, d), B.message_bits(spark, "Hi!", "lsb")
     out = None
-    for name, stego in (("fixed", hiding.embed_fixed2(cover, bits, 8)), ("adaptive", hiding.embed_adaptive2(cover, bits, 8))):
+    for name, stego in (("fixed", hiding.embed_fixed2(cover, bits, 8)), ("adaptive", hiding.embed_adaptive2(cover, bits, 8, overflow="cut"))):
         got = metrics.psnr(cover, stego).join(metrics.compare(cover, stego), "image_id").select(F.lit(name).alias("method"), "image_id", _r("mse"), F.col("n_different").alias("n_changed"))
         out = got if out is None else out.unionByName(got)
     return out
@@ -551,6 +576,18 @@ def embedding_capacity(spark, d):
     return metrics.capacity(R.tall(spark, d), 2)
 
 
+@query(S.MIXED + "select image_id, cast(24 as bigint) as n_bits, case when var_pop(v) >= 30 then cast(24 as bigint) else cast(0 as bigint) end as n_embedded from mixed group by image_id")
+def adaptive_bits_embedded(spark, d):
+    """What of a message of 24 bits fits into the rough blocks of each picture."""
+    return hiding.bits_embedded(hiding.room_adaptive2(R.mixed(spark, d), 8), 24)
+
+
+@query(S.TILE + "select image_id // 8 as image_id, cast(8 as bigint) as n_bits, count(distinct image_id) as n_embedded from tile group by image_id // 8")
+def parity_bits_embedded(spark, d):
+    px = geometry.mosaic(R.tile(spark, d).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 8, 8, 8)
+    return hiding.bits_embedded(hiding.room_blocks(px, 1), 8)
+
+
 @query(S.TALL + "select cast(0 as bigint) as image_id, round(112.0 / count(*), 9) as bpp from tall")
 def embedding_rate(spark, d):
     return metrics.rate(R.tall(spark, d), 112).select("image_id", F.round("bpp", 9).alias("bpp"))

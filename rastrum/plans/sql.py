@@ -53,7 +53,27 @@ SHARPEN = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 1, _K3, _SHARP)
 GAUSS = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 2, _K5, _BLUR) + ") select cast(0 as bigint) as image_id, r, c, v from o"
 BLUR_SHARPEN = TALL + ", " + _MIRROR + ", s as (" + _convolve("tall", 2, _K5, _BLUR) + "), o as (" + _convolve("s", 1, _K3, _SHARP) + ") select cast(0 as bigint) as image_id, r, c, v from o"
 _W11 = "(case abs({d}) when 0 then 252 when 1 then 210 when 2 then 120 when 3 then 45 when 4 then 10 else 1 end)"
-GAUSS11 = TALL + ", " + _MIRROR + ", o as (" + _convolve("tall", 5, _W11.format(d="dy") + " * " + _W11.format(d="dx"), "({s} + 524288) // 1048576") + ") select cast(0 as bigint) as image_id, r, c, v from o"
+
+
+def _two_passes(source: str, key: str, weight: str, result: str, name: str) -> str:
+    """Rows, then columns, of pictures with sizes in ``size``; key: columns that tell pictures apart."""
+    at = lambda x, n: f"case when {x} + d < 0 then -({x} + d) when {x} + d >= {n} then 2 * ({n} - 1) - ({x} + d) else {x} + d end"
+    k = f"{key}, " if key else ""
+    same = f"b.{key} = a.{key} and " if key else ""
+    ak = f"a.{key}, " if key else ""
+    rows = f"{name}_h as (select {ak}a.r, a.c, sum(b.v * {weight}) as v from {source} a, size, range(-5, 6) p(d), {source} b where {same}b.r = a.r and b.c = {at('a.c', 'w')} group by {ak}a.r, a.c)"
+    return rows + f", {name} as (select {k}r, c, cast({result.format(s='s')} as integer) as v from (select {ak}a.r, a.c, sum(b.v * {weight}) as s from {name}_h a, size, range(-5, 6) p(d), {name}_h b where {same}b.c = a.c and b.r = {at('a.r', 'h')} group by {ak}a.r, a.c))"
+
+
+GAUSS11 = TALL + ", " + _MIRROR + ", " + _two_passes("tall", "", _W11.format(d="d"), "({s} + 524288) // 1048576", "o") + " select cast(0 as bigint) as image_id, r, c, v from o"
+PLATES = (
+    "with recursive size as (select 60 as h, 120 as w), scene as (select image_id, r, c, case when plate and c % 6 < 2 then 120 when plate then 240 when r between 40 and 53 and c between 4 and 17 then 220 when r between 52 and 54 and c between 60 and 109 then 70 else 60 end as v from (select i as image_id, y as r, x as c, y between 8 + i * 6 and 16 + i * 6 and x between 10 + i * 9 and 85 + i * 9 as plate from range(3) p(i), range(60) q(y), range(120) s(x))), "
+    + _two_passes("scene", "image_id", _W11.format(d="d"), "({s} + 524288) // 1048576", "o")
+    + ", e as (select image_id, r, c from (select *, abs(coalesce(lead(v) over rw, v) - coalesce(lag(v) over rw, v)) + abs(coalesce(lead(v) over cl, v) - coalesce(lag(v) over cl, v)) as g from o window rw as (partition by image_id, r order by c), cl as (partition by image_id, c order by r)) where g > 30)"
+    + ", reach as (select image_id, r, c, r * 120 + c as k from e union select e.image_id, e.r, e.c, reach.k from reach join e on e.image_id = reach.image_id and abs(e.r - reach.r) <= 1 and abs(e.c - reach.c) <= 1 where reach.k < e.r * 120 + e.c)"
+    + ", lab as (select image_id, r, c, min(k) as k from reach group by image_id, r, c), boxes as (select image_id, min(c) as x, min(r) as y, max(c) - min(c) + 1 as w, max(r) - min(r) + 1 as h, count(*) as area from lab group by image_id, k)"
+    + " select image_id, cast(x as integer) as x, cast(y as integer) as y, cast(w as integer) as w, cast(h as integer) as h, area from (select *, row_number() over (partition by image_id order by area desc, y, x) as n from boxes) where n <= 10 and w > 4 * h"
+)
 NORMALISE = TILE + "select t.image_id, r, c, cast(case when hi > lo then floor(round((v - lo) * 255.0::double / (hi - lo), 6) + 0.5) else 0 end as integer) as v from tile t join (select image_id, min(v) as lo, max(v) as hi from tile group by image_id) using (image_id)"
 EDGES = (
     TALL
@@ -106,6 +126,30 @@ PARITY_WHOLE = (
     + " select image_id, r, c, round(case way when 'none' then v when 'keep' then v when 'add' then v + 4 when 'sub' then v - 4 else case when bit = 1 then 5.0 else -6.0 end end, 6) + 0.0 as v, way from q"
 )
 
+_E = lambda k: f"cast(0.{ {7: '4375', 3: '1875', 5: '3125', 1: '0625'}[k] } as real)"
+DITHER = (
+    _NUM.replace("with ", "with recursive ")
+    + _TILE
+    + ", px as (select image_id, r, c, v, 8 as h, 8 as w from tile union all select cast(-1 as bigint), cast(i // 100 as integer), cast(i % 100 as integer), case when i % 100 between 25 and 74 and i // 100 between 12 and 36 then 0 else 255 end, 50, 100 from range(5000) t(i))"
+    # x: the values of pixel p and the w + 1 after it, with the errors that they have taken up so far
+    + ", pics as (select image_id, h, w, list(cast(v as real) order by r, c) as all_ from px group by image_id, h, w)"
+    + ", st as (select image_id, 0 as p, w, h, list_concat(all_[1:w + 2], list_resize(cast([] as real[]), 0)) as x, cast(null as integer) as v from pics union all select st.image_id, p + 1, st.w, st.h, list_append("
+    + f"list_transform(st.x[2:], lambda y, i: case when i = 1 and p % st.w < st.w - 1 then y + e * {_E(7)} when i = st.w - 1 and i > 0 and p % st.w > 0 then y + e * {_E(3)} when i = st.w then y + e * {_E(5)} when i = st.w + 1 and p % st.w < st.w - 1 then y + e * {_E(1)} else y end)"
+    + ", coalesce(all_[p + st.w + 3], cast(0 as real))), n from (select *, case when x[1] > 127 then 255 else 0 end as n, x[1] - cast(case when x[1] > 127 then 255 else 0 end as real) as e from st where p < w * h) st join pics using (image_id))"
+    + " select image_id, cast((p - 1) // w as integer) as r, cast((p - 1) % w as integer) as c, cast(v as integer) as v from st where p > 0"
+)
+
+def _lbg_stages(doublings: int) -> str:
+    out = TILE + ", vq as (select image_id * 4 + (r // 4) * 2 + c // 4 as vec_id, (r % 4) * 4 + c % 4 as i, cast(v as double) as x from tile), b0 as (select 0 as k, i, avg(x) as x from vq group by i)"
+    for n in range(1, doublings + 1):
+        out += f", s{n} as (select b.k * 2 + t.j as k, i, x + (1 - 2 * t.j) * case when i = 0 then 1.1::double else 1.0::double end as x from b{n - 1} b, range(2) t(j))"
+        out += f", d{n} as (select v.vec_id, s.k, sum((v.x - s.x) * (v.x - s.x)) as d2 from vq v join s{n} s on s.i = v.i group by v.vec_id, s.k), a{n} as (select vec_id, k from (select *, row_number() over (partition by vec_id order by d2, k) as nth from d{n}) where nth = 1)"
+        out += f", m{n} as (select a.k, v.i, avg(v.x) as x from a{n} a join vq v on v.vec_id = a.vec_id group by a.k, v.i), b{n} as (select s.k, s.i, coalesce(m.x, s.x) as x from s{n} s left join m{n} m on m.k = s.k and m.i = s.i)"
+    return out + f" select cast(k as integer) as k, cast(i as integer) as d, round(x, 6) as x from b{doublings}"
+
+
+LBG_STAGES = _lbg_stages(7)
+
 _RUNS = "g as (select *, case when {v} is distinct from lag({v}) over (order by p) then 1 when p = 0 then 1 else 0 end as ch from s), h as (select *, sum(ch) over (order by p) as k from g)"
 RLE = TALL + ", s as (select cast(r as bigint) * 64 + c as p, v from tall), " + _RUNS.format(v="v") + " select cast(0 as bigint) as image_id, min(p) as start_pos, any_value(v) as v, count(*) as run_length from h group by k"
 RLE_EVENTS = "with s as (select event_id as p, event_type from events), " + _RUNS.format(v="event_type") + " select min(p) as start_pos, any_value(event_type) as event_type, count(*) as run_length from h group by k"
@@ -115,6 +159,7 @@ VQ = (
 )
 BYTES = "with h as (select conv_id, turn, hex(encode(text)) as x from conversations), bytes as (select conv_id, turn, cast(p as integer) as pos, cast((instr('0123456789ABCDEF', substr(x, cast(2 * p + 1 as integer), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, cast(2 * p + 2 as integer), 1)) - 1 as integer) as b from (select *, unnest(range(length(x) // 2)) as p from h)) "
 
+HUFFMAN = BYTES.replace("with ", "with recursive ") + ", f as (select conv_id, turn, b, count(*) as n from bytes group by conv_id, turn, b), s as (select conv_id, turn, list_sort(list(n)) as w, sum(n) as n_bytes, count(*) as n_symbols, cast(0 as hugeint) as total from f group by conv_id, turn union all select conv_id, turn, list_sort(list_append(w[3:], w[1] + w[2])), n_bytes, n_symbols, total + w[1] + w[2] from s where len(w) > 1) select conv_id, turn, cast(n_bytes as bigint) as n_bytes, n_symbols, cast(case when n_symbols = 1 then n_bytes else total end as bigint) as encoded_bits, cast(case when n_symbols = 1 then n_bytes else total end as bigint) / (n_bytes * 8) as ratio from s where len(w) = 1"
 BGR_EMBED = COLOR + ", " + BITS_CTE + " select r, c, ch, case when bit is null then v else (v & 254) | bit end as v from color left join bits on pos = (r * 64 + c) * 3 + ch"
 
 

@@ -6,8 +6,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,8 +88,10 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_vectors(spark: SparkSession, n: int, dim: int = 3, seed: int = 0) -> DataFrame:
-    """(vec_id, vec) of numbers in (0, 1], the same for a seed on any partitioning."""
-    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.pmod(F.xxhash64(F.col("id"), d, F.lit(seed)), F.lit(1 << 53)) + 1) / float(1 << 53))
+    """(vec_id, vec) of numbers in (0, 1], the same for a seed on any partitioning and in any engine: 28 bits of md5 of seed, row and place."""
+    from ..operators.crypto import random_int
+
+    x = F.array(*[(random_int(str(seed), F.col("id"), F.lit(d), below=1 << 28) + 1) / float(1 << 28) for d in range(dim)])
     return spark.range(n).select(F.col("id").alias("vec_id"), x.alias("vec"))
 
 
@@ -106,28 +111,88 @@ def read_images(spark: SparkSession, path: str, gray: bool = True) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): whole files as bytes; no file gives no row."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """(path, content): whole files as bytes; a path without a file gives one row with empty content."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([(path, b"")], "path string, content binary")
+
+
+_PNG = b"\x89PNG\r\n\x1a\n"
 
 
 def to_png(pixels: DataFrame) -> DataFrame:
-    """(image_id, png): each gray picture encoded, picture by picture."""
+    """(image_id, png): each picture encoded, gray or, with a column ch (B, G, R), in colour."""
+    channels = "ch" in pixels.columns
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["r"].max()) + 1, int(pdf["c"].max()) + 1
-        rows = bytearray(h * (w + 1))  # each row begins with filter type 0
-        for r, c, v in zip(pdf["r"], pdf["c"], pdf["v"], strict=True):
-            rows[r * (w + 1) + 1 + c] = v
+        px = np.zeros((h, w, 3 if channels else 1), np.uint8)
+        px[pdf["r"], pdf["c"], 2 - pdf["ch"] if channels else 0] = pdf["v"]
+        rows = np.zeros((h, 1 + px[0].size), np.uint8)  # each row begins with filter type 0
+        rows[:, 1:] = px.reshape(h, -1)
         chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(rows))) + chunk(b"IEND", b"")
+        png = _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if channels else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "png": [png]})
 
-    return pixels.select("image_id", "r", "c", "v").groupBy("image_id").applyInPandas(encode, "image_id long, png binary")
-
-
-def write_codebook(codebook: DataFrame, path: str) -> None:
-    """A codebook (k, cw) as JSON lines with its size and dimension."""
-    codebook.select("k", F.size("cw").alias("dim"), "cw").write.mode("overwrite").json(path)
+    return pixels.select("image_id", "r", "c", "v", *["ch"] * channels).groupBy("image_id").applyInPandas(encode, "image_id long, png binary")
+
+
+def _unfiltered(raw: bytes, h: int, width: int, step: int) -> np.ndarray:
+    """Rows of bytes without their filters; step: bytes of a pixel."""
+    out, above = np.zeros((h, width), np.uint8), [0] * width
+    for r in range(h):
+        kind, line = raw[r * (width + 1)], list(raw[r * (width + 1) + 1 : (r + 1) * (width + 1)])
+        for k in range(width if kind else 0):
+            a, b, c = (line[k - step] if k >= step else 0), above[k], (above[k - step] if k >= step else 0)
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line[k] = (line[k] + (0, a, b, (a + b) // 2, near)[kind]) & 255
+        out[r], above = line, line
+    return out
+
+
+def from_png(files: DataFrame) -> DataFrame:
+    """(image_id, r, c, ch, v) of (image_id, png): gray or colour pictures of eight bits without interlace; ch is B, G, R, or 0 of a gray one."""
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i, png in zip(pdf["image_id"], pdf["png"], strict=True):
+                chunks, at = {}, len(_PNG)
+                while at < len(png):
+                    n, kind = struct.unpack(">I4s", png[at : at + 8])
+                    chunks[kind] = chunks.get(kind, b"") + png[at + 8 : at + 8 + n]
+                    at += n + 12
+                w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
+                if depth != 8 or color not in (0, 2, 6) or interlace:
+                    raise ValueError("only gray and colour PNG of eight bits without interlace")
+                step = {0: 1, 2: 3, 6: 4}[color]
+                px = _unfiltered(zlib.decompress(chunks[b"IDAT"]), h, w * step, step).reshape(h, w, step)
+                px = px[:, :, ::-1] if step == 3 else px[:, :, 2::-1] if step == 4 else px
+                r, c, ch = (x.reshape(-1) for x in np.indices(px.shape))
+                yield pd.DataFrame({"image_id": i, "r": r, "c": c, "ch": ch, "v": px.reshape(-1).astype(int)})
+
+    return files.select("image_id", "png").mapInPandas(decode, "image_id long, r int, c int, ch int, v int")
+
+
+def codebook_table(codebook: DataFrame, side: int) -> DataFrame:
+    """A codebook (k, cw) as one row: its size, dimension, block side and codewords in order."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("k", "cw"))), lambda x: x["cw"])
+    return codebook.agg(F.count("*").cast("int").alias("codebook_size"), F.max(F.size("cw")).alias("vector_dim"), F.lit(side).alias("block_size"), words.alias("codewords"))
+
+
+def write_codebook(codebook: DataFrame, path: str, side: int = 4) -> None:
+    """A codebook as JSON with its size, dimension and block side."""
+    codebook_table(codebook, side).write.mode("overwrite").json(path)
+
+
+def plate_scene(spark: SparkSession) -> DataFrame:
+    """Pictures of 60 x 120 with a bright plate with dark strokes, at another place in each, a bright square and a faint bar."""
+    px = spark.range(3 * 7200).select(F.expr("id div 7200").alias("image_id"), F.expr("cast(id % 7200 div 120 as int)").alias("r"), F.expr("cast(id % 120 as int)").alias("c"))
+    at = lambda top, left, h, w: F.col("r").between(top, top + h - 1) & F.col("c").between(left, left + w - 1)
+    plate, strokes = at(8 + F.col("image_id") * 6, 10 + F.col("image_id") * 9, 9, 76), F.col("c") % 6 < 2
+    return px.withColumn("v", F.when(plate & strokes, 120).when(plate, 240).when(at(40, 4, 14, 14), 220).when(at(52, 60, 3, 50), 70).otherwise(60))
 
 
 def training_blocks(pixels: DataFrame, side: int = 4) -> DataFrame:
