@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,24 +68,57 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(distance2(a, b))
 
 
-#: A codebook becomes a literal of the plan; larger ones are refused.
+#: A codebook becomes a literal of the plan; a larger one is sent to the workers.
 MAX_CODEWORDS = 4096
 
 
 def codebook_column(codewords: list[list[float]]) -> Column:
-    if len(codewords) > MAX_CODEWORDS:
-        raise ValueError(f"more than {MAX_CODEWORDS} codewords")
     return F.array(*[F.array(*map(F.lit, map(float, w))) for w in codewords]) if codewords else F.array().cast("array<array<double>>")
 
 
 def vq_encode(vectors: DataFrame, codewords: list[list[float]]) -> DataFrame:
     """vectors with k, the nearest codeword (the first on ties, -1 without any), and d2, the squared distance."""
+    if len(codewords) > MAX_CODEWORDS:
+        return _vq_encode_large(vectors, np.array(codewords, float))
     best = F.array_min(F.transform(codebook_column(codewords), lambda w, k: F.struct(distance2(F.col("vec"), w).alias("d2"), k.alias("k"))))
     return vectors.withColumn("_b", best).withColumn("k", F.coalesce("_b.k", F.lit(-1))).withColumn("d2", F.col("_b.d2")).drop("_b")
 
 
+def _vq_encode_large(vectors: DataFrame, codebook: np.ndarray) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast(codebook)
+
+    @F.pandas_udf("struct<k:int,d2:double>")
+    def nearest(vec: pd.Series) -> pd.DataFrame:
+        book, ks, ds = sent.value, [], []
+        step = max(1, (1 << 22) // book.size)
+        x = np.stack(vec.to_list()) if len(vec) else np.zeros((0, book.shape[1]))
+        for s in range(0, len(x), step):
+            d = ((x[s : s + step, None, :] - book[None]) ** 2).sum(axis=2)
+            ks.append(d.argmin(axis=1))
+            ds.append(d.min(axis=1))
+        return pd.DataFrame({"k": np.concatenate([np.zeros(0, int), *ks]), "d2": np.concatenate([np.zeros(0), *ds])})
+
+    return vectors.withColumn("_b", nearest("vec")).withColumn("k", F.col("_b.k")).withColumn("d2", F.col("_b.d2")).drop("_b")
+
+
+def codebook_picture(codebook: DataFrame, n: int, side: int) -> DataFrame:
+    """(image_id, r, c, v): the n codewords of (k, cw) as blocks in a grid that is nearly square, stretched together to 0 to 255 and rounded half
+    up; 128 if all values are equal, 0 where the grid has no codeword."""
+    columns = math.isqrt(max(n - 1, 0)) + 1
+    rows = -(-n // columns)
+    words = codebook.select("k", F.posexplode("cw").alias("i", "x"))
+    ends = words.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    stretched = F.when(F.col("hi") > F.col("lo"), F.floor(F.round((F.col("x") - F.col("lo")) * 255.0 / (F.col("hi") - F.col("lo")), 6) + 0.5)).otherwise(128)
+    px = words.crossJoin(F.broadcast(ends)).select(F.expr(f"cast(k div {columns} * {side} + i div {side} as int)").alias("r"), F.expr(f"cast(k % {columns} * {side} + i % {side} as int)").alias("c"), stretched.cast("int").alias("x"))
+    grid = codebook.sparkSession.range(rows * columns * side * side).select(F.expr(f"cast(id div {columns * side} as int)").alias("r"), F.expr(f"cast(id % {columns * side} as int)").alias("c"))
+    return grid.join(px, ["r", "c"], "left").select(F.lit(0).cast("long").alias("image_id"), "r", "c", F.coalesce("x", F.lit(0)).alias("v"))
+
+
 def vq_decode(codes: DataFrame, codewords: list[list[float]]) -> DataFrame:
     """codes with cw, the codeword, or an empty vector for a number that the codebook lacks."""
+    if len(codewords) > MAX_CODEWORDS:
+        book = codes.sparkSession.createDataFrame([(k, list(map(float, w))) for k, w in enumerate(codewords)], "k int, cw array<double>")
+        return codes.join(book, "k", "left").withColumn("cw", F.coalesce("cw", F.array().cast("array<double>"))).select(*codes.columns, "cw")
     found = F.when(F.col("k") >= 0, F.try_element_at(codebook_column(codewords), F.col("k") + 1))
     return codes.withColumn("cw", F.coalesce(found, F.array().cast("array<double>")))
 
@@ -128,7 +163,7 @@ def lbg_train(vectors: DataFrame, size: int, tolerance: float = 1e-5, rounds: in
     """(codebook, log of (codewords, round, mean squared distance)). The codebook starts as the mean of all and doubles by adding and
     subtracting (1.1, 1, ..., 1); each stage repeats Lloyd's step until the relative change of the distance is
     below the tolerance. Only size x dimension numbers reach the driver in a round."""
-    vectors = vectors.select("vec").cache()
+    vectors = vectors.select("vec").persist(StorageLevel.DISK_ONLY)  # read in every round; whatever its size, it takes no memory
     dim = len(vectors.first()["vec"])
     mean = vectors.agg(*(F.avg(F.col("vec")[i]) for i in range(dim))).first()
     book, log = np.array([list(mean)], float), []

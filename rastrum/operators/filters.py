@@ -106,30 +106,58 @@ def edges(px: DataFrame, limit: int = 30) -> DataFrame:
     return got.select("image_id", "r", "c", F.when(F.col("_x") + F.col("_y") > limit, 255).otherwise(0).alias("v"))
 
 
+#: Rows of a picture whose regions are labelled by one task.
+BAND = 512
+
+
+def _labelled(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of each pixel's 8-connected region; pixels in raster order."""
+    label = np.arange(len(r))
+    key = r * (int(c.max()) + 3) + c
+    pairs = []
+    for step in (1, int(c.max()) + 2, int(c.max()) + 3, int(c.max()) + 4):  # right, and the three below
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        near = np.flatnonzero(key[at] == key + step)
+        pairs.append(np.stack([near, at[near]], axis=1))
+    return _together(label, np.concatenate(pairs))
+
+
+def _together(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Labels, which are places, made the least of all that pairs of places connect."""
+    a, b = pairs[:, 0], pairs[:, 1]
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def regions(px: DataFrame) -> DataFrame:
-    """(image_id, x, y, w, h, area): bounding boxes of 8-connected regions of non-zero pixels, area in pixels. A picture's set pixels are
-    labelled in one task; pictures run in parallel."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {rc: i for i, rc in enumerate(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))}
-        parent = np.arange(len(place))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (r, c), i in place.items():
-            for near in ((r, c - 1), (r - 1, c - 1), (r - 1, c), (r - 1, c + 1)):
-                if (j := place.get(near)) is not None:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        pdf = pdf.assign(k=[root(i) for i in range(len(place))])
-        got = pdf.groupby("k").agg(x=("c", "min"), y=("r", "min"), x1=("c", "max"), y1=("r", "max"), area=("r", "size"))
+    """(image_id, x, y, w, h, area): bounding boxes of 8-connected regions of non-zero pixels, area in pixels. Bands of BAND rows are labelled
+    apart; of each band's regions only the boxes and the columns at its borders go to the task that puts a picture's together."""
+    spots = "array<int>"
+
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        k, first = pdf["k"].iloc[0], pdf["k"].iloc[0] * BAND
+        got = pdf.assign(label=_labelled((pdf["r"] - first).to_numpy().astype(np.int64), pdf["c"].to_numpy().astype(np.int64))).groupby("label")
+        edge = lambda row: got.apply(lambda g: g["c"][g["r"] == row].tolist(), include_groups=False)
+        boxes = got.agg(x=("c", "min"), y=("r", "min"), x1=("c", "max"), y1=("r", "max"), area=("r", "size"))
+        return boxes.assign(image_id=pdf["image_id"].iloc[0], k=k, top=edge(first), bottom=edge(first + BAND - 1))[["image_id", "k", "x", "y", "x1", "y1", "area", "top", "bottom"]]
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        below = {(k - 1, c): i for i, (k, top) in enumerate(zip(pdf["k"], pdf["top"], strict=True)) for c in top}
+        pairs = [(i, j) for i, (k, bottom) in enumerate(zip(pdf["k"], pdf["bottom"], strict=True)) for c in bottom for d in (-1, 0, 1) if (j := below.get((k, c + d))) is not None]
+        label = _together(np.arange(len(pdf)), np.array(pairs, int).reshape(-1, 2))
+        got = pdf.groupby(label).agg(x=("x", "min"), y=("y", "min"), x1=("x1", "max"), y1=("y1", "max"), area=("area", "sum"))
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "x": got.x, "y": got.y, "w": got.x1 - got.x + 1, "h": got.y1 - got.y + 1, "area": got.area})
 
-    return px.where("v > 0").select("image_id", "r", "c").groupBy("image_id").applyInPandas(label, "image_id long, x int, y int, w int, h int, area long")
+    set_ = px.where("v > 0").select("image_id", "r", "c", F.expr(f"cast(r div {BAND} as int)").alias("k"))
+    parts = set_.groupBy("image_id", "k").applyInPandas(band, f"image_id long, k int, x int, y int, x1 int, y1 int, area long, top {spots}, bottom {spots}")
+    return parts.groupBy("image_id").applyInPandas(whole, "image_id long, x int, y int, w int, h int, area long")
 
 
 def plate_boxes(px: DataFrame, top: int = 10, aspect: float = 4.0) -> DataFrame:

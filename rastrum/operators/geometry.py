@@ -51,14 +51,26 @@ def unblocks(df: DataFrame, side: int, vec: str = "vec") -> DataFrame:
 
 
 def resize_bilinear(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Scaled to height x width: each new pixel is the weighted mean of the four around its centre, rounded half up. Every source pixel
-    is read once; the new grid is dealt by picture and row, not gathered."""
+    """Scaled to height x width."""
+    return _resized(px, F.lit(height), F.lit(width))
 
-    def axis(n: int, size: Column) -> Column:
+
+def resize_to_levels(px: DataFrame, levels: int) -> DataFrame:
+    """Scaled, not cropped, to the largest multiples of 2 ** levels that aren't larger; pictures with a side below that vanish."""
+    side = 1 << levels
+    return _resized(px, F.expr(f"h div {side} * {side}"), F.expr(f"w div {side} * {side}"))
+
+
+def _resized(px: DataFrame, height: Column, width: Column) -> DataFrame:
+    """Scaled to height x width, which may depend on h and w: each new pixel is the weighted mean of the four around its centre, rounded half
+    up. Every source pixel is read once; the new grid is dealt by picture and row, not gathered."""
+
+    def axis(n: str, size: str) -> Column:
         """For each new place the two old ones and the weight of the second."""
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("to"), F.greatest(F.lit(0.0), F.least((i + 0.5) * size / n - 0.5, size - 1.0)).alias("x")))
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(i.alias("to"), F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(size) / F.col(n) - 0.5, F.col(size) - 1.0)).alias("x")))
 
-    grid = sizes(px).select("image_id", "h", "w", F.explode(axis(height, F.col("h"))).alias("y")).select("image_id", "w", F.col("h"), "y", F.explode(axis(width, F.col("w"))).alias("x"))
+    size = sizes(px).withColumn("th", height.cast("int")).withColumn("tw", width.cast("int")).where("th > 0 and tw > 0")
+    grid = size.select("*", F.explode(axis("th", "h")).alias("y")).select("image_id", "w", "h", "y", F.explode(axis("tw", "w")).alias("x"))
     near = lambda p, size, far: F.least((F.floor(p) + far).cast("int"), F.col(size) - 1)
     corners = []
     for dy in (0, 1):

@@ -74,6 +74,18 @@ def haar_average(px: DataFrame, levels: int = 1) -> DataFrame:
     return out
 
 
+def haar_picture(px: DataFrame, levels: int) -> DataFrame:
+    """(image_id, r, c, v): all bands of an averaging Haar transform in one picture: LL of the last level above left, of each level HL right of
+    it, LH below, HH diagonal. LL is rounded half up, each other band of a picture stretched to 0 to 255."""
+    band = ["image_id", "level", "band"]
+    bands = haar_average(px, levels)
+    ends = bands.groupBy(*band).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.max("r") + 1).alias("bh"), (F.max("c") + 1).alias("bw"))
+    stretched = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) * 255.0 / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    shown = F.when(F.col("band") == "LL", F.col("v")).otherwise(stretched)
+    down, right = F.when(F.col("band").isin("LH", "HH"), F.col("bh")).otherwise(0), F.when(F.col("band").isin("HL", "HH"), F.col("bw")).otherwise(0)
+    return bands.join(ends, band).select("image_id", (F.col("r") + down).cast("int").alias("r"), (F.col("c") + right).cast("int").alias("c"), clamp(F.floor(F.round(shown, 6) + 0.5)).alias("v"))
+
+
 def integer_haar(px: DataFrame) -> DataFrame:
     """Lifting Haar transform, rows then columns, quadrants in one raster of ints: difference of the pair, and its second plus the floor of
     half the difference."""

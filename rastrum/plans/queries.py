@@ -85,6 +85,22 @@ def resize_bilinear(spark, d):
     return geometry.resize_bilinear(R.tile(spark, d), 5, 11)
 
 
+@query(S.RESIZE_LEVELS)
+def resize_to_levels(spark, d):
+    return geometry.resize_to_levels(R.tall(spark, d), 3)
+
+
+@query(S.HAAR_PICTURE)
+def haar_picture(spark, d):
+    return transforms.haar_picture(R.tile(spark, d), 3)
+
+
+@query(S.CODEBOOK_PICTURE)
+def codebook_picture(spark, d):
+    book = spark.createDataFrame(list(enumerate(_codebook(spark, d)[:13])), "k int, cw array<double>")
+    return compress.codebook_picture(book, 13, 4)
+
+
 @query(S.MOSAIC)
 def bit_plane_mosaic(spark, d):
     planes = transforms.bit_planes(R.tile(spark, d)).withColumn("k", F.col("plane") - 1)
@@ -478,6 +494,11 @@ def xor_cipher(spark, d):
     return crypto.xor_constant(R.color(spark, d)).select("r", "c", "ch", "v")
 
 
+@query(S.TILE + "select image_id, r, c, v from tile")
+def mersenne_cipher_roundtrip(spark, d):
+    return crypto.xor_mersenne(crypto.xor_mersenne(R.tile(spark, d), 314159), 314159)
+
+
 @query(S.TALL + f"select cast(0 as bigint) as image_id, r, c, cast(xor(v, {S.md5_int(KEY, 'r * 64 + c')} % 256) as integer) as v from tall")
 def stream_cipher(spark, d):
     return crypto.xor_stream(R.tall(spark, d), KEY, WIDTH)

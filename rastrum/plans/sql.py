@@ -36,6 +36,14 @@ RESIZE = (
     + ", parts as (select p.image_id, y.t as r, x.t as c, p.v * (case when dy = 0 then 1 - y.f else y.f end) * (case when dx = 0 then 1 - x.f else x.f end) as part from y, x, range(2) a(dy), range(2) b(dx), tile p where p.r = least(y.lo + dy, 7) and p.c = least(x.lo + dx, 7))"
     + " select image_id, cast(r as integer) as r, cast(c as integer) as c, cast(floor(round(sum(part), 6) + 0.5) as integer) as v from parts group by image_id, r, c"
 )
+_TALL_SIZE = "size as (select (max(r) + 1) as h, (max(c) + 1) as w, (max(r) + 1) // 8 * 8 as th, (max(c) + 1) // 8 * 8 as tw from tall)"
+RESIZE_LEVELS = (
+    TALL
+    + f", {_TALL_SIZE}, y as (select t, floor(s) as lo, s - floor(s) as f, h from (select t, h, greatest(0.0::double, least((t + 0.5) * h / th - 0.5, h - 1.0)) as s from size, range(100000) g(t) where t < th))"
+    + ", x as (select t, floor(s) as lo, s - floor(s) as f, w from (select t, w, greatest(0.0::double, least((t + 0.5) * w / tw - 0.5, w - 1.0)) as s from size, range(64) g(t) where t < tw))"
+    + ", ys as (select t, least(lo + d, h - 1) as r, sum(case when d = 0 then 1 - f else f end) as k from y, range(2) a(d) group by 1, 2), xs as (select t, least(lo + d, w - 1) as c, sum(case when d = 0 then 1 - f else f end) as k from x, range(2) a(d) group by 1, 2)"
+    + ", half as (select p.r, xs.t as c, sum(p.v * xs.k) as v from tall p join xs on xs.c = p.c group by p.r, xs.t) select cast(0 as bigint) as image_id, cast(ys.t as integer) as r, cast(half.c as integer) as c, cast(floor(round(sum(half.v * ys.k), 6) + 0.5) as integer) as v from half join ys on ys.r = half.r group by ys.t, half.c"
+)
 MOSAIC = TILE + "select image_id, cast(p // 4 * 8 + r as integer) as r, cast(p % 4 * 8 + c as integer) as c, cast(((v >> p) & 1) * 255 as integer) as v from tile, (select cast(p as integer) as p from range(8) t(p))"
 
 _MIRROR = "size as (select max(r) + 1 as h, max(c) + 1 as w from tall)"
@@ -103,6 +111,12 @@ def haar_average(levels: int) -> str:
     return out + " " + " union all ".join(rows)
 
 
+HAAR_PICTURE = (
+    "with bands as ("
+    + haar_average(3)
+    + "), ends as (select image_id, level, band, min(v) as lo, max(v) as hi, max(r) + 1 as s from bands group by image_id, level, band) select image_id, cast(r + case when band in ('LH', 'HH') then s else 0 end as integer) as r, cast(c + case when band in ('HL', 'HH') then s else 0 end as integer) as c, cast(greatest(0, least(255, floor(round(case when band = 'LL' then v when hi > lo then (v - lo) * 255.0::double / (hi - lo) else 0.0::double end, 6) + 0.5))) as integer) as v from bands join ends using (image_id, level, band)"
+)
+
 _LIFT = "l as (select image_id, r, c, (b + ((a - b) >> 1)) as l0, a - b as h0, (d + ((c2 - d) >> 1)) as l1, c2 - d as h1 from sq), iwt as (select image_id, r, c, l1 + ((l0 - l1) >> 1) as ll, h1 + ((h0 - h1) >> 1) as lh, l0 - l1 as hl, h0 - h1 as hh from l)"
 IWT = TILE + ", " + _SQ.format(t="tile") + ", " + _LIFT + " " + " union all ".join(f"select image_id, cast(r + {dy} as integer) as r, cast(c + {dx} as integer) as c, {n} as v from iwt" for n, dy, dx in (("ll", 0, 0), ("lh", 0, 4), ("hl", 4, 0), ("hh", 4, 4)))
 
@@ -157,6 +171,7 @@ VQ = (
     TILE
     + ", vq as (select image_id * 4 + (r // 4) * 2 + c // 4 as vec_id, (r % 4) * 4 + c % 4 as i, cast(v as double) as x from tile), dist as (select a.vec_id, b.vec_id as k, sum((a.x - b.x) * (a.x - b.x)) as d2 from vq a join vq b on a.i = b.i where b.vec_id < 16 group by a.vec_id, b.vec_id), coded as (select vec_id, cast(k as integer) as k, d2 from (select *, row_number() over (partition by vec_id order by d2, k) as n from dist) where n = 1) "
 )
+CODEBOOK_PICTURE = TILE + ", vq as (select image_id * 4 + (r // 4) * 2 + c // 4 as k, (r % 4) * 4 + c % 4 as i, v as x from tile where image_id < 4), w as (select * from vq where k < 13), ends as (select min(x) as lo, max(x) as hi from w) select cast(0 as bigint) as image_id, cast(y as integer) as r, cast(z as integer) as c, cast(coalesce(floor(round((x - lo) * 255.0::double / (hi - lo), 6) + 0.5), 0) as integer) as v from range(16) a(y) cross join range(16) b(z) cross join ends left join w on w.k = y // 4 * 4 + z // 4 and w.i = y % 4 * 4 + z % 4"
 BYTES = "with h as (select conv_id, turn, hex(encode(text)) as x from conversations), bytes as (select conv_id, turn, cast(p as integer) as pos, cast((instr('0123456789ABCDEF', substr(x, cast(2 * p + 1 as integer), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, cast(2 * p + 2 as integer), 1)) - 1 as integer) as b from (select *, unnest(range(length(x) // 2)) as p from h)) "
 
 HUFFMAN = BYTES.replace("with ", "with recursive ") + ", f as (select conv_id, turn, b, count(*) as n from bytes group by conv_id, turn, b), s as (select conv_id, turn, list_sort(list(n)) as w, sum(n) as n_bytes, count(*) as n_symbols, cast(0 as hugeint) as total from f group by conv_id, turn union all select conv_id, turn, list_sort(list_append(w[3:], w[1] + w[2])), n_bytes, n_symbols, total + w[1] + w[2] from s where len(w) > 1) select conv_id, turn, cast(n_bytes as bigint) as n_bytes, n_symbols, cast(case when n_symbols = 1 then n_bytes else total end as bigint) as encoded_bits, cast(case when n_symbols = 1 then n_bytes else total end as bigint) / (n_bytes * 8) as ratio from s where len(w) = 1"
