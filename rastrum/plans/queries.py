@@ -67,11 +67,6 @@ def crop_even(spark, d):
 
 @query(S.PAD)
 def pad_replicate(spark, d):
-    return geometry.pad_replicate(R.tall(spark, d).where("r < 101 and c < 61"), 8)
-
-
-@query(S.PAD_WHOLE)
-def pad_replicate_whole(spark, d):
     return geometry.pad_replicate(R.tall(spark, d), 24)
 
 
@@ -317,33 +312,34 @@ def huffman_bits(spark, d):
     return compress.huffman_size(compress.huffman_table(compress.byte_frequencies(R.text_bytes(spark, d), _TEXT), _TEXT), _TEXT)
 
 
-@query("select conv_id, turn, octet_length(encode(text)) as n_bytes, true as same from conversations where octet_length(encode(text)) > 0")
+@query("select conv_id, turn, octet_length(encode(coalesce(text, ''))) as n_bytes, true as same from conversations")
 def huffman_roundtrip(spark, d):
     data = R.text_bytes(spark, d)
     codes = compress.huffman_table(compress.byte_frequencies(data, _TEXT), _TEXT)
     got = compress.huffman_decode(compress.huffman_encode(data, codes, _TEXT), codes, _TEXT)
-    texts = R._table(spark, d, "conversations").select(*_TEXT, F.encode("text", "utf-8").alias("raw"))
-    return got.join(texts, _TEXT).select(*_TEXT, F.octet_length("raw").cast("long").alias("n_bytes"), (F.col("raw") == F.col("content")).alias("same"))
+    texts = R._table(spark, d, "conversations").select(*_TEXT, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    content = F.coalesce("content", F.lit("").cast("binary"))  # an empty text has no code
+    return texts.join(got, _TEXT, "left").select(*_TEXT, F.octet_length("raw").cast("long").alias("n_bytes"), (F.col("raw") == content).alias("same"))
 
 
 # bits
 
 
-@query(S.BYTES + "select conv_id, turn, string_agg(cast((b >> (7 - k)) & 1 as varchar), '' order by pos, k) as bits from bytes, range(8) t(k) group by conv_id, turn")
+@query(S.BYTES + "select c.conv_id, c.turn, coalesce(string_agg(cast((b >> (7 - k)) & 1 as varchar), '' order by pos, k), '') as bits from conversations c left join (select * from bytes, range(8) t(k)) x on x.conv_id = c.conv_id and x.turn = c.turn group by c.conv_id, c.turn")
 def bits_msb(spark, d):
-    return R._table(spark, d, "conversations").where("text <> ''").select(*_TEXT, F.array_join(B.bits_msb(F.encode("text", "utf-8"), False), "").alias("bits"))
+    return R._table(spark, d, "conversations").select(*_TEXT, F.array_join(B.bits_msb(F.encode(F.coalesce("text", F.lit("")), "utf-8"), False), "").alias("bits"))
 
 
-@query(S.BYTES + "select conv_id, turn, string_agg(cast((b >> k) & 1 as varchar), '' order by pos, k) as bits from bytes, range(8) t(k) group by conv_id, turn")
+@query(S.BYTES + "select c.conv_id, c.turn, coalesce(string_agg(cast((b >> k) & 1 as varchar), '' order by pos, k), '') as bits from conversations c left join (select * from bytes, range(8) t(k)) x on x.conv_id = c.conv_id and x.turn = c.turn group by c.conv_id, c.turn")
 def bits_lsb(spark, d):
-    return R._table(spark, d, "conversations").where("text <> ''").select(*_TEXT, F.array_join(B.bits_lsb(F.encode("text", "utf-8")), "").alias("bits"))
+    return R._table(spark, d, "conversations").select(*_TEXT, F.array_join(B.bits_lsb(F.encode(F.coalesce("text", F.lit("")), "utf-8")), "").alias("bits"))
 
 
-@query("select conv_id, turn, text as message from conversations where text <> ''")
+@query("select conv_id, turn, coalesce(text, '') as message from conversations")
 def bits_to_text(spark, d):
-    texts = R._table(spark, d, "conversations").where("text <> ''")
+    texts = R._table(spark, d, "conversations")
     bits = texts.select(*_TEXT, F.posexplode(B.bits_msb(F.encode("text", "utf-8"))).alias("pos", "bit"))
-    return B.text_from_bits(bits, _TEXT)
+    return texts.select(*_TEXT).join(B.text_from_bits(bits, _TEXT), _TEXT, "left").select(*_TEXT, F.coalesce("message", F.lit("")).alias("message"))
 
 
 # hiding in pixels
@@ -417,27 +413,12 @@ def dct_lsb10_extract(spark, d):
 
 @query(S.PARITY)
 def dct_parity_embed(spark, d):
-    coef = geometry.mosaic(transforms.dct8(R.tile(spark, d)).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    return hiding.embed_parity(coef, B.bit_table(spark, BITS8), overflow="cut").where("r % 8 = 4 and c % 8 = 1").select("image_id", "r", "c", _r("v"), "way")
-
-
-@query(S.TILE + f"select image_id // 8 as image_id, cast(image_id % 8 as bigint) as pos, cast(substr('{BITS8}', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from tile where r = 4 and c = 1 and (image_id // 8 + 1) * 8 <= (select max(image_id) + 1 from tile)")
-def dct_parity_extract(spark, d):
-    tiles = R.tile(spark, d)
-    whole = F.expr("(image_id div 8 + 1) * 8") <= F.lit(tiles.agg(F.max("image_id") + 1).first()[0])
-    px = geometry.mosaic(tiles.where(whole).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
-    stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8), overflow="cut").drop("way"))
-    return hiding.parity_bits(transforms.dct8(stego))
-
-
-@query(S.PARITY_WHOLE)
-def dct_parity_embed_whole(spark, d):
     coef = geometry.mosaic(transforms.dct8(R.tile(spark, d)).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
     return hiding.embed_parity(coef, B.bit_table(spark, BITS8), overflow="cut").select("image_id", "r", "c", _r("v"), "way")
 
 
 @query(S.TILE + f"select image_id // 8 as image_id, cast(image_id % 8 as bigint) as pos, cast(substr('{BITS8}', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from tile where r = 4 and c = 1")
-def dct_parity_extract_whole(spark, d):
+def dct_parity_extract(spark, d):
     px = geometry.mosaic(R.tile(spark, d).withColumn("k", F.col("image_id") % 8).withColumn("image_id", F.expr("image_id div 8")), "k", 4, 8, 8)
     stego = transforms.idct8(hiding.embed_parity(transforms.dct8(px), B.bit_table(spark, BITS8), overflow="cut").drop("way"))
     return hiding.parity_bits(transforms.dct8(stego))

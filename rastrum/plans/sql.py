@@ -26,8 +26,7 @@ def crop(name: str, side: int) -> str:
     return TALL + f"select cast(0 as bigint) as image_id, r, c, v from {name}, (select max(r) + 1 as h, max(c) + 1 as w from {name}) where r < h - h % {side} and c < w - w % {side}"
 
 
-PAD = TALL + ", small as (select * from tall where r < 101 and c < 61) select cast(0 as bigint) as image_id, cast(y as integer) as r, cast(x as integer) as c, v from range(104) a(y), range(64) b(x) join small on small.r = least(y, 100) and small.c = least(x, 60)"
-PAD_WHOLE = TALL + ", size as (select max(r) as h, max(c) as w from tall) select cast(0 as bigint) as image_id, cast(y.t as integer) as r, cast(x.t as integer) as c, v from size, lateral (select unnest(range((h // 24 + 1) * 24)) as t) y, lateral (select unnest(range((w // 24 + 1) * 24)) as t) x join tall on tall.r = least(y.t, h) and tall.c = least(x.t, w)"
+PAD = TALL + ", size as (select max(r) as h, max(c) as w from tall) select cast(0 as bigint) as image_id, cast(y.t as integer) as r, cast(x.t as integer) as c, v from size, lateral (select unnest(range((h // 24 + 1) * 24)) as t) y, lateral (select unnest(range((w // 24 + 1) * 24)) as t) x join tall on tall.r = least(y.t, h) and tall.c = least(x.t, w)"
 BLOCKS = TILE + "select image_id, cast(r // 4 as integer) as br, cast(c // 4 as integer) as bc, string_agg(cast(v as varchar), ',' order by r, c) as vec from tile group by image_id, r // 4, c // 4"
 RESIZE = (
     TILE
@@ -127,13 +126,6 @@ ZIGZAG = ", zz as (select * from (values " + ", ".join(f"({k}, {i}, {j})" for k,
 DCT10 = DCT + ZIGZAG + "select image_id, r, c, case when k < 8 then cast((cast(round(round(v, 6)) as integer) & -2) | cast(substr('00101110', cast(k as integer) + 1, 1) as integer) as double) else round(v, 6) + 0.0 end as v from dct left join zz using (r, c)"
 _PAR = "abs(cast(round(round({x}, 6)) as integer)) % 2"
 PARITY = (
-    DCT
-    + ", p as (select image_id // 8 as image_id, cast(image_id % 8 // 4 * 8 + 4 as integer) as r, cast(image_id % 4 * 8 + 1 as integer) as c, v, cast(substr('00101110', cast(image_id % 8 as integer) + 1, 1) as integer) as bit from dct where r = 4 and c = 1)"
-    + f", q as (select *, case when {_PAR.format(x='v')} = bit then 'keep' when {_PAR.format(x='v + 4')} = bit then 'add' when {_PAR.format(x='v - 4')} = bit then 'sub' else 'set' end as way from p)"
-    + " select image_id, r, c, round(case way when 'keep' then v when 'add' then v + 4 when 'sub' then v - 4 else case when bit = 1 then 5.0 else -6.0 end end, 6) + 0.0 as v, way from q"
-)
-
-PARITY_WHOLE = (
     DCT
     + ", p as (select image_id // 8 as image_id, cast(image_id % 8 // 4 * 8 + r as integer) as r, cast(image_id % 4 * 8 + c as integer) as c, v, case when r = 4 and c = 1 then cast(substr('00101110', cast(image_id % 8 as integer) + 1, 1) as integer) end as bit from dct)"
     + f", q as (select *, case when bit is null then 'none' when {_PAR.format(x='v')} = bit then 'keep' when {_PAR.format(x='v + 4')} = bit then 'add' when {_PAR.format(x='v - 4')} = bit then 'sub' else 'set' end as way from p)"
