@@ -13,10 +13,12 @@ such a part has at most 2 ** 22 distinct fingerprints, so a task's group is boun
 ``similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked exactly. Their fingerprints differ
 in ten bits on average, too many for blocks of bits to agree, so buckets are made from shingles: each of VIEWS buckets of a text is named by
 its two least shingle hashes under one of VIEWS orders. A pair at 0.8 misses each with a probability of 0.36, all with 0.00004, and one
-in 5,000 of such pairs differs in more than WIDE bits. Bucket mates within WIDE bits are candidates: in the first rounds those of a few
-leaders of each bucket, then, between texts that aren't linked yet, all that the index finds. So a large group of near copies costs as many
-comparisons as it has members, and no link between different groups is lost. Buckets with very many texts are divided by the texts' other
-buckets.
+in 5,000 of such pairs differs in more than WIDE bits. Bucket mates within WIDE bits are candidates. First those of a few leaders of each
+bucket are compared, so that a large group of near copies becomes one component for as many comparisons as it has members. Then the
+index spans a forest over the candidates that aren't linked yet, and each tree of it is one group: its texts outside the group's
+largest component are compared with all of the group, block by block, in workers that hold the sets of two blocks and return a spanning
+forest of the links found. So no link between different components is lost, and rows grow with texts, not with pairs. Buckets with very
+many texts are divided by the texts' other buckets.
 
 Defined cases: words are lower-cased in A-Z and parted by ASCII white space. For ``near_duplicates`` null texts and texts without words have
 fingerprint zero, which is linked like any other; for ``similar`` they are linked to nothing. A text of fewer words than a shingle has one
@@ -41,8 +43,8 @@ from .components import components
 BITS, SEED = 64, 42
 #: Children of an index node; pairs that a search may hold; fingerprints above which a bucket of blocks is divided.
 FAN, PAIRS, DIVIDE = 16, 1 << 22, 2048
-#: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, rounds with leaders.
-WORDS, VIEWS, WIDE, BIG, LEADERS, ROUNDS = 5, 10, 20, 20_000, 8, 2
+#: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, texts of a block.
+WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 4000
 #: Rows up to which the ids of texts to compare are broadcast: 16 MB.
 SMALL = 1 << 21
 
@@ -92,6 +94,19 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the places that the pairs (a, b) connect, directly or through others, the least place among them; labels are places."""
+    while True:
+        a, b = label[a], label[b]
+        differ = a != b
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 class GrayIndex:
     """Distinct fingerprints in Gray order under levels of nodes that factor out shared bits."""
 
@@ -139,15 +154,7 @@ class GrayIndex:
         """A spanning forest of the links among the leaves: rows (leaf, a leaf of its component)."""
         label = np.arange(len(self.leaves))
         for a, b in self.searches(self.leaves, limit):
-            while True:
-                a, b = label[a], label[b]
-                differ = a != b
-                if not differ.any():
-                    break
-                a, b = a[differ], b[differ]
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-                while (label[label] != label).any():
-                    label = label[label]
+            join_labels(label, a, b)
         at = np.flatnonzero(label != np.arange(len(label)))
         return np.stack([at, label[at]], axis=1)
 
@@ -267,63 +274,115 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, key long, n int, " + ("hashes array<long>" if whole else "fp long, buckets array<long>"))
 
 
-def mates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, turn: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's texts in different components whose sizes and fingerprints allow the similarity: with a turn those of a few
-    leaders, else all."""
+def _near(n: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and fingerprints allow the similarity."""
+    return (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= WIDE)
+
+
+def led(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Pairs of a bucket's few leaders and their mates, as rows (leader, mate)."""
+    left, out = np.argsort(_mix(key.view(np.uint64) * _TURNS[0]), kind="stable"), [np.zeros((0, 2), np.int64)]
+    for _ in range(LEADERS):
+        if len(left) < 2:
+            break
+        lead, rest = left[:1], left[1:]
+        ok = _near(n, fp, lead, rest)
+        out.append(np.stack([np.repeat(lead, int(ok.sum())), rest[ok]], axis=1))
+        left = rest[~ok]
+    return np.concatenate(out)
 
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= WIDE)
 
-    if turn is not None:
-        left = np.argsort(_mix(key.view(np.uint64) * _TURNS[turn]), kind="stable")
-        for _ in range(LEADERS):
-            if len(left) < 2:
-                break
-            lead, rest = left[:1], left[1:]
-            ok = near(lead, rest)
-            yield np.repeat(lead, int(ok.sum())), rest[ok]
-            left = rest[~ok & (root[rest] != root[lead])]
-        return
+def spanned(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """A spanning forest of the candidates of a bucket that aren't in one component, as rows (text, text of its tree)."""
     roots, sizes = np.unique(root, return_counts=True)
     ask = np.flatnonzero(root != roots[sizes.argmax()])  # one of two in different components isn't in the largest
-    asked = np.zeros(len(key), bool)
-    asked[ask] = True
-    index = GrayIndex(fp)
+    index, label = GrayIndex(fp), np.arange(len(key))
     for a, b in index.searches(fp[ask], WIDE):
         i, j = ask[a], index.order[b]
-        once = (i < j) | ~asked[j]
-        i, j = i[once], j[once]
-        ok = near(i, j)
-        yield i[ok], j[ok]
+        ok = (root[i] != root[j]) & _near(n, fp, i, j)
+        join_labels(label, i[ok], j[ok])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return np.stack([at, label[at]], axis=1)
 
 
-def _mates(turn: int | None):
-    """Reads rows (h, key, n, fp, root) by bucket h and yields pairs of keys; a bucket may go on in the next batch."""
-
-    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, n, fp, root = (np.concatenate(x) for x in zip(*held, strict=True))
-        if len(key) > 1:
-            for i, j in mates(key, n, fp.view(np.uint64), root, turn):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+def _by_group(n_keys: int, names: list[str], work) -> object:
+    """A function of batches sorted by their first n_keys columns: calls ``work`` with the other columns of each group, which may go on in the
+    next batch, and yields the pairs (a, b) that it returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if sum(x.num_rows for x in held) > 1:
+                pairs = work(pa.Table.from_batches(held))
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
         for batch in batches:
-            h, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            bounds = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys)], axis=1)
+            bounds = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if h[s] != now and held:
-                    yield from pairs(held)
+                if now is not None and tuple(keys[s]) != now:
+                    yield from finish()
                     held = []
-                now = h[s]
-                held.append(tuple(x[s:e].copy() for x in rest))
+                now = tuple(keys[s])
+                held.append(batch.slice(s, e - s).select(names))
         if held:
-            yield from pairs(held)
+            yield from finish()
 
     return run
 
 
+def _in_buckets(rows: DataFrame, f) -> DataFrame:
+    """Pairs (a, b) of keys that ``f`` finds in the buckets of rows (h, key, n, fp, root)."""
+
+    def work(got: pa.Table) -> np.ndarray:
+        key, n, fp, root = (got.column(k).to_numpy() for k in ("key", "n", "fp", "root"))
+        return key[f(key, n, fp.view(np.uint64), root)]
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_by_group(1, ["key", "n", "fp", "root"], work), 50_000), "a long, b long").distinct()
+
+
+def linked(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, ask: np.ndarray, be: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """A spanning forest, beyond the components ``root``, of the links between texts that ask and texts that are to be compared (flags ask, be),
+    as rows of keys. The nearest are compared first; texts that have come together aren't compared any more."""
+    label, out = root.copy(), []
+    to = np.flatnonzero(be)
+    for q in np.flatnonzero(ask).tolist():
+        mates = to[(label[to] != label[q]) & (key[to] != key[q])]
+        mates = mates[_near(n, fp, np.full(1, q), mates)]
+        for m in mates[np.argsort(np.bitwise_count(fp[q] ^ fp[mates]), kind="stable")].tolist():
+            if label[m] != label[q]:
+                shared = len(sets[q]) + len(sets[m]) - len(np.union1d(sets[q], sets[m]))
+                if 9 * shared >= 4 * (len(sets[q]) + len(sets[m])):
+                    out.append((key[q], key[m]))
+                    label[label == label[m]] = label[q]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components inside groups (group, key, root)."""
+    sizes = groups.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("x"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    sizes = sizes.select("group", F.col("x.root").alias("largest"), blocks(F.col("m")).alias("to"), blocks(F.col("m") - F.col("x.m")).alias("from"))
+    rows = groups.join(sizes, "group").join(nodes.select("key", "n", "fp"), "key").join(_whole_sets(groups.select("key").distinct(), nodes, docs), "key")
+    own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    all_ = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    unit = lambda t, q, ask: F.struct(t.alias("t"), q.alias("q"), F.lit(ask).alias("ask"))
+    compared = F.transform(all_("from"), lambda q: unit(own("to"), q, False))
+    asking = F.when(F.col("root") != F.col("largest"), F.transform(all_("to"), lambda t: unit(t, own("from"), True))).otherwise(F.array().cast("array<struct<t:int,q:int,ask:boolean>>"))
+    units = rows.withColumn("u", F.explode(F.concat(compared, asking))).select("group", "u.t", "u.q", "u.ask", "key", "n", "fp", "root", "hashes")
+
+    def work(got: pa.Table) -> np.ndarray:
+        key, n, fp, root, ask = (got.column(k).to_numpy() for k in ("key", "n", "fp", "root", "ask"))
+        hashes = got.column("hashes").combine_chunks()
+        flat, ends = hashes.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(n)]
+        return linked(key, n, fp.view(np.uint64), root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+
+    names = ["key", "n", "fp", "root", "ask", "hashes"]
+    return units.repartition("group", "t", "q").sortWithinPartitions("group", "t", "q").mapInArrow(tidy(_by_group(3, names, work)), "a long, b long").distinct()
+
+
 def _members(nodes: DataFrame) -> DataFrame:
     """h, key, n, fp: nodes in the buckets that hold several."""
     rows = nodes.select(F.explode("buckets").alias("h"), "key", "n", "fp").distinct()
@@ -336,36 +395,42 @@ def _members(nodes: DataFrame) -> DataFrame:
     return cut(gathered(rows.where(F.col("m") <= BIG).select("h", "key", "n", "fp").unionByName(finer)), "members")
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs of keys whose sets are similar, by the sets of the texts in question."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    reps = cut(gathered(nodes.join(asked, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()), "reps")
+def _whole_sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, hashes: the sets of the texts in question, read again."""
+    reps = cut(gathered(nodes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()), "reps")
     few = F.broadcast(reps) if reps.count() <= SMALL else reps
-    sets = cut(_sets(docs.join(few, "doc_id", "left_semi"), True).select("key", "hashes"), "sets").dropDuplicates(["key"])
+    return cut(_sets(docs.join(few, "doc_id", "left_semi"), True).select("key", "hashes"), "sets").dropDuplicates(["key"])
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs of keys whose sets are similar."""
+    sets = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs)
     left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}h")) for k in "ab")
     # shared / (n + m - shared) >= 0.8
     return pairs.join(left, "a").join(right, "b").where("9 * size(array_intersect(ah, bh)) >= 4 * (size(ah) + size(bh))").select("a", "b")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links reach) of the rows that have an id and words."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     marks = cut(_sets(docs, False), "marks")
     nodes = cut(gathered(marks.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "buckets")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.buckets")), "nodes")
     members = _members(nodes).select("h", "key", "n", "fp")
-    roots, tested, links_ = None, None, None
-    for turn in [*range(ROUNDS), None]:
-        now = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").select("h", "key", "n", "fp", F.coalesce("root", "key").alias("root"))
-        if roots is not None:  # buckets that lie in one component are done
-            now = now.join(now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "h", "left_semi")
-        pairs = now.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_mates(turn), 50_000), "a long, b long").distinct()
-        pairs = cut(gathered(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
-        found = cut(gathered(_alike(pairs, docs, nodes)), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links_ = found if links_ is None else links_.union(found)
-        if roots is None or not found.isEmpty():
-            roots = cut(gathered(components(links_).select(F.col("node").alias("key"), "root")), "roots")
-    joined = nodes.select("key", "rep").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    pairs = cut(gathered(_in_buckets(members.withColumn("root", F.col("key")), led)), "pairs")
+    first = cut(gathered(_alike(pairs, nodes, docs)), "links")
+    roots = cut(gathered(components(first).select(F.col("node").alias("key"), "root")), "roots")
+    now = _rooted(members, roots).select("h", "key", "n", "fp", "root")
+    open_ = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")  # others lie in one component
+    forest = cut(gathered(_in_buckets(now.join(open_, "h", "left_semi"), spanned)), "forest")
+    groups = cut(gathered(_rooted(components(forest).select(F.col("node").alias("key"), F.col("root").alias("group")), roots)), "groups")
+    more = cut(gathered(_verified(groups, nodes, docs)), "links")
+    if not more.isEmpty():
+        roots = cut(gathered(components(first.union(more)).select(F.col("node").alias("key"), "root")), "roots")
+    joined = _rooted(nodes.select("key", "rep"), roots)
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = joined.join(least, "root").select("key", "component_id")
     return marks.select("doc_id", "key").join(of, "key").select("doc_id", "component_id")

@@ -36,10 +36,11 @@ def brute(rows):
     return {d for i, (d, _) in enumerate(rows) if least[root(i)] == d}
 
 
-@pytest.mark.parametrize(("rounds", "big"), [(2, 20_000), (0, 20_000), (2, 10)])
-def test_near_copies_are_all_pairs(spark, monkeypatch, rounds, big):
-    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+@pytest.mark.parametrize(("leaders", "big", "block"), [(8, 20_000, 4000), (0, 20_000, 4000), (1, 10, 4000), (0, 20_000, 5)])
+def test_near_copies_are_all_pairs(spark, monkeypatch, leaders, big, block):
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
     monkeypatch.setattr(simhash, "BIG", big)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(3)
     rows = [(1000, "a b"), (1001, "A  b"), (1002, ""), (1003, None)]
     for _ in range(6):
@@ -63,22 +64,35 @@ def test_large_group_of_near_copies(spark):
     key = np.arange(len(rows))
     hashes = [np.unique(simhash.hashes_of(t, 5)) for _, t in rows]
     fp = np.array([simhash.folded(h) for h in hashes], np.uint64)
-    first = [p for p in simhash.mates(key, np.array([len(h) for h in hashes]), fp, key, 0)]
-    assert sum(len(i) for i, _ in first) <= simhash.LEADERS * len(rows)
+    n = np.array([len(h) for h in hashes])
+    assert len(simhash.led(key, n, fp, key)) <= simhash.LEADERS * len(rows) and len(simhash.spanned(key, n, fp, key)) < len(rows)
     want = brute(rows[:400])
     assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows[:400], "doc_id long, text string")).collect()} == want and len(want) < 40
 
 
-def test_mates_are_all_near_pairs():
+def test_forest_spans_all_near_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 9).astype(np.uint64)
     fp = np.repeat(base, 40)
     for _ in range(12):
         fp = fp ^ (np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64))
     key, n, root = np.arange(len(fp)), rng.integers(50, 80, len(fp)), rng.integers(0, 30, len(fp))
-    got = [tuple(sorted(p)) for i, j in simhash.mates(key, n, fp, root, None) for p in zip(i.tolist(), j.tolist(), strict=True)]
-    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= simhash.WIDE}
-    assert set(got) == want and len(got) == len(want) > 1000
+    parent = list(range(len(fp)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fp)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= simhash.WIDE:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    got = np.arange(len(fp))
+    for i, j in simhash.spanned(key, n, fp, root).tolist():
+        got[i] = j
+    assert got.tolist() == [top(i) for i in range(len(fp))]
 
 
 def test_stage_drops_all_near_copies(spark):
