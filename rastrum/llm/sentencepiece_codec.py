@@ -4,10 +4,10 @@ The model file is parsed here (protobuf wire format), and from it the normaliser
 byte fallback are rebuilt as a tokenizers ``Tokenizer``: a Unigram model from the piece scores, or, where the file holds a BPE
 model, a BPE model whose merges are ranked by those scores. No tokenizer is trained.
 
-A text is normalised as a whole and cut before each run of markers. Where no piece has a marker after another character,
-which is checked on the vocabulary, no piece can cross such a cut, so the parts' ids are the text's ids. Parts that a worker
-hasn't met go to the library as one multithreaded batch, which is encoded and decoded there. Parity is checked on whole raw texts: the
-sentencepiece library encodes each of them too, with its own normaliser, and all ids must be the same.
+Texts are normalised and go to the library as multithreaded batches. Where no piece has a marker after another character, which is
+checked on the vocabulary, no piece can cross the place before a run of markers, so the library may cut texts there and keep the ids of
+frequent words. Parity is checked on whole raw texts: the sentencepiece library encodes each of them too, with its own normaliser, and
+all ids must be the same.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; texts with a literal marker character decode
 with a blank in its place, as in sentencepiece, so their round trip is false, as is that of texts that the model's normaliser changes;
@@ -23,7 +23,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ from .common import tidy
 
 MARK = "▁"
 DEFAULT_MODEL = os.environ.get("RASTRUM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: Threads of the library in one Python worker, and parts that a worker keeps before it starts anew.
-THREADS, CACHE_PARTS = 2, 200_000
+#: Threads of the library in one Python worker.
+THREADS = 2
 #: Bytes of text that are encoded together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -151,7 +151,8 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
-        from tokenizers import Tokenizer, decoders, models
+        from tokenizers import Regex, Tokenizer, decoders, models
+        from tokenizers.pre_tokenizers import Split
 
         m = parse_model(data)
         if m["suffix"] or not m["escape"]:
@@ -164,73 +165,59 @@ class Codec:
         elif m["model_type"] == BPE:
             usable = {p: s for p, s, t in self.pieces if t in (NORMAL, USER_DEFINED)}
             merges = [(-s, ids[p[:k]], ids[p[k:]], p[:k], p[k:]) for p, s in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
-            model = models.BPE(ids, [(a, b) for _, _, _, a, b in sorted(merges)], unk_token=self.pieces[unk][0], fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
+            model = models.BPE(ids, [(a, b) for _, _, _, a, b in sorted(merges)], unk_token=self.pieces[unk][0], fuse_unk=True, byte_fallback=m["byte_fallback"])
         else:
             raise ValueError("only unigram and BPE models are rebuilt")
         self.map, self.squeeze = CharacterMap(m["charsmap"]), m["squeeze"]
         self.plain = not m["charsmap"] and not m["squeeze"]
         self.prefix = MARK if m["dummy_prefix"] else ""
-        self.tokenizer = Tokenizer(model)
+        # words after single markers, which need no pattern, and after runs of them
+        self.single, self.tokenizer = Tokenizer(model), Tokenizer(model)
+        if all(MARK not in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED)):
+            self.single.pre_tokenizer = Split(MARK, "merged_with_next")
+            self.tokenizer.pre_tokenizer = Split(Regex(f"{MARK}+"), "merged_with_next")
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(self.pieces[unk][0], " \u2047 "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.cuts = all(MARK not in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED))
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.is_byte = np.array([t == BYTE for _, _, t in self.pieces])
-        self.known: dict[str, tuple[bytes, str]] = {}  # parts' ids and what these decode to
 
     def normalize(self, text: str) -> str:
         """The text by the model's table, and with runs of blanks made one and outer ones taken off if the model asks for it."""
         text = self.map.apply(text)
         return re.sub(" +", " ", text).strip(" ") if self.squeeze else text  # blanks only, no other white space
 
-    def parts(self, text: str) -> list[str]:
-        """The normalised text's parts; together they are the normalised text."""
+    def marked(self, text: str) -> str:
+        """The normalised text with markers for blanks and, if the model asks for it, one before it."""
         if not self.plain:
             text = self.normalize(text)
-        if not text:
-            return []
-        s = self.prefix + text.replace(" ", MARK)
-        if not self.cuts:
-            return [s]
-        split = s.split(MARK)
-        if split[0] or "" in split[1:]:
-            return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", s)
-        return [MARK + x for x in split[1:]]
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes parts that aren't known yet as one batch and decodes their ids as another."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got)) * 4
-        ends = np.cumsum(lengths)
-        raw = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]) // 4).tobytes()
-        ids = map(raw.__getitem__, map(slice, (ends - lengths).tolist(), ends.tolist()))
-        self.known.update(zip(new, zip(ids, self.tokenizer.decode_batch(got, skip_special_tokens=False), strict=True), strict=True))
-
-    def transcode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids of each text and what they decode to."""
-        split = [self.parts(t) for t in texts]
-        if len(self.known) > CACHE_PARTS:
-            self.known = {}
-        known = self.known
-        if new := list({p for parts in split for p in parts if p not in known}):
-            self.learn(new)
-        got = [[known[p] for p in parts] for parts in split]
-        ids = [np.frombuffer(b"".join([i for i, _ in parts]), np.int32) for parts in got]
-        return ids, [self._unmarked("".join([t for _, t in parts])) for parts in got]
-
-    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        return self.prefix + text.replace(" ", MARK) if text else ""
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        marked = [self.marked(t) for t in texts]
+        runs = [MARK + MARK in t for t in marked]
+        out: list[list[int]] = [[]] * len(texts)
+        for tokenizer, kind in ((self.single, False), (self.tokenizer, True)):
+            at = [k for k, r in enumerate(runs) if r == kind]
+            for k, x in zip(at, tokenizer.encode_batch_fast([marked[k] for k in at], add_special_tokens=False), strict=True):
+                out[k] = x.ids
+        return out
+
+    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         """Whether the sentencepiece library gives the same ids for each whole raw text."""
-        return [x.tolist() == want for x, want in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
-
-    def forget(self) -> None:
-        """Drops known parts."""
-        self.known = {}
+        return [x == want for x, want in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
 
     def _unmarked(self, text: str) -> str:
         return text[1:] if self.prefix and text[:1] == " " else text
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: bytes of byte pieces, blanks for markers, the prefix blank taken off."""
-        return self._unmarked(self.tokenizer.decode(ids.tolist(), skip_special_tokens=False))
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids by the library: bytes of byte pieces, blanks for markers, the prefix blank taken off."""
+        return self._unmarked(self.tokenizer.decode(ids, skip_special_tokens=False))
+
+    def decode_all(self, ids: list[list[int]]) -> list[str]:
+        """The same by a table of the pieces' bytes."""
+        piece = self.bytes.__getitem__
+        return [self._unmarked(b"".join(map(piece, x)).decode("utf-8", "replace")) for x in ids]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -261,16 +248,14 @@ def transcode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
-        try:
-            for batch in batches:
-                yield from map(one, slices(batch), repeat(codec))
-        finally:
-            codec.forget()
+        for batch in batches:
+            yield from map(one, slices(batch), repeat(codec))
 
     def one(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        ids, decoded = codec.transcode(texts)
-        got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: codec.parity(texts, ids), "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
+        found = codec.encode(texts)
+        ids, decoded = [np.array(x, np.int32) for x in found], codec.decode_all(found)
+        got = {"n_chars": lambda: map(len, texts), "n_tokens": lambda: map(len, ids), "n_byte_fallback": lambda: (int(codec.is_byte[x].sum()) for x in ids), "decoded": lambda: decoded, "round_trip": lambda: (a == b for a, b in zip(texts, decoded, strict=True)), "parity": lambda: codec.parity(texts, found), "ids_sha256": lambda: (hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids), "decoded_sha256": lambda: (hashlib.sha256(x.encode()).hexdigest() for x in decoded)}
         arrays = []
         for c in outputs:
             if c == "ids":
