@@ -37,7 +37,7 @@ DEFAULT_MODEL = os.environ.get("RASTRUM_SENTENCEPIECE_MODEL", "/opt/tokenizers/p
 #: Threads of the library in one Python worker.
 THREADS = 2
 #: Bytes of text that are encoded together.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
