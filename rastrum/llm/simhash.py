@@ -44,7 +44,7 @@ BITS, SEED = 64, 42
 #: Children of an index node; pairs that a search may hold; fingerprints above which a bucket of blocks is divided.
 FAN, PAIRS, DIVIDE = 16, 1 << 22, 2048
 #: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, texts of a block.
-WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 4000
+WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 600
 #: Rows up to which the ids of texts to compare are broadcast: 16 MB.
 SMALL = 1 << 21
 
@@ -345,7 +345,7 @@ def _in_buckets(rows: DataFrame, f) -> DataFrame:
 
 def linked(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, ask: np.ndarray, be: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """A spanning forest, beyond the components ``root``, of the links between texts that ask and texts that are to be compared (flags ask, be),
-    as rows of keys. The nearest are compared first; texts that have come together aren't compared any more."""
+    as rows of keys; sets are sorted. The nearest are compared first; texts that have come together aren't compared any more."""
     label, out = root.copy(), []
     to = np.flatnonzero(be)
     for q in np.flatnonzero(ask).tolist():
@@ -353,7 +353,7 @@ def linked(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, ask
         mates = mates[_near(n, fp, np.full(1, q), mates)]
         for m in mates[np.argsort(np.bitwise_count(fp[q] ^ fp[mates]), kind="stable")].tolist():
             if label[m] != label[q]:
-                shared = len(sets[q]) + len(sets[m]) - len(np.union1d(sets[q], sets[m]))
+                shared = int((sets[q][np.minimum(np.searchsorted(sets[q], sets[m]), len(sets[q]) - 1)] == sets[m]).sum())
                 if 9 * shared >= 4 * (len(sets[q]) + len(sets[m])):
                     out.append((key[q], key[m]))
                     label[label == label[m]] = label[q]
@@ -376,7 +376,7 @@ def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     def work(got: pa.Table) -> np.ndarray:
         key, n, fp, root, ask = (got.column(k).to_numpy() for k in ("key", "n", "fp", "root", "ask"))
         hashes = got.column("hashes").combine_chunks()
-        flat, ends = hashes.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(n)]
+        flat, ends = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(n)]
         return linked(key, n, fp.view(np.uint64), root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
     names = ["key", "n", "fp", "root", "ask", "hashes"]

@@ -287,9 +287,9 @@ class RangeMin:
 
 def _places(order: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Where the numbers ``of`` stand in a permutation, ascending."""
-    where = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
-    where[order] = np.arange(len(order), dtype=where.dtype)
-    return np.sort(where[of]).astype(np.int64)
+    asked = np.zeros(len(order), bool)
+    asked[of] = True
+    return np.flatnonzero(asked[order])
 
 
 def _ranks(entries: Spool, prefix: Spool, at: np.ndarray, stand: np.ndarray, limit: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
