@@ -2,7 +2,7 @@
 
 Items are partitioned by their number n of distinct shingles (powers of two). An item's sketch are its floor((1 - t) n) + 1 least shingle
 hashes: an item contained to t or more lacks fewer shingles than that, so a document that holds it holds one of its sketch. No true pair
-is missed. Of a document's hashes only those are sketched that can stand in the sketch of an item of some partition that fits it: a bit
+is missed. A document without any of the longest words of the sketched shingles holds none of these and is passed over. Of the others' hashes only those are sketched that can stand in the sketch of an item of some partition that fits it: a bit
 map of the sketches, by partition, is looked up before anything is exploded, so what a document sends grows with the items that it may
 hold, not with its length. Candidates are then counted exactly, shingle text by shingle text.
 
@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from .common import cut, gathered
 
 WORDS, THRESHOLD = 5, 0.8
-#: Frames of at most so many bytes are broadcast; beyond that the joins shuffle. Bits of the map for each hash in a sketch.
-BROADCAST_BYTES, BITS = 32 << 20, 32
+#: Frames of at most so many bytes are broadcast; beyond that the joins shuffle. Bits of the map for each hash in a sketch. Longest words up to
+#: which documents are looked through for them first.
+BROADCAST_BYTES, BITS, LONG_WORDS = 32 << 20, 32, 1 << 13
 
 
 def words(text: str) -> Column:
     """White-space separated words of the lower-cased text as an array."""
-    return F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), "")
 
 
 #: Of an array ``h`` of word hashes: hashes of its shingles.
@@ -66,7 +67,13 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     n_sketch, size = sum(p["n"] for p in parts), 48 * weight[0] + (weight[1] or 0)
 
     # candidates: documents with a hash of a sketch whose partition's items aren't too large for them
-    split = docs.select("doc_id", words("text").alias("w")).where("doc_id is not null and size(w) > 0").select("doc_id", hashed.alias("h"))
+    # texts without words fall out in the joins: a condition on w would be pushed below and split every text twice
+    split = docs.where("doc_id is not null and text is not null").select("doc_id", words("text").alias("w"))
+    longest = sketch.join(shingles, ["item_id", "h"]).select(F.expr("array_max(transform(split(shingle, ' '), x -> struct(length(x) as n, x as x))).x").alias("x")).distinct()
+    longest = longest.agg(F.collect_set("x").alias("long_words"), F.count("*").alias("n"))
+    if (longest.first()["n"] or 0) <= LONG_WORDS:
+        split = split.crossJoin(F.broadcast(longest.select("long_words"))).where("arrays_overlap(w, long_words)")
+    split = split.select("doc_id", hashed.alias("h"))
     single = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()  # else a document's rows count together
     need = [max(1, math.ceil(threshold * p["least"] - 1e-9)) if single else 1 for p in parts]
     all_ = split.select("doc_id", F.expr(_HASHES).alias("hs"))
@@ -83,7 +90,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     candidates = cut(gathered(found), "candidates")
 
     # exact containment of the candidates
-    again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("w")).where("size(w) > 0")
+    again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("w"))
     present = again.select("doc_id", F.explode(F.expr(f"array_distinct({_TEXTS})")).alias("shingle")).join(_small(shingles.select("item_id", "shingle"), size), "shingle")
     counted = present.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"))
     pairs = counted.join(candidates, ["doc_id", "item_id"], "left_semi").join(_small(sizes, 32 * weight[0]), "item_id")

@@ -657,8 +657,9 @@ def test_decontamination_without_items_and_with_repeated_ids(spark, monkeypatch)
     words = [f"w{k}" for k in range(60)]
     parts = [(1, " ".join(words[:33])), (1, " ".join(words[29:])), (2, " ".join(words[:33])), (3, " ".join(words[:5])), (4, " ".join(words[:4]))]
     item = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:4])), (9, " ".join(words[2:8]))], items)
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
+    for limit, long_words in ((decontaminate.BROADCAST_BYTES, 1 << 13), (0, 1 << 13), (0, 0)):
         monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "LONG_WORDS", long_words)
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs_of(spark, parts), item).collect()} == {(1, 7), (1, 9), (2, 9), (4, 8)}
 
 
@@ -876,8 +877,9 @@ def test_normalisers_are_the_librarys(rule, squeeze, prefix):
 
     data = model_of(unigrams(), squeeze=squeeze, prefix=prefix, rule=rule)
     codec, sp = sentencepiece_codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
-    ids, decoded = codec.transcode(ODD_TEXTS)
-    assert [x.tolist() for x in ids] == [sp.encode(t) for t in ODD_TEXTS]
+    ids = codec.encode(ODD_TEXTS)
+    decoded = codec.decode_all(ids)
+    assert ids == [sp.encode(t) for t in ODD_TEXTS]
     assert all(codec.parity(ODD_TEXTS, ids))
     assert decoded == [codec.decode(x) for x in ids]
     if not rule and not squeeze:
@@ -887,7 +889,7 @@ def test_normalisers_are_the_librarys(rule, squeeze, prefix):
 def test_parity_sees_a_spoiled_normaliser():
     codec = sentencepiece_codec.Codec(model_of(unigrams(), squeeze=True))
     codec.normalize = str.strip
-    ids, _ = codec.transcode(ODD_TEXTS)
+    ids = codec.encode(ODD_TEXTS)
     assert sum(codec.parity(ODD_TEXTS, ids)) < len(ODD_TEXTS) - 3
 
 

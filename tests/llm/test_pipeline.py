@@ -44,3 +44,22 @@ def test_stages_keep_columns(spark):
         assert now.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == now.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "sentencepiece"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = {c: "tag" for c in ("key", "hashes", "fp", "item_id", "spans", "score", "ids", "part", "h")}
+    clash = docs.limit(80)
+    for c, v in extra.items():
+        clash = clash.withColumn(c, __import__("pyspark").sql.functions.lit(v))
+    odd = spark.createDataFrame([(None, "The text of a row without an id, in plain words.", "en", None, None), (10**6, None, None, None, None), (10**6 + 1, "", "", "", 0)], docs.schema)
+    for c, v in extra.items():
+        odd = odd.withColumn(c, __import__("pyspark").sql.functions.lit(v))
+    for name, rows, items in (("empty", docs.limit(0), 0), ("clash", clash.unionByName(odd), 40), ("noitems", docs.limit(30), 0)):
+        d = tmp_path / name
+        rows.write.parquet(str(d / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").limit(items).write.parquet(str(d / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        assert bool(got) == (name != "empty")
+        if name == "clash":
+            assert {None} <= {r["doc_id"] for r in got} and not {10**6, 10**6 + 1} & {r["doc_id"] for r in got}
