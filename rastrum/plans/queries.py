@@ -292,11 +292,11 @@ def lbg_stages(spark, d):
     return spark.createDataFrame([(k, i, round(float(x), 6)) for k, w in enumerate(book) for i, x in enumerate(w)], "k int, d int, x double")
 
 
-@query(S.VQ + "select cast(16 as integer) as codebook_size, cast(16 as integer) as vector_dim, cast(4 as integer) as block_size, cast(sum(x) as double) as total from vq where vec_id < 16")
+@query(S.VQ + "select cast(16 as integer) as codebook_size, cast(16 as integer) as dim, cast(4 as integer) as block_size, cast(sum(x) as double) as total from vq where vec_id < 16")
 def codebook_file(spark, d):
     """The summary of a codebook as it is written to a file."""
     book = spark.createDataFrame(list(enumerate(_codebook(spark, d))), "k int, cw array<double>")
-    return R.codebook_table(book, 4).select("codebook_size", "vector_dim", "block_size", F.aggregate(F.flatten("codewords"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return R.codebook_table(book, 4).select("codebook_size", "dim", "block_size", F.aggregate(F.flatten("codewords"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query(S.BYTES + "select b, count(*) as n from bytes group by b")

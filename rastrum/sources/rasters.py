@@ -179,7 +179,7 @@ def from_png(files: DataFrame) -> DataFrame:
 def codebook_table(codebook: DataFrame, side: int) -> DataFrame:
     """A codebook (k, cw) as one row: its size, dimension, block side and codewords in order."""
     words = F.transform(F.array_sort(F.collect_list(F.struct("k", "cw"))), lambda x: x["cw"])
-    return codebook.agg(F.count("*").cast("int").alias("codebook_size"), F.max(F.size("cw")).alias("vector_dim"), F.lit(side).alias("block_size"), words.alias("codewords"))
+    return codebook.agg(F.count("*").cast("int").alias("codebook_size"), F.max(F.size("cw")).alias("dim"), F.lit(side).alias("block_size"), words.alias("codewords"))
 
 
 def write_codebook(codebook: DataFrame, path: str, side: int = 4) -> None:
