@@ -17,8 +17,12 @@ in 5,000 of such pairs differs in more than WIDE bits. Bucket mates within WIDE
 bucket are compared, so that a large group of near copies becomes one component for as many comparisons as it has members. Then the
 index spans a forest over the candidates that aren't linked yet, and each tree of it is one group: its texts outside the group's
 largest component are compared with all of the group, block by block, in workers that hold the sets of two blocks and return a spanning
-forest of the links found. So no link between different components is lost, and rows grow with texts, not with pairs. Buckets with very
-many texts are divided by the texts' other buckets.
+forest of the links found. So rows grow with texts, not with pairs. Buckets with very many texts are divided by the texts' other buckets.
+
+What buckets, their division and the bound on bits miss, an exact search of the rest finds. Two sets at 0.8 share one of the n // 5 + 1 least
+hashes of each, so lists of texts by those hashes hold every link. Lists that lie in one component are left out; in the others two texts
+of different components are candidates if sizes allow it and the sets' parity bitmaps, which differ in no more bits than the sets in
+members, do. Long lists are compared block by block. Candidates become groups and are compared as above, so no link is lost.
 
 Defined cases: words are lower-cased in A-Z and parted by ASCII white space. For ``near_duplicates`` null texts and texts without words have
 fingerprint zero, which is linked like any other; for ``similar`` they are linked to nothing. A text of fewer words than a shingle has one
@@ -45,6 +49,8 @@ BITS, SEED = 64, 42
 FAN, PAIRS, DIVIDE = 16, 1 << 22, 2048
 #: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, texts of a block.
 WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 600
+#: Least bits of a set's parity bitmap; texts of a list that are compared at once.
+PARITY, LIST = 1024, 4000
 #: Rows up to which the ids of texts to compare are broadcast: 16 MB.
 SMALL = 1 << 21
 
@@ -249,13 +255,44 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
     return _mix(least[:, 0] * _TURNS[0] ^ _mix(least[:, 1] + _TURNS)).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """For each remainder whether an odd number of hashes has it: two bitmaps of one size differ in at most as many bits as the sets in
+    hashes. The size is the power of two from the number of hashes on, PARITY at least; a half is the exclusive or of two."""
+    size = max(PARITY, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of several sets, and their halves for sets that are up to twice as large."""
+
+    def __init__(self, bits: list[np.ndarray]):
+        self.words = np.array([len(x) for x in bits])
+        self.rows, self.at = {}, {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero((self.words == w) | (self.words == 2 * w))
+            self.at[w] = np.zeros(len(bits), np.int64)
+            self.at[w][own] = np.arange(len(own))
+            self.rows[w] = np.stack([bits[k] if len(bits[k]) == w else bits[k][:w] ^ bits[k][w:] for k in own.tolist()])
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair (a, b) of sets; sizes differ by a factor of two at most."""
+        out, low = np.zeros(len(a), np.int64), np.minimum(self.words[a], self.words[b])
+        for w, rows in self.rows.items():
+            own, at, step = np.flatnonzero(low == w), self.at[w], max(1, (1 << 19) // w)
+            for s in range(0, len(own), step):
+                k = own[s : s + step]
+                out[k] = np.bitwise_count(rows[at[a[k]]] ^ rows[at[b[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """Of each text with words: doc_id, key (hash of its set of shingles), n (their number), then the set itself as ``hashes``, or fp and buckets."""
+    """Of each text with words: doc_id, key (hash of its set of shingles), n (their number), then the set itself as ``hashes``, or fp, buckets,
+    least (its n // 5 + 1 least hashes) and bits (its bitmap)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +306,11 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, _lists([h.view(np.int64) for h in sets])], names=["doc_id", "key", "n", "hashes"])
             else:
                 fps = np.array([folded(h) for h in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*same, pa.array(fps), _lists([buckets_of(h) for h in sets])], names=["doc_id", "key", "n", "fp", "buckets"])
+                least = _lists([h[: len(h) // 5 + 1].view(np.int64) for h in sets])
+                bits = pa.array([bitmap(h).tobytes() for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*same, pa.array(fps), _lists([buckets_of(h) for h in sets]), least, bits], names=["doc_id", "key", "n", "fp", "buckets", "least", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, key long, n int, " + ("hashes array<long>" if whole else "fp long, buckets array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, key long, n int, " + ("hashes array<long>" if whole else "fp long, buckets array<long>, least array<long>, bits binary"))
 
 
 def _near(n: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -343,15 +382,17 @@ def _in_buckets(rows: DataFrame, f) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_by_group(1, ["key", "n", "fp", "root"], work), 50_000), "a long, b long").distinct()
 
 
-def linked(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, ask: np.ndarray, be: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def linked(key: np.ndarray, n: np.ndarray, root: np.ndarray, ask: np.ndarray, be: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """A spanning forest, beyond the components ``root``, of the links between texts that ask and texts that are to be compared (flags ask, be),
     as rows of keys; sets are sorted. The nearest are compared first; texts that have come together aren't compared any more."""
     label, out = root.copy(), []
-    to = np.flatnonzero(be)
+    to, maps = np.flatnonzero(be), Bitmaps([bitmap(s) for s in sets])
     for q in np.flatnonzero(ask).tolist():
         mates = to[(label[to] != label[q]) & (key[to] != key[q])]
-        mates = mates[_near(n, fp, np.full(1, q), mates)]
-        for m in mates[np.argsort(np.bitwise_count(fp[q] ^ fp[mates]), kind="stable")].tolist():
+        mates = mates[5 * np.minimum(n[q], n[mates]) >= 4 * np.maximum(n[q], n[mates])]
+        apart = maps.apart(np.full(len(mates), q), mates)
+        mates, apart = (x[9 * apart <= n[q] + n[mates]] for x in (mates, apart))
+        for m in mates[np.argsort(apart, kind="stable")].tolist():
             if label[m] != label[q]:
                 shared = int((sets[q][np.minimum(np.searchsorted(sets[q], sets[m]), len(sets[q]) - 1)] == sets[m]).sum())
                 if 9 * shared >= 4 * (len(sets[q]) + len(sets[m])):
@@ -360,29 +401,96 @@ def linked(key: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, ask
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between different components inside groups (group, key, root)."""
-    sizes = groups.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("x"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
-    sizes = sizes.select("group", F.col("x.root").alias("largest"), blocks(F.col("m")).alias("to"), blocks(F.col("m") - F.col("x.m")).alias("from"))
-    rows = groups.join(sizes, "group").join(nodes.select("key", "n", "fp"), "key").join(_whole_sets(groups.select("key").distinct(), nodes, docs), "key")
+def _units(rows: DataFrame, groups: DataFrame, group: str, block: int, names: list[str]) -> DataFrame:
+    """group, t, q, ask, names: rows (group, key, root, ...), each in the units in which it is compared. A group's texts outside its largest
+    component ask, all are compared, so that each asking block meets each block; groups (group, key, root) are counted."""
+    sizes = groups.groupBy(group, "root").agg(F.count("*").alias("m")).groupBy(group).agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("x"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    sizes = sizes.select(group, F.col("x.root").alias("largest"), blocks(F.col("m")).alias("to"), blocks(F.col("m") - F.col("x.m")).alias("from"))
     own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     all_ = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     unit = lambda t, q, ask: F.struct(t.alias("t"), q.alias("q"), F.lit(ask).alias("ask"))
     compared = F.transform(all_("from"), lambda q: unit(own("to"), q, False))
     asking = F.when(F.col("root") != F.col("largest"), F.transform(all_("to"), lambda t: unit(t, own("from"), True))).otherwise(F.array().cast("array<struct<t:int,q:int,ask:boolean>>"))
-    units = rows.withColumn("u", F.explode(F.concat(compared, asking))).select("group", "u.t", "u.q", "u.ask", "key", "n", "fp", "root", "hashes")
+    return rows.join(sizes, group).withColumn("u", F.explode(F.concat(compared, asking))).select(group, "u.t", "u.q", "u.ask", *names)
+
+
+def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components inside groups (group, key, root)."""
+    rows = groups.join(nodes.select("key", "n"), "key").join(_whole_sets(groups.select("key").distinct(), nodes, docs), "key")
+    units = _units(rows, groups, "group", BLOCK, ["key", "n", "root", "hashes"])
 
     def work(got: pa.Table) -> np.ndarray:
-        key, n, fp, root, ask = (got.column(k).to_numpy() for k in ("key", "n", "fp", "root", "ask"))
+        key, n, root, ask = (got.column(k).to_numpy() for k in ("key", "n", "root", "ask"))
         hashes = got.column("hashes").combine_chunks()
         flat, ends = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(n)]
-        return linked(key, n, fp.view(np.uint64), root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        return linked(key, n, root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
-    names = ["key", "n", "fp", "root", "ask", "hashes"]
+    names = ["key", "n", "root", "ask", "hashes"]
     return units.repartition("group", "t", "q").sortWithinPartitions("group", "t", "q").mapInArrow(tidy(_by_group(3, names, work)), "a long, b long").distinct()
 
 
+def crossed(unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, root: np.ndarray, maps: Bitmaps) -> np.ndarray:
+    """A spanning forest, as rows of keys, of the pairs that share a unit, differ in root and in ask (true, false, or 2: all are compared) and
+    whose sizes and bitmaps allow the similarity. Rows are sorted by unit and n; row i is compared with i + 1, then i + 2 and so on."""
+    keys, place = np.unique(key, return_inverse=True)
+    label, i, step = np.arange(len(keys)), np.arange(len(key)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[(unit[i] == unit[i + step]) & (4 * n[i + step] <= 5 * n[i])]
+        a = i[(root[i] != root[i + step]) & ((ask[i] != ask[i + step]) | (ask[i] == 2))]
+        b = a + step
+        ok = 9 * maps.apart(a, b) <= n[a] + n[b]
+        join_labels(label, place[a[ok]], place[b[ok]])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return keys[np.stack([at, label[at]], axis=1)]
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows (h, t, q, ask, key, n, root, bits) sorted by h, t, q and n and yields ``crossed`` of whole units; the last of a batch waits."""
+
+    def work(got: pa.Table) -> Iterator[pa.RecordBatch]:
+        if got.num_rows > 1:
+            unit = np.cumsum(_heads(got))
+            ask, key, n, root = (got.column(k).to_numpy().astype(np.int64) for k in ("ask", "key", "n", "root"))
+            pairs = crossed(unit, ask, key, n, root, Bitmaps([np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()]))
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        last = int(np.flatnonzero(_heads(now))[-1]) if now.num_rows else 0
+        yield from work(now.slice(0, last))
+        held = now.slice(last).combine_chunks()
+    if held is not None:
+        yield from work(held)
+
+
+def _heads(got: pa.Table) -> np.ndarray:
+    """Whether a unit (h, t, q) begins at each row."""
+    x = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "t", "q")], axis=1)
+    return np.r_[True, (x[1:] != x[:-1]).any(axis=1)] if len(x) else np.zeros(0, bool)
+
+
+def _rest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """A forest (a, b) of all candidates between different components that share one of their sets' least hashes."""
+    rows = cut(gathered(_rooted(nodes.select("key", "n", "least"), roots)), "rest").select(F.explode("least").alias("h"), "key", "n", "root")
+    lists = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
+    lists = cut(gathered(lists), "lists")
+    hot = hot_keys(lists, "h", "m")
+    rows = cut(gathered(dealt(rows, "h", hot, "key").join(spread(lists, "h", hot), ["h", "part"]).select("h", "m", "key", "n", "root")), "rest")
+    names = ["key", "n", "root"]
+    units = rows.where(F.col("m") <= LIST).select("h", F.lit(0).alias("t"), F.lit(0).alias("q"), F.lit(2).alias("ask"), *names)
+    long = rows.where(F.col("m") > LIST).drop("m")
+    if not lists.where(F.col("m") > LIST).isEmpty():
+        units = units.union(_units(long, long, "h", LIST, names).withColumn("ask", F.col("ask").cast("int")))
+    units = units.join(nodes.select("key", "bits"), "key").select("h", "t", "q", "ask", *names, "bits")
+    return units.repartition("h", "t", "q").sortWithinPartitions("h", "t", "q", "n").mapInArrow(tidy(_crossing, 50_000), "a long, b long").distinct()
+
+
 def _members(nodes: DataFrame) -> DataFrame:
     """h, key, n, fp: nodes in the buckets that hold several."""
     rows = nodes.select(F.explode("buckets").alias("h"), "key", "n", "fp").distinct()
@@ -418,7 +526,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links reach) of the rows that have an id and words."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     marks = cut(_sets(docs, False), "marks")
-    nodes = cut(gathered(marks.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "buckets")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.buckets")), "nodes")
+    nodes = cut(gathered(marks.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "buckets", "least", "bits")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.buckets", "x.least", "x.bits")), "nodes")
     members = _members(nodes).select("h", "key", "n", "fp")
     pairs = cut(gathered(_in_buckets(members.withColumn("root", F.col("key")), led)), "pairs")
     first = cut(gathered(_alike(pairs, nodes, docs)), "links")
@@ -426,10 +534,15 @@ def similar(docs: DataFrame) -> DataFrame:
     now = _rooted(members, roots).select("h", "key", "n", "fp", "root")
     open_ = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")  # others lie in one component
     forest = cut(gathered(_in_buckets(now.join(open_, "h", "left_semi"), spanned)), "forest")
-    groups = cut(gathered(_rooted(components(forest).select(F.col("node").alias("key"), F.col("root").alias("group")), roots)), "groups")
-    more = cut(gathered(_verified(groups, nodes, docs)), "links")
-    if not more.isEmpty():
-        roots = cut(gathered(components(first.union(more)).select(F.col("node").alias("key"), "root")), "roots")
+    found = first
+    for search in (lambda: forest, lambda: cut(gathered(_rest(nodes, roots)), "forest")):
+        if (pairs := search()).isEmpty():
+            continue
+        groups = cut(gathered(_rooted(components(pairs).select(F.col("node").alias("key"), F.col("root").alias("group")), roots)), "groups")
+        more = cut(gathered(_verified(groups, nodes, docs)), "links")
+        if not more.isEmpty():
+            found = found.union(more)
+            roots = cut(gathered(components(found).select(F.col("node").alias("key"), "root")), "roots")
     joined = _rooted(nodes.select("key", "rep"), roots)
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = joined.join(least, "root").select("key", "component_id")

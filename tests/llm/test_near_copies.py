@@ -99,3 +99,46 @@ def test_stage_drops_all_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_copies_with_far_fingerprints_are_found(spark):
+    """Texts at a similarity of 0.8 whose fingerprints differ in more than WIDE bits."""
+    rng, rows = random.Random(11), []
+    while len(rows) < 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        a, b = (" ".join([*words, f"x{rng.randrange(10**6)}"]) for _ in range(2))
+        fp = [simhash.folded(np.unique(simhash.hashes_of(t, 5))) for t in (a, b)]
+        if (fp[0] ^ fp[1]).bit_count() > simhash.WIDE:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert brute(rows) == {0, 2, 4, 6}
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 2, 4, 6}
+
+
+@pytest.mark.parametrize("at_once", [2, 4000])
+def test_search_of_the_rest_is_all_pairs(spark, monkeypatch, at_once):
+    """Without any bucket, lists of any length alone find all copies."""
+    monkeypatch.setattr(simhash, "LIST", at_once)
+    monkeypatch.setattr(simhash, "_members", lambda nodes: nodes.where("false").selectExpr("0L as h", "key", "n", "fp"))
+    rng, rows = random.Random(7), []
+    for _ in range(5):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(20, 120))]
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(t)))
+    want = brute(rows)
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert 5 < len(want) < len(rows) - 10
+
+
+def test_bitmaps_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 9, 1000, 1024, 1025, 1200, 2040, 2050)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 9).astype(np.uint64)]) for s in sets]
+    maps = simhash.Bitmaps([simhash.bitmap(s) for s in sets])
+    pairs = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if 4 * len(s) <= 5 * len(t) and 4 * len(t) <= 5 * len(s)]
+    a, b = np.array(pairs).T
+    for i, j, k in zip(a, b, maps.apart(a, b).tolist(), strict=True):
+        differ = len(np.setxor1d(sets[i], sets[j]))
+        assert k <= differ and (2 * differ < len(sets[i]) + len(sets[j]) or 9 * k > len(sets[i]) + len(sets[j]))
