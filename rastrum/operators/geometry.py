@@ -63,23 +63,27 @@ def resize_to_levels(px: DataFrame, levels: int) -> DataFrame:
 
 def _resized(px: DataFrame, height: Column, width: Column) -> DataFrame:
     """Scaled to height x width, which may depend on h and w: each new pixel is the weighted mean of the four around its centre, rounded half
-    up. Every source pixel is read once; the new grid is dealt by picture and row, not gathered."""
+    up. Every source pixel is read once and sends its weighted value to the new pixels that it is near to, so no grid is made or joined."""
 
-    def axis(n: str, size: str) -> Column:
-        """For each new place the two old ones and the weight of the second."""
-        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(i.alias("to"), F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(size) / F.col(n) - 0.5, F.col(size) - 1.0)).alias("x")))
+    def axis(at: str, n: str, size: str) -> Column:
+        """(to, weight) of the new places to which the old place ``at`` contributes."""
+        scale = F.col(n) / F.col(size)
+        # places whose centres lie less than one old place away, and one more for rounding; the first and last old place take all beyond
+        low = F.when(F.col(at) == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((F.col(at) - 0.5) * scale - 0.5) - 1)).cast("int")
+        high = F.when(F.col(at) == F.col(size) - 1, F.col(n) - 1).otherwise(F.least(F.col(n) - 1, F.ceil((F.col(at) + 1.5) * scale - 0.5) + 1)).cast("int")
+
+        def weighed(i: Column) -> Column:
+            x = F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(size) / F.col(n) - 0.5, F.col(size) - 1.0))
+            part = x - F.floor(x)
+            return F.struct(i.alias("to"), F.when(F.floor(x) == F.col(at), 1 - part).when(F.floor(x) + 1 == F.col(at), part).otherwise(0.0).alias("weight"))
+
+        return F.filter(F.transform(F.sequence(low, high), weighed), lambda k: k["weight"] > 0)
 
     size = sizes(px).withColumn("th", height.cast("int")).withColumn("tw", width.cast("int")).where("th > 0 and tw > 0")
-    grid = size.select("*", F.explode(axis("th", "h")).alias("y")).select("image_id", "w", "h", "y", F.explode(axis("tw", "w")).alias("x"))
-    near = lambda p, size, far: F.least((F.floor(p) + far).cast("int"), F.col(size) - 1)
-    corners = []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            wy, wx = F.col("y.x") - F.floor("y.x"), F.col("x.x") - F.floor("x.x")
-            corners.append(F.struct(near(F.col("y.x"), "h", dy).alias("r"), near(F.col("x.x"), "w", dx).alias("c"), ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias("weight")))
-    need = grid.select("image_id", F.col("y.to").alias("to_r"), F.col("x.to").alias("to_c"), F.explode(F.array(*corners)).alias("k")).select("image_id", "to_r", "to_c", "k.*")
-    got = need.where("weight > 0").join(px, ["image_id", "r", "c"]).groupBy("image_id", "to_r", "to_c").agg(F.sum(F.col("weight") * F.col("v")).alias("s"))
-    return got.select("image_id", F.col("to_r").alias("r"), F.col("to_c").alias("c"), F.floor(F.round("s", 6) + 0.5).cast("int").alias("v"))
+    rows = px.select("image_id", "r", "c", "v").join(size, "image_id").select("image_id", "c", "w", "tw", "v", F.explode(axis("r", "th", "h")).alias("y"))
+    sent = rows.select("image_id", "y", "v", F.explode(axis("c", "tw", "w")).alias("x"))
+    got = sent.groupBy("image_id", F.col("y.to").alias("r"), F.col("x.to").alias("c")).agg(F.sum(F.col("y.weight") * F.col("x.weight") * F.col("v")).alias("s"))
+    return got.select("image_id", "r", "c", F.floor(F.round("s", 6) + 0.5).cast("int").alias("v"))
 
 
 def mosaic(px: DataFrame, index: str, columns: int, height: int, width: int) -> DataFrame:

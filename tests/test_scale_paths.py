@@ -126,3 +126,28 @@ def test_png_files_by_the_image_source(spark, tmp_path):
         want = {(r["r"], r["c"]): r["v"] for r in tiles.where(f"image_id = {i}").collect()}
         assert {k[:2]: v for k, v in by[f"{i:03}"].items()} == want
     assert R.read_images(spark, str(tmp_path)).select("image_id").distinct().count() == 4
+
+
+def test_resizing_makes_no_grid(spark):
+    """The new grid isn't joined: it counts as small by Spark's estimate, whatever its size, and would be broadcast."""
+    px = R.tile(spark, SF)
+    for got in (geometry.resize_bilinear(px, 5, 11), geometry.resize_to_levels(R.tall(spark, SF), 3)):
+        lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = lines[next(k for k, x in enumerate(lines) if "Join" in x) :]  # each side reads the pixels, and neither multiplies them
+        assert sum("Generate" in x for x in below) == 2 and all("posexplode" in x for x in below if "Generate" in x)
+    for h, w in ((1, 1), (3, 20), (8, 8), (17, 5)):  # smaller, larger, equal
+        small = px.where("image_id < 3")
+        want = {}
+        old = {(r["image_id"], r["r"], r["c"]): r["v"] for r in small.collect()}
+        for i in range(3):
+            for y in range(h):
+                for x in range(w):
+                    at = [min(max((k + 0.5) * 8 / n - 0.5, 0), 7) for k, n in ((y, h), (x, w))]
+                    s = 0
+                    for dy in (0, 1):
+                        for dx in (0, 1):
+                            r, c = (int(at[0]) + dy, int(at[1]) + dx)
+                            weight = abs(1 - dy - at[0] % 1) * abs(1 - dx - at[1] % 1)
+                            s += weight * old[(i, min(r, 7), min(c, 7))]
+                    want[(i, y, x)] = int(np.floor(round(s, 6) + 0.5))
+        assert {(r["image_id"], r["r"], r["c"]): r["v"] for r in geometry.resize_bilinear(small, h, w).collect()} == want
