@@ -233,9 +233,21 @@ def huffman_size(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def huffman_encode(data: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bits): codes of (keys, pos, b) in order; symbols without a code are skipped."""
-    got = data.join(table.select(*keys, "b", "code"), [*keys, "b"])
-    return got.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "").alias("bits"))
+    """(keys, bits): codes of (keys, pos, b) in order; symbols without a code are skipped. Both sides are brought to a row a text before they
+    are joined: rows of bytes count as small by Spark's estimate, which knows nothing of exploded texts, and would be broadcast."""
+
+    @F.pandas_udf("string")
+    def write(places: pd.Series, book: pd.Series) -> pd.Series:
+        out = []
+        for x, codes in zip(places, book, strict=True):
+            codes = dict(codes)
+            got = [codes[b] for b in (np.sort(x) & 255).tolist() if b in codes]
+            out.append("".join(got) if got else None)
+        return pd.Series(out, dtype=object)
+
+    texts = data.groupBy(*keys).agg(F.collect_list(F.col("pos").cast("long") * 256 + F.col("b")).alias("places"))
+    books = table.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "code"))).alias("book"))
+    return texts.join(books.hint("merge"), keys).select(*keys, write("places", "book").alias("bits")).where("bits is not null")
 
 
 def huffman_decode(encoded: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,4 +266,4 @@ def huffman_decode(encoded: DataFrame, table: DataFrame, keys: list[str]) -> Dat
             out.append(bytes(got))
         return pd.Series(out)
 
-    return encoded.join(books, keys).select(*keys, walk("bits", "book").alias("content"))
+    return encoded.join(books.hint("merge"), keys).select(*keys, walk("bits", "book").alias("content"))
