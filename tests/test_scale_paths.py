@@ -166,3 +166,16 @@ def test_huffman_order_and_symbols_without_a_code(spark):
     data = spark.createDataFrame([(1, 2, 65), (1, 0, 66), (1, 1, 67), (1, 300, 65), (2, 0, 67)], "id int, pos int, b int")
     table = spark.createDataFrame([(1, 65, "0"), (1, 66, "10"), (2, 65, "0")], "id int, b int, code string")
     assert rows(compress.huffman_encode(data, table, ["id"])) == [(1, "1000")]
+
+
+def test_nearest_codewords_are_those_of_all_distances(spark):
+    rng = np.random.default_rng(1)
+    x, book = rng.integers(0, 256, (3000, 16)).astype(float), rng.integers(0, 256, (128, 16)).astype(float)
+    book[5], x[7] = book[90], (book[3] + book[80]) / 2  # equal codewords, a tie
+    all_ = ((x[:, None, :] - book[None]) ** 2).sum(axis=2)
+    k, d = compress.nearest(x, book)
+    assert (k == all_.argmin(axis=1)).all() and (d == all_.min(axis=1)).all()
+    packed = compress._packed(spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>"))
+    assert packed.count() < 100  # a round handles batches, not vectors
+    means, d2 = compress.lloyd_step(spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>"), book)
+    assert np.isclose(d2, all_.min(axis=1).mean()) and np.allclose(means[k[0]], x[k == k[0]].mean(axis=0))
