@@ -21,8 +21,10 @@ forest of the links found. So rows grow with texts, not with pairs. Buckets with
 
 What buckets, their division and the bound on bits miss, an exact search of the rest finds. Two sets at 0.8 share one of the n // 5 + 1 least
 hashes of each, so lists of texts by those hashes hold every link. Lists that lie in one component are left out; in the others two texts
-of different components are candidates if sizes allow it and the sets' parity bitmaps, which differ in no more bits than the sets in
-members, do. Long lists are compared block by block. Candidates become groups and are compared as above, so no link is lost.
+of different components are candidates if sizes and places allow it, places being the hash's own among the sorted hashes of each set: in the
+list of the least hash that two sets share all before it is in one set only, and what follows differs by the difference of its lengths
+at least. Only rows that have such a mate get their sets' parity bitmaps, which differ in no more bits than the sets in members, and must
+allow the similarity, too. Long lists are compared block by block. Candidates become groups and are compared as above, so no link is lost.
 
 Defined cases: words are lower-cased in A-Z and parted by ASCII white space. For ``near_duplicates`` null texts and texts without words have
 fingerprint zero, which is linked like any other; for ``similar`` they are linked to nothing. A text of fewer words than a shingle has one
@@ -41,12 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, gathered, hot_keys, spread, texts_of, tidy
+from .common import cut, dealt, drop, gathered, hot_keys, spread, texts_of, tidy
 from .components import components
 
 BITS, SEED = 64, 42
 #: Children of an index node; pairs that a search may hold; fingerprints above which a bucket of blocks is divided.
-FAN, PAIRS, DIVIDE = 16, 1 << 22, 2048
+FAN, PAIRS, DIVIDE = 16, 1 << 18, 2048
 #: For similar texts: words of a shingle, orders, bits that may differ, texts above which a bucket is divided, leaders of a bucket, texts of a block.
 WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 600
 #: Least bits of a set's parity bitmap; texts of a list that are compared at once.
@@ -417,7 +419,8 @@ def _units(rows: DataFrame, groups: DataFrame, group: str, block: int, names: li
 
 def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different components inside groups (group, key, root)."""
-    rows = groups.join(nodes.select("key", "n"), "key").join(_whole_sets(groups.select("key").distinct(), nodes, docs), "key")
+    sets = _whole_sets(groups.select("key").distinct(), nodes, docs)
+    rows = groups.join(nodes.select("key", "n"), "key").join(sets.dropDuplicates(["key"]), "key")
     units = _units(rows, groups, "group", BLOCK, ["key", "n", "root", "hashes"])
 
     def work(got: pa.Table) -> np.ndarray:
@@ -427,46 +430,73 @@ def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
         return linked(key, n, root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
     names = ["key", "n", "root", "ask", "hashes"]
-    return units.repartition("group", "t", "q").sortWithinPartitions("group", "t", "q").mapInArrow(tidy(_by_group(3, names, work)), "a long, b long").distinct()
+    links = units.repartition("group", "t", "q").sortWithinPartitions("group", "t", "q").mapInArrow(tidy(_by_group(3, names, work)), "a long, b long").distinct()
+    links = cut(gathered(links), "links")
+    drop(sets)
+    return links
 
 
-def crossed(unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, root: np.ndarray, maps: Bitmaps) -> np.ndarray:
-    """A spanning forest, as rows of keys, of the pairs that share a unit, differ in root and in ask (true, false, or 2: all are compared) and
-    whose sizes and bitmaps allow the similarity. Rows are sorted by unit and n; row i is compared with i + 1, then i + 2 and so on."""
-    keys, place = np.unique(key, return_inverse=True)
-    label, i, step = np.arange(len(keys)), np.arange(len(key)), 0
+def mates(unit: np.ndarray, ask: np.ndarray, n: np.ndarray, root: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of rows that share a unit, differ in root and in ask (true, false, or 2: all are compared) and whose sizes and places allow
+    the similarity. Rows are sorted by unit and n; row i is compared with i + 1, then i + 2 and so on."""
+    i, step = np.arange(len(n)), 0
     while len(i):
         step += 1
-        i = i[i + step < len(key)]
+        i = i[i + step < len(n)]
         i = i[(unit[i] == unit[i + step]) & (4 * n[i + step] <= 5 * n[i])]
         a = i[(root[i] != root[i + step]) & ((ask[i] != ask[i + step]) | (ask[i] == 2))]
         b = a + step
+        ok = 9 * (place[a] + place[b] + abs((n[a] - place[a]) - (n[b] - place[b]))) <= n[a] + n[b]
+        yield a[ok], b[ok]
+
+
+def crossed(unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, root: np.ndarray, place: np.ndarray, maps: Bitmaps) -> np.ndarray:
+    """A spanning forest, as rows of keys, of the ``mates`` whose bitmaps allow the similarity."""
+    keys, at = np.unique(key, return_inverse=True)
+    label = np.arange(len(keys))
+    for a, b in mates(unit, ask, n, root, place):
         ok = 9 * maps.apart(a, b) <= n[a] + n[b]
-        join_labels(label, place[a[ok]], place[b[ok]])
+        join_labels(label, at[a[ok]], at[b[ok]])
     at = np.flatnonzero(label != np.arange(len(label)))
     return keys[np.stack([at, label[at]], axis=1)]
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows (h, t, q, ask, key, n, root, bits) sorted by h, t, q and n and yields ``crossed`` of whole units; the last of a batch waits."""
+def _by_unit(work):
+    """A function of batches of rows (h, t, q, ask, key, n, root, place, ...) sorted by h, t, q and n: calls ``work`` with whole units, as a table
+    and the arrays unit, ask, key, n, root and place, and yields what it returns, if anything; the last unit of a batch waits."""
 
-    def work(got: pa.Table) -> Iterator[pa.RecordBatch]:
+    def called(got: pa.Table) -> Iterator[pa.RecordBatch]:
         if got.num_rows > 1:
-            unit = np.cumsum(_heads(got))
-            ask, key, n, root = (got.column(k).to_numpy().astype(np.int64) for k in ("ask", "key", "n", "root"))
-            pairs = crossed(unit, ask, key, n, root, Bitmaps([np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()]))
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    held = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([held, now]) if held is not None else now
-        last = int(np.flatnonzero(_heads(now))[-1]) if now.num_rows else 0
-        yield from work(now.slice(0, last))
-        held = now.slice(last).combine_chunks()
-    if held is not None:
-        yield from work(held)
+            arrays = (got.column(k).to_numpy().astype(np.int64) for k in ("ask", "key", "n", "root", "place"))
+            if (out := work(got, np.cumsum(_heads(got)), *arrays)) is not None:
+                yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            last = int(np.flatnonzero(_heads(now))[-1]) if now.num_rows else 0
+            yield from called(now.slice(0, last))
+            held = now.slice(last).combine_chunks()
+        if held is not None:
+            yield from called(held)
+
+    return run
+
+
+def _with_mates(got: pa.Table, unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, root: np.ndarray, place: np.ndarray) -> pa.RecordBatch | None:
+    """The rows that have a mate."""
+    keep = np.zeros(len(n), bool)
+    for a, b in mates(unit, ask, n, root, place):
+        keep[a] = keep[b] = True
+    return got.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else None
+
+
+def _crossing(got: pa.Table, unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, root: np.ndarray, place: np.ndarray) -> pa.RecordBatch | None:
+    """``crossed`` of rows that have their bitmaps as ``bits``."""
+    pairs = crossed(unit, ask, key, n, root, place, Bitmaps([np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()]))
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"]) if len(pairs) else None
 
 
 def _heads(got: pa.Table) -> np.ndarray:
@@ -477,18 +507,25 @@ def _heads(got: pa.Table) -> np.ndarray:
 
 def _rest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """A forest (a, b) of all candidates between different components that share one of their sets' least hashes."""
-    rows = cut(gathered(_rooted(nodes.select("key", "n", "least"), roots)), "rest").select(F.explode("least").alias("h"), "key", "n", "root")
+    names = ["key", "n", "root", "place"]
+    sets = cut(gathered(_rooted(nodes.select("key", "n", "least"), roots)), "rest")
+    rows = sets.select(F.posexplode("least").alias("place", "h"), "key", "n", "root")
     lists = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
     lists = cut(gathered(lists), "lists")
     hot = hot_keys(lists, "h", "m")
-    rows = cut(gathered(dealt(rows, "h", hot, "key").join(spread(lists, "h", hot), ["h", "part"]).select("h", "m", "key", "n", "root")), "rest")
-    names = ["key", "n", "root"]
+    rows = cut(gathered(dealt(rows, "h", hot, "key").join(spread(lists, "h", hot), ["h", "part"]).select("h", "m", *names)), "rest")
+    drop(sets)
     units = rows.where(F.col("m") <= LIST).select("h", F.lit(0).alias("t"), F.lit(0).alias("q"), F.lit(2).alias("ask"), *names)
     long = rows.where(F.col("m") > LIST).drop("m")
     if not lists.where(F.col("m") > LIST).isEmpty():
         units = units.union(_units(long, long, "h", LIST, names).withColumn("ask", F.col("ask").cast("int")))
-    units = units.join(nodes.select("key", "bits"), "key").select("h", "t", "q", "ask", *names, "bits")
-    return units.repartition("h", "t", "q").sortWithinPartitions("h", "t", "q", "n").mapInArrow(tidy(_crossing, 50_000), "a long, b long").distinct()
+    sorted_ = lambda df: df.repartition("h", "t", "q").sortWithinPartitions("h", "t", "q", "n")
+    units = cut(gathered(sorted_(units).mapInArrow(tidy(_by_unit(_with_mates), 50_000), units.schema)), "units")
+    drop(rows, lists)
+    found = sorted_(units.join(nodes.select("key", "bits"), "key")).mapInArrow(tidy(_by_unit(_crossing), 50_000), "a long, b long").distinct()
+    found = cut(gathered(found), "forest")
+    drop(units)
+    return found
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -504,18 +541,21 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, hashes: the sets of the texts in question, read again."""
+    """key, hashes: the sets of the texts in question, read again, some more than once; from ``cut``."""
     reps = cut(gathered(nodes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()), "reps")
     few = F.broadcast(reps) if reps.count() <= SMALL else reps
-    return cut(_sets(docs.join(few, "doc_id", "left_semi"), True).select("key", "hashes"), "sets").dropDuplicates(["key"])
+    return cut(_sets(docs.join(few, "doc_id", "left_semi"), True).select("key", "hashes"), "sets")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of keys whose sets are similar."""
     sets = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs)
-    left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}h")) for k in "ab")
+    left, right = (sets.dropDuplicates(["key"]).select(F.col("key").alias(k), F.col("hashes").alias(f"{k}h")) for k in "ab")
     # shared / (n + m - shared) >= 0.8
-    return pairs.join(left, "a").join(right, "b").where("9 * size(array_intersect(ah, bh)) >= 4 * (size(ah) + size(bh))").select("a", "b")
+    links = pairs.join(left, "a").join(right, "b").where("9 * size(array_intersect(ah, bh)) >= 4 * (size(ah) + size(bh))").select("a", "b")
+    links = cut(gathered(links), "links")
+    drop(sets)
+    return links
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -526,27 +566,29 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links reach) of the rows that have an id and words."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     marks = cut(_sets(docs, False), "marks")
+    ids = cut(gathered(marks.select("doc_id", "key")), "ids")
     nodes = cut(gathered(marks.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp", "buckets", "least", "bits")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.buckets", "x.least", "x.bits")), "nodes")
+    drop(marks)
     members = _members(nodes).select("h", "key", "n", "fp")
     pairs = cut(gathered(_in_buckets(members.withColumn("root", F.col("key")), led)), "pairs")
-    first = cut(gathered(_alike(pairs, nodes, docs)), "links")
+    first = _alike(pairs, nodes, docs)
     roots = cut(gathered(components(first).select(F.col("node").alias("key"), "root")), "roots")
     now = _rooted(members, roots).select("h", "key", "n", "fp", "root")
     open_ = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")  # others lie in one component
     forest = cut(gathered(_in_buckets(now.join(open_, "h", "left_semi"), spanned)), "forest")
     found = first
-    for search in (lambda: forest, lambda: cut(gathered(_rest(nodes, roots)), "forest")):
+    for search in (lambda: forest, lambda: _rest(nodes, roots)):
         if (pairs := search()).isEmpty():
             continue
         groups = cut(gathered(_rooted(components(pairs).select(F.col("node").alias("key"), F.col("root").alias("group")), roots)), "groups")
-        more = cut(gathered(_verified(groups, nodes, docs)), "links")
+        more = _verified(groups, nodes, docs)
         if not more.isEmpty():
             found = found.union(more)
             roots = cut(gathered(components(found).select(F.col("node").alias("key"), "root")), "roots")
     joined = _rooted(nodes.select("key", "rep"), roots)
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = joined.join(least, "root").select("key", "component_id")
-    return marks.select("doc_id", "key").join(of, "key").select("doc_id", "component_id")
+    return ids.join(of, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
