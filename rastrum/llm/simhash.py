@@ -16,7 +16,7 @@ its two least shingle hashes under one of VIEWS orders. A pair at 0.8 misses eac
 in 5,000 of such pairs differs in more than WIDE bits. Bucket mates within WIDE bits are candidates. First those of a few leaders of each
 bucket are compared, so that a large group of near copies becomes one component for as many comparisons as it has members. Then the
 index spans a forest over the candidates that aren't linked yet, and each tree of it is one group: its texts outside the group's
-largest component are compared with all of the group, block by block, in workers that hold the sets of two blocks and return a spanning
+largest component are compared with all of the group, in bounded blocks, in workers that hold the sets of two blocks and return a spanning
 forest of the links found. So rows grow with texts, not with pairs. Buckets with very many texts are divided by the texts' other buckets.
 
 What buckets, their division and the bound on bits miss, an exact search of the rest finds. Two sets at 0.8 share one of the n // 5 + 1 least
@@ -24,7 +24,8 @@ hashes of each, so lists of texts by those hashes hold every link. Lists that li
 of different components are candidates if sizes and places allow it, places being the hash's own among the sorted hashes of each set: in the
 list of the least hash that two sets share all before it is in one set only, and what follows differs by the difference of its lengths
 at least. Only rows that have such a mate get their sets' parity bitmaps, which differ in no more bits than the sets in members, and must
-allow the similarity, too. Long lists are compared block by block. Candidates become groups and are compared as above, so no link is lost.
+allow the similarity, too. Long lists and large groups are divided by size, since sizes of similar sets differ by a quarter at most, and
+then compared in a bounded number of blocks. Candidates become groups and are compared as above, so no link is lost.
 
 Defined cases: words are lower-cased in A-Z and parted by ASCII white space. For ``near_duplicates`` null texts and texts without words have
 fingerprint zero, which is linked like any other; for ``similar`` they are linked to nothing. A text of fewer words than a shingle has one
@@ -35,6 +36,7 @@ rows has a null component; ``similar`` leaves them out. Repeated rows are alike.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,8 @@ FAN, PAIRS, DIVIDE = 16, 1 << 18, 2048
 WORDS, VIEWS, WIDE, BIG, LEADERS, BLOCK = 5, 10, 20, 20_000, 8, 600
 #: Least bits of a set's parity bitmap; texts of a list that are compared at once.
 PARITY, LIST = 1024, 4000
+#: Sizes of a band differ by this factor at most: somewhat more than two similar sets', so that rounding can't part them. Most blocks of a cell.
+BAND, BLOCKS = 1.26, 8
 #: Rows up to which the ids of texts to compare are broadcast: 16 MB.
 SMALL = 1 << 21
 
@@ -404,33 +408,44 @@ def linked(key: np.ndarray, n: np.ndarray, root: np.ndarray, ask: np.ndarray, be
 
 
 def _units(rows: DataFrame, groups: DataFrame, group: str, block: int, names: list[str]) -> DataFrame:
-    """group, t, q, ask, names: rows (group, key, root, ...), each in the units in which it is compared. A group's texts outside its largest
-    component ask, all are compared, so that each asking block meets each block; groups (group, key, root) are counted."""
-    sizes = groups.groupBy(group, "root").agg(F.count("*").alias("m")).groupBy(group).agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("x"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-    sizes = sizes.select(group, F.col("x.root").alias("largest"), blocks(F.col("m")).alias("to"), blocks(F.col("m") - F.col("x.m")).alias("from"))
-    own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    """group, s, t, q, ask, names: rows (group, key, n, root, ...), each in the units in which it is compared; groups (group, key, n, root) are
+    counted. A group of up to ``block`` rows is one unit. The rows of a larger one are dealt by size to bands, of which sets at 0.8 lie in one
+    or in neighbours, and a cell s holds the bands s and s + 1. Rows outside a cell's largest component ask, all are compared; in a cell of
+    one unit ask is 2 for those (they are compared, too), else the cell's asking blocks meet each of its blocks. A cell has BLOCKS blocks of
+    either kind at most, so that rows grow with texts."""
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    totals = groups.groupBy(group).agg((F.count("*") > block).alias("banded"))
+    celled = lambda df: df.join(totals, group).withColumn("s", F.explode(F.when(F.col("banded"), F.array(band - 1, band)).otherwise(F.array(F.lit(0)))))
+    own = ~F.col("banded") | (F.col("s") == band)
+    sizes = celled(groups).groupBy(group, "s", "root").agg(F.count("*").alias("m"), F.max(own).alias("own")).groupBy(group, "s").agg(F.sum("m").alias("m"), F.max("own").alias("own"), F.max(F.struct("m", "root")).alias("x"))
+    blocks = lambda c: F.ceil(c / F.greatest(F.lit(block), F.ceil(F.col("m") / BLOCKS))).cast("int")
+    # the pairs of a cell without rows of its own band are those of the next one; one component has none
+    sizes = sizes.where("own and m > x.m").select(group, "s", F.col("x.root").alias("largest"), blocks(F.col("m")).alias("to"), blocks(F.col("m") - F.col("x.m")).alias("from"))
+    part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     all_ = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     unit = lambda t, q, ask: F.struct(t.alias("t"), q.alias("q"), F.lit(ask).alias("ask"))
-    compared = F.transform(all_("from"), lambda q: unit(own("to"), q, False))
-    asking = F.when(F.col("root") != F.col("largest"), F.transform(all_("to"), lambda t: unit(t, own("from"), True))).otherwise(F.array().cast("array<struct<t:int,q:int,ask:boolean>>"))
-    return rows.join(sizes, group).withColumn("u", F.explode(F.concat(compared, asking))).select(group, "u.t", "u.q", "u.ask", *names)
+    asks = F.col("root") != F.col("largest")
+    compared = F.transform(all_("from"), lambda q: unit(part("to"), q, 0))
+    asking = F.when(asks, F.transform(all_("to"), lambda t: unit(t, part("from"), 1))).otherwise(F.array().cast("array<struct<t:int,q:int,ask:int>>"))
+    alone = F.array(unit(F.lit(0), F.lit(0), F.when(asks, 2).otherwise(0)))
+    dealt_ = celled(rows).join(sizes, [group, "s"]).withColumn("u", F.explode(F.when(F.col("to") == 1, alone).otherwise(F.concat(compared, asking))))
+    return dealt_.select(group, "s", "u.t", "u.q", "u.ask", *names)
 
 
 def _verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different components inside groups (group, key, root)."""
     sets = _whole_sets(groups.select("key").distinct(), nodes, docs)
-    rows = groups.join(nodes.select("key", "n"), "key").join(sets.dropDuplicates(["key"]), "key")
-    units = _units(rows, groups, "group", BLOCK, ["key", "n", "root", "hashes"])
+    groups = groups.join(nodes.select("key", "n"), "key")
+    units = _units(groups.join(sets.dropDuplicates(["key"]), "key"), groups, "group", BLOCK, ["key", "n", "root", "hashes"])
 
     def work(got: pa.Table) -> np.ndarray:
         key, n, root, ask = (got.column(k).to_numpy() for k in ("key", "n", "root", "ask"))
         hashes = got.column("hashes").combine_chunks()
         flat, ends = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(n)]
-        return linked(key, n, root, ask, ~ask, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        return linked(key, n, root, ask > 0, ask != 1, [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
     names = ["key", "n", "root", "ask", "hashes"]
-    links = units.repartition("group", "t", "q").sortWithinPartitions("group", "t", "q").mapInArrow(tidy(_by_group(3, names, work)), "a long, b long").distinct()
+    links = units.repartition("group", "s", "t", "q").sortWithinPartitions("group", "s", "t", "q").mapInArrow(tidy(_by_group(4, names, work)), "a long, b long").distinct()
     links = cut(gathered(links), "links")
     drop(sets)
     return links
@@ -462,7 +477,7 @@ def crossed(unit: np.ndarray, ask: np.ndarray, key: np.ndarray, n: np.ndarray, r
 
 
 def _by_unit(work):
-    """A function of batches of rows (h, t, q, ask, key, n, root, place, ...) sorted by h, t, q and n: calls ``work`` with whole units, as a table
+    """A function of batches of rows (h, s, t, q, ask, key, n, root, place, ...) sorted by h, s, t, q and n: calls ``work`` with whole units, as a table
     and the arrays unit, ask, key, n, root and place, and yields what it returns, if anything; the last unit of a batch waits."""
 
     def called(got: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -500,8 +515,8 @@ def _crossing(got: pa.Table, unit: np.ndarray, ask: np.ndarray, key: np.ndarray,
 
 
 def _heads(got: pa.Table) -> np.ndarray:
-    """Whether a unit (h, t, q) begins at each row."""
-    x = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "t", "q")], axis=1)
+    """Whether a unit (h, s, t, q) begins at each row."""
+    x = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "s", "t", "q")], axis=1)
     return np.r_[True, (x[1:] != x[:-1]).any(axis=1)] if len(x) else np.zeros(0, bool)
 
 
@@ -515,11 +530,11 @@ def _rest(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     hot = hot_keys(lists, "h", "m")
     rows = cut(gathered(dealt(rows, "h", hot, "key").join(spread(lists, "h", hot), ["h", "part"]).select("h", "m", *names)), "rest")
     drop(sets)
-    units = rows.where(F.col("m") <= LIST).select("h", F.lit(0).alias("t"), F.lit(0).alias("q"), F.lit(2).alias("ask"), *names)
+    units = rows.where(F.col("m") <= LIST).select("h", *(F.lit(0).alias(k) for k in "stq"), F.lit(2).alias("ask"), *names)
     long = rows.where(F.col("m") > LIST).drop("m")
     if not lists.where(F.col("m") > LIST).isEmpty():
-        units = units.union(_units(long, long, "h", LIST, names).withColumn("ask", F.col("ask").cast("int")))
-    sorted_ = lambda df: df.repartition("h", "t", "q").sortWithinPartitions("h", "t", "q", "n")
+        units = units.union(_units(long, long, "h", LIST, names))
+    sorted_ = lambda df: df.repartition("h", "s", "t", "q").sortWithinPartitions("h", "s", "t", "q", "n")
     units = cut(gathered(sorted_(units).mapInArrow(tidy(_by_unit(_with_mates), 50_000), units.schema)), "units")
     drop(rows, lists)
     found = sorted_(units.join(nodes.select("key", "bits"), "key")).mapInArrow(tidy(_by_unit(_crossing), 50_000), "a long, b long").distinct()
